@@ -32,14 +32,13 @@ def rules_from_table(table: DataFrame) -> list[tuple]:
 
 def rule_position(text: Column, rules: list[tuple]) -> Column:
     """Position in ``rules`` of the first hit, null for none; later rules are not tried."""
-    position = F.lit(None).cast("int")
-    for at in reversed(range(len(rules))):
-        _, _, _, pattern, exclusion, _, _ = rules[at]
+    position = None
+    for at, (_, _, _, pattern, exclusion, _, _) in enumerate(rules):
         hit = hits(text, pattern, ignore_case=True)
         if exclusion:
             hit = hit & ~hits(text, exclusion, ignore_case=True)
-        position = F.when(hit, F.lit(at)).otherwise(position)
-    return position
+        position = F.when(hit, F.lit(at)) if position is None else position.when(hit, F.lit(at))
+    return F.lit(None).cast("int") if position is None else position
 
 
 def with_rule(

@@ -74,8 +74,9 @@ def chat_over(
     """Call a model once per row of (id..., user_text) and add its answer.
 
     ``frame`` is put round ``user_text`` inside the task, so that a constant part
-    of the prompt does not travel with every row. A failed call gives a null
-    content and the error's text. ``parts`` sets how many tasks call at a time.
+    of the prompt does not travel with every row. Rows without ``user_text`` pass
+    without a call. A failed call gives a null content and the error's text.
+    ``parts`` sets how many tasks call at a time.
     """
     keys = [f for f in rows.schema.fields if f.name != "user_text"]
     names = [k.name for k in keys]
@@ -90,6 +91,9 @@ def chat_over(
                 chat = chat_factory()
             answers = []
             for text in batch["user_text"]:
+                if text is None:
+                    answers.append((None, "", {}, None, 0.0))
+                    continue
                 began = time.perf_counter()
                 try:
                     answer = (*chat(system, head + text + tail, temperature, max_tokens), None)
@@ -118,10 +122,10 @@ def verdict_text(content: Column) -> Column:
 def parsed_verdict(content: Column) -> Column:
     """(severity, reason, action), or null where the answer is no valid verdict."""
     found = verdict_text(content)
-    verdict = F.from_json(found, _VERDICT)
+    verdict = F.from_json(found, _VERDICT, {"allowSingleQuotes": "false"})
     # A text that holds no object parses to nulls and so has no valid severity.
     return F.when(
-        is_valid(verdict["severity"]),
+        found.startswith("{") & found.endswith("}") & is_valid(verdict["severity"]),
         F.struct(
             verdict["severity"].alias("severity"),
             F.coalesce(verdict["reason"], F.lit("")).alias("reason"),
@@ -181,32 +185,34 @@ def classify(
     """
     if "kind" not in ruled.columns:
         ruled = ruled.withColumn("kind", F.lit("GROUP"))
-    settled = ruled.filter(F.col("severity").isNotNull()).withColumns(
-        {
-            "source": F.lit("rule"),
-            "model": F.lit(""),
-            "raw_output": F.lit(""),
-            "elapsed_ms": F.lit(0.0),
-        }
+    keys = [c for c in RESULT_COLUMNS if c in ruled.columns]
+    kept = ruled.select(*keys, *[F.col(c).alias(f"rule_{c}") for c in ("severity", "reason", "action")]).drop(
+        "severity", "reason", "action"
     )
-    left = ruled.filter(F.col("severity").isNull()).drop("severity", "reason", "action", "rule_name")
+    by_rule = F.col("rule_severity").isNotNull()
     if chat_factory is not None:
-        keys = [c for c in RESULT_COLUMNS if c in left.columns]
-        asked = left.select(*keys, prompt_log().alias("user_text"))
+        # One pass for all rows: splitting them would compute the groups twice.
+        asked = kept.withColumn("user_text", F.when(~by_rule, prompt_log()))
         scored = chat_over(
             asked, chat_factory, V.TRIAGE_SYSTEM, V.TRIAGE_TEMPERATURE, V.TRIAGE_MAX_TOKENS, prompt_frame(), parts
-        ).drop("usage")
+        )
     else:
-        none = F.lit(None).cast("string")
         if responses is not None:
-            left = left.join(responses.select("fingerprint", "content"), "fingerprint", "left")
+            kept = kept.join(responses.select("fingerprint", "content"), "fingerprint", "left")
         else:
-            left = left.withColumn("content", none)
-        scored = left.withColumns(
+            kept = kept.withColumn("content", F.lit(None).cast("string"))
+        scored = kept.withColumns(
             {"model": F.lit(""), "error": F.lit("no response"), "elapsed_ms": F.lit(0.0)}
         )
     judged = with_verdict(scored, fallback)
-    return settled.select(*RESULT_COLUMNS).unionByName(judged.select(*RESULT_COLUMNS))
+    of_rule = {
+        "severity": F.coalesce("rule_severity", "severity"),
+        "reason": F.coalesce("rule_reason", "reason"),
+        "action": F.coalesce("rule_action", "action"),
+        "source": F.when(by_rule, F.lit("rule")).otherwise(F.col("source")),
+        "raw_output": F.when(by_rule, F.lit("")).otherwise(F.col("raw_output")),
+    }
+    return judged.withColumns(of_rule).select(*RESULT_COLUMNS)
 
 
 def result_record(results: DataFrame) -> DataFrame:

@@ -120,9 +120,10 @@ def go_trace(lines: Column) -> tuple[Column, Column]:
         ),
     )
     before = F.concat(F.array(F.lit("")), F.transform(marked, lambda m: m["function"]))
-    paired = F.arrays_zip(marked.alias("mark"), F.slice(before, 1, F.size(marked)).alias("owner"))
-    paired = F.transform(
-        paired, lambda p: F.struct(p["0"]["line"].alias("line"), p["0"]["function"].alias("function"), p["1"].alias("owner"))
+    paired = F.zip_with(
+        marked,
+        F.slice(before, 1, F.size(marked)),
+        lambda m, owner: F.struct(m["line"].alias("line"), m["function"].alias("function"), owner.alias("owner")),
     )
 
     def path(line):

@@ -18,7 +18,7 @@ from ..functions.fingerprint import with_fingerprint
 from ..operators.routing import audit_records, ignored_documents, outbox, route
 from ..operators.rules import with_rule
 from ..operators.scoring import ChatFactory, classify
-from ..operators.windows import anchored_windows, expired_at, open_windows, with_representatives
+from ..operators.windows import anchored_windows, open_windows, with_representatives
 
 GROUP_SCHEMA = (
     "log_id long, fingerprint string, kind string, count long, first_seen timestamp, last_seen timestamp, "
@@ -35,6 +35,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _newest(batch: DataFrame, carried: DataFrame | None) -> int:
+    """Newest log time so far, in microseconds: one number from one column."""
+    micros = [batch.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]]
+    if carried is not None:
+        micros.append(carried.agg(F.max(F.unix_micros("last_seen"))).first()[0])
+    return max([m for m in micros if m is not None], default=0)
+
+
 def dedup_batch(
     batch: DataFrame,
     batch_id: int,
@@ -64,13 +72,9 @@ def dedup_batch(
         )
     told = with_representatives(groups, texts)
     if close_idle:
-        newest = F.max("last_seen") - F.make_dt_interval(secs=F.lit(delay_seconds).cast("decimal(18,6)"))
-        now = told.agg(newest.alias("now"))
-        told = told.join(F.broadcast(now))  # one row
-        gone = expired_at(told, F.col("now"), window_seconds).select("log_id").withColumn("gone", F.lit(True))
-        told = told.join(gone, "log_id", "left").withColumn(
-            "kind", F.when((F.col("kind") == "FLUSH") & F.col("gone"), F.lit("EXPIRED")).otherwise(F.col("kind"))
-        )
+        age = F.lit(_newest(batch, carried)) - F.lit(int(delay_seconds * 1e6)) - F.unix_micros("first_seen")
+        idle = (F.col("kind") == "FLUSH") & (age > int(window_seconds * 1e6))
+        told = told.withColumn("kind", F.when(idle, F.lit("EXPIRED")).otherwise(F.col("kind")))
     columns = [part.split()[0] for part in GROUP_SCHEMA.split(", ")]
     here = _batch_folder(f"{root}/groups", batch_id)
     told.select(*columns).write.mode("overwrite").parquet(here)
