@@ -62,3 +62,8 @@ def with_fingerprint(logs: DataFrame) -> DataFrame:
     found = logs.withColumns({"error_type": error_type(text), "file_location": file_location(text)})
     key = fingerprint_key(F.col("error_type"), F.col("file_location"), normalized(text))
     return found.withColumn("fingerprint", fingerprint_of(key)).drop("file_location")
+
+
+def keyed(logs: DataFrame) -> DataFrame:
+    """Logs with their fingerprint, computed only where the table lacks it."""
+    return logs if "fingerprint" in logs.columns else with_fingerprint(logs)

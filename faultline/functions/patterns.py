@@ -5,7 +5,9 @@ only at a newline and ``^``/``$`` that know only the newline. Java's defaults
 differ in all of these, so the classes are spelled out.
 """
 
-WORD = r"[a-zA-Z0-9_\p{L}\p{N}]"
+# The one letter beyond the basic plane (it is in \p{L} anyway) makes Java look
+# behind by whole characters instead of by halves of such characters.
+WORD = r"[a-zA-Z0-9_\p{L}\p{N}" + "\U00010400]"
 DIGIT = r"\p{Nd}"
 _BLANKS = r"[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BLANK = rf"[[^!-\x84]&&{_BLANKS}]"  # plain letters are turned down by the first range

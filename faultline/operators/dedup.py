@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.fingerprint import with_fingerprint
+from ..functions.fingerprint import keyed
 from .windows import with_representatives
 
 _WIDE = "decimal(38,0)"
@@ -19,11 +19,11 @@ def fingerprint_groups(logs: DataFrame) -> DataFrame:
     combines before its shuffle; a hot fingerprint arrives as one row per task.
     The earliest (ts, log_id) is one decimal, time in the high digits.
     """
-    keyed = logs if "fingerprint" in logs.columns else with_fingerprint(logs)
+    rows = keyed(logs)
     micros = F.unix_micros(F.col("ts").cast("timestamp")).cast(_WIDE)
     # Ids are moved up to be non-negative below the time.
     place = micros * F.lit(Decimal(2**64)) + (F.col("log_id").cast(_WIDE) + F.lit(Decimal(2**63)))
-    grouped = keyed.select(
+    grouped = rows.select(
         "fingerprint", F.col("ts").cast("timestamp").alias("ts"), place.cast(_WIDE).alias("place")
     ).groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("count"),
@@ -42,9 +42,9 @@ def dedup_groups(logs: DataFrame) -> DataFrame:
 
 def ungrouped(logs: DataFrame) -> DataFrame:
     """Every log as a group of its own; the error type stays blank."""
-    keyed = logs if "fingerprint" in logs.columns else with_fingerprint(logs)
+    rows = keyed(logs)
     ts = F.col("ts").cast("timestamp")
-    return keyed.select(
+    return rows.select(
         "fingerprint",
         F.lit(1).cast("long").alias("count"),
         ts.alias("first_seen"),

@@ -30,12 +30,15 @@ def file_requests(
 
     files = F.slice(unique_files(frames), 1, max_files)
     return (
-        parsed.filter(F.size(frames) > 0)
+        # A condition on the frames themselves would compute them once more in a
+        # filter below, and so would the inner form of explode.
+        parsed.filter(F.col("language") != "unknown")
         .select(
             "log_id",
             F.coalesce(own_ref, F.lit(default_ref)).alias("ref"),
-            F.posexplode(F.transform(files, request)).alias("pos", "request"),
+            F.posexplode_outer(F.transform(files, request)).alias("pos", "request"),
         )
+        .filter(F.col("pos").isNotNull())
         .select("log_id", "pos", "ref", "request.*")
         .withColumn("center", F.get("highlight_lines", F.lit(0)))
     )

@@ -207,7 +207,9 @@ def parse_logs(logs: DataFrame) -> DataFrame:
 
 def frame_table(parsed: DataFrame) -> DataFrame:
     """One row per frame: (log_id, pos, language, file_path, ...)."""
-    return parsed.select("log_id", F.posexplode("frames").alias("pos", "frame")).select("log_id", "pos", "frame.*")
+    # The inner form of explode would compute the frames twice, once for a filter.
+    frames = parsed.select("log_id", F.posexplode_outer("frames").alias("pos", "frame"))
+    return frames.filter(F.col("pos").isNotNull()).select("log_id", "pos", "frame.*")
 
 
 def unique_files(frames: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.fingerprint import error_type, with_fingerprint
+from ..functions.fingerprint import error_type, keyed
 from ..session import shared_folder, written
 
 KINDS = ["NEW", "THRESHOLD", "EXPIRED", "FLUSH"]
@@ -122,8 +122,7 @@ def _as_text(fp: Column) -> Column:
 
 
 def _index(logs: DataFrame, carried: DataFrame | None) -> DataFrame:
-    keyed = logs if "fingerprint" in logs.columns else with_fingerprint(logs)
-    rows = keyed.select(
+    rows = keyed(logs).select(
         _as_number(F.col("fingerprint")).alias("fp"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"),
         "log_id",

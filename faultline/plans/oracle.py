@@ -193,47 +193,47 @@ def _m(pattern: str, text: str = "line") -> str:
 _SKIP_GO = "(contains(path, 'runtime/') OR contains(path, 'vendor/'))"
 _SKIP_NODE = "(contains(path, 'node_modules') OR contains(path, 'internal/'))"
 TRACES = f"""{LOGS}, lines AS (
-  SELECT log_id, language, unnest(parts) AS line, generate_subscripts(parts, 1) AS at FROM (
+  SELECT log_id, language, unnest(parts) AS line, generate_subscripts(parts, 1) AS at_line FROM (
     SELECT log_id, {_LANGUAGE} AS language, string_split(raw_log, chr(10)) AS parts FROM logs)), s AS (
   SELECT *, {_STRIPPED} AS stripped FROM lines), java_errors AS (
-  SELECT log_id, {_x(V.JAVA_ERROR, 1, 'stripped')} AS error_type, trim({_x(V.JAVA_ERROR, 2, 'stripped')}) AS error_message, at
+  SELECT log_id, {_x(V.JAVA_ERROR, 1, 'stripped')} AS error_type, trim({_x(V.JAVA_ERROR, 2, 'stripped')}) AS error_message, at_line
   FROM s WHERE language = 'java' AND {_m(V.JAVA_ERROR, 'stripped')}
-  QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY at) = 1), python_errors AS (
-  SELECT log_id, {_x(V.PYTHON_ERROR, 1, 'stripped')} AS error_type, trim({_x(V.PYTHON_ERROR, 2, 'stripped')}) AS error_message, at
+  QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY at_line) = 1), python_errors AS (
+  SELECT log_id, {_x(V.PYTHON_ERROR, 1, 'stripped')} AS error_type, trim({_x(V.PYTHON_ERROR, 2, 'stripped')}) AS error_message, at_line
   FROM s WHERE language = 'python' AND {_m(V.PYTHON_ERROR, 'stripped')} AND NOT {_m(V.PYTHON_FRAME)}
-  QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY at) = 1), go_errors AS (
-  SELECT log_id, 'panic' AS error_type, trim(substr(stripped, 7)) AS error_message, at
+  QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY at_line) = 1), go_errors AS (
+  SELECT log_id, 'panic' AS error_type, trim(substr(stripped, 7)) AS error_message, at_line
   FROM s WHERE language = 'go' AND starts_with(stripped, 'panic:')
-  QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY at DESC) = 1), node_errors AS (
-  SELECT log_id, {_x(V.NODE_ERROR, 1, 'stripped')} AS error_type, trim({_x(V.NODE_ERROR, 2, 'stripped')}) AS error_message, at
+  QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY at_line DESC) = 1), node_errors AS (
+  SELECT log_id, {_x(V.NODE_ERROR, 1, 'stripped')} AS error_type, trim({_x(V.NODE_ERROR, 2, 'stripped')}) AS error_message, at_line
   FROM s WHERE language = 'node' AND {_m(V.NODE_ERROR, 'stripped')}
-  QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY at) = 1), errors AS (
+  QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY at_line) = 1), errors AS (
   SELECT * FROM java_errors UNION ALL SELECT * FROM python_errors
   UNION ALL SELECT * FROM go_errors UNION ALL SELECT * FROM node_errors), go_lines AS (
   SELECT *, {_m(V.GO_FUNCTION, 'stripped')} AS is_function FROM s
   WHERE language = 'go' AND NOT starts_with(stripped, 'panic:')
     AND ({_m(V.GO_FUNCTION, 'stripped')} OR {_m(V.GO_FILE)})), go_pairs AS (
   SELECT *, lag(CASE WHEN is_function THEN {_x(V.GO_FUNCTION, 1, 'stripped')} END)
-    OVER (PARTITION BY log_id ORDER BY at) AS owner, ltrim({_x(V.GO_FILE, 1)}, '/') AS path FROM go_lines), node_lines AS (
+    OVER (PARTITION BY log_id ORDER BY at_line) AS owner, ltrim({_x(V.GO_FILE, 1)}, '/') AS path FROM go_lines), node_lines AS (
   SELECT s.*, {_m(V.NODE_NAMED_FRAME)} AS named,
     CASE WHEN {_m(V.NODE_NAMED_FRAME)} THEN {_x(V.NODE_NAMED_FRAME, 2)} ELSE {_x(V.NODE_PLAIN_FRAME, 1)} END AS path
   FROM s LEFT JOIN node_errors e USING (log_id)
-  WHERE language = 'node' AND s.at <> coalesce(e.at, 0) AND ({_m(V.NODE_NAMED_FRAME)} OR {_m(V.NODE_PLAIN_FRAME)})), java_lines AS (
+  WHERE language = 'node' AND s.at_line <> coalesce(e.at_line, 0) AND ({_m(V.NODE_NAMED_FRAME)} OR {_m(V.NODE_PLAIN_FRAME)})), java_lines AS (
   SELECT s.*, {_x(V.JAVA_FRAME, 1)} AS cls, string_split({_x(V.JAVA_FRAME, 1)}, '.') AS parts
   FROM s LEFT JOIN java_errors e USING (log_id)
-  WHERE language = 'java' AND s.at <> coalesce(e.at, 0) AND {_m(V.JAVA_FRAME)}), found_frames AS (
-  SELECT log_id, at, language, array_to_string(CASE WHEN len(list_filter(parts, lambda p: regexp_matches(p, '^[A-Z]') OR contains(p, '$'))) > 0
+  WHERE language = 'java' AND s.at_line <> coalesce(e.at_line, 0) AND {_m(V.JAVA_FRAME)}), found_frames AS (
+  SELECT log_id, at_line, language, array_to_string(CASE WHEN len(list_filter(parts, lambda p: regexp_matches(p, '^[A-Z]') OR contains(p, '$'))) > 0
       THEN list_filter(parts, lambda p: regexp_matches(p, '^[A-Z]') OR contains(p, '$')) ELSE parts END, '/') || '.java' AS file_path,
     {_x(V.JAVA_FRAME, 4)}::INT AS line_number, {_x(V.JAVA_FRAME, 2)} AS function_name, cls AS class_name, line FROM java_lines
-  UNION ALL SELECT log_id, at, language, {_x(V.PYTHON_FRAME, 1)}, {_x(V.PYTHON_FRAME, 2)}::INT, {_x(V.PYTHON_FRAME, 3)}, '', line
+  UNION ALL SELECT log_id, at_line, language, {_x(V.PYTHON_FRAME, 1)}, {_x(V.PYTHON_FRAME, 2)}::INT, {_x(V.PYTHON_FRAME, 3)}, '', line
   FROM s WHERE language = 'python' AND {_m(V.PYTHON_FRAME)}
-  UNION ALL SELECT log_id, at, language, path, {_x(V.GO_FILE, 2)}::INT, string_split(owner, '.')[-1], owner, line
+  UNION ALL SELECT log_id, at_line, language, path, {_x(V.GO_FILE, 2)}::INT, string_split(owner, '.')[-1], owner, line
   FROM go_pairs WHERE NOT is_function AND owner IS NOT NULL AND NOT {_SKIP_GO}
-  UNION ALL SELECT log_id, at, language, ltrim(path, '/'),
+  UNION ALL SELECT log_id, at_line, language, ltrim(path, '/'),
     (CASE WHEN named THEN {_x(V.NODE_NAMED_FRAME, 3)} ELSE {_x(V.NODE_PLAIN_FRAME, 2)} END)::INT,
     CASE WHEN named THEN trim({_x(V.NODE_NAMED_FRAME, 1)}) ELSE '<anonymous>' END, '', line
   FROM node_lines WHERE NOT {_SKIP_NODE}), frames AS (
-  SELECT log_id, (row_number() OVER (PARTITION BY log_id ORDER BY at) - 1)::INT AS pos, language, file_path,
+  SELECT log_id, (row_number() OVER (PARTITION BY log_id ORDER BY at_line) - 1)::INT AS pos, language, file_path,
     line_number, function_name, class_name, rtrim(line) AS raw FROM found_frames), files AS (
   SELECT log_id, file_path, (row_number() OVER (PARTITION BY log_id ORDER BY first_pos) - 1)::INT AS pos,
     language, center, marks FROM (

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 
 from .. import fixed_values as V
-from ..functions.fingerprint import with_fingerprint
 from ..operators.dedup import ungrouped
 from ..operators.rules import with_rule
 from ..operators.scoring import ChatFactory, classify
@@ -29,6 +28,6 @@ def triage(
     if use_aggregation:
         groups = with_representatives(anchored_windows(logs, window_seconds, threshold), logs)
     else:
-        groups = ungrouped(with_fingerprint(logs))
+        groups = ungrouped(logs)
     ruled = with_rule(groups, rules=rules if use_rules else [])
     return classify(ruled, chat_factory, responses, parts=parts)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from .. import fixed_values as V
-from ..functions.fingerprint import with_fingerprint
+from ..functions.fingerprint import keyed
 from ..operators.routing import audit_records, ignored_documents, outbox, route
 from ..operators.rules import with_rule
 from ..operators.scoring import ChatFactory, classify
@@ -63,7 +63,7 @@ def dedup_batch(
     carried = None
     if batch_id > 0 and _exists(spark, before):
         carried = open_windows(spark.read.schema(GROUP_SCHEMA).parquet(before))
-    logs = with_fingerprint(batch)
+    logs = keyed(batch)
     groups = anchored_windows(logs, window_seconds, threshold, eager=close_idle, carried=carried)
     texts = logs.select("log_id", "raw_log", "service_name", "error_type")
     if carried is not None:
@@ -134,10 +134,10 @@ def storm_counts(logs: DataFrame, window: str = "1 minute", delay: str = "10 min
     Clock windows only resemble the anchored ones. On a stream, logs later than
     ``delay`` are dropped; the count combines before its shuffle.
     """
-    keyed = with_fingerprint(logs).select(F.col("ts").cast("timestamp").alias("ts"), "fingerprint")
+    timed = keyed(logs).select(F.col("ts").cast("timestamp").alias("ts"), "fingerprint")
     if logs.isStreaming:
-        keyed = keyed.withWatermark("ts", delay)
-    counted = keyed.groupBy(F.window("ts", window), "fingerprint").agg(F.count(F.lit(1)).alias("count"))
+        timed = timed.withWatermark("ts", delay)
+    counted = timed.groupBy(F.window("ts", window), "fingerprint").agg(F.count(F.lit(1)).alias("count"))
     return counted.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "fingerprint", "count"
     )
