@@ -3,15 +3,15 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import BLANK, LINE_BREAK, spark_pattern
+from .patterns import BLANK_CHARS, LINE_BREAK, spark_pattern
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+\\z", "")
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{BLANK}+\\z", "")
+    return F.rtrim(text, F.lit(BLANK_CHARS))
 
 
 def split_lines(text: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..session import written_side
 from .stacktrace import unique_files
 
 _REQUEST = ["ref", "file_path", "language", "highlight_lines"]
@@ -58,9 +59,9 @@ def cut_snippets(
 
     Many logs ask for the same lines of the same file, so requests are made
     distinct first (this combines before its shuffle) and each file is sliced in
-    place. ``working_tree(file_path, lines)`` serves files that a ref lacks.
+    place; where few requests are left, the files are not shuffled. ``working_tree(file_path, lines)`` serves files that a ref lacks.
     """
-    asked = requests.groupBy(*_REQUEST).agg(F.min("center").alias("center"))
+    asked = written_side(requests.groupBy(*_REQUEST).agg(F.min("center").alias("center")), "requests")
     files = code_files.select("ref", "file_path", "lines", "commit_sha")
     if working_tree is None:
         found = asked.join(files, ["ref", "file_path"])

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.patterns import spark_pattern
 from ..functions.text import blank_as, first_group, hits, rstrip, split_lines, strip
 
 FRAMES = (
@@ -45,15 +44,16 @@ def _frame(language: str, path: Column, line: Column, function: Column, cls: Col
     )
 
 
-def _error(kind: Column, message: Column) -> Column:
-    return F.struct(kind.alias("error_type"), message.alias("error_message"))
+def _holds_any(path: Column, pieces: list[str]) -> Column:
+    held = F.lit(False)
+    for piece in pieces:
+        held = held | path.contains(piece)
+    return held
 
 
-def _first_error(lines: Column, pattern: str) -> Column:
-    """Error of the first line, stripped, that the pattern fits; blank without one."""
-    found = F.get(F.filter(lines, lambda line: hits(strip(line), pattern)), F.lit(0))
-    error = _error(first_group(strip(found), pattern, 1), strip(first_group(strip(found), pattern, 2)))
-    return F.when(found.isNotNull(), error).otherwise(_error(F.lit(""), F.lit("")))
+def _first_hit(lines: Column, pattern: str) -> Column:
+    """Place, counted from 1, of the first line that the pattern fits once stripped; 0 for none."""
+    return F.array_position(F.transform(lines, lambda l: hits(l["bare"], pattern)), True).cast("int")
 
 
 def _java_path(cls: Column) -> Column:
@@ -64,143 +64,136 @@ def _java_path(cls: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), F.lit(".java"))
 
 
-def java_trace(lines: Column) -> tuple[Column, Column]:
-    first_error = F.array_position(
-        F.transform(lines, lambda line: hits(strip(line), V.JAVA_ERROR)), True
-    )
-
-    def frame(line):
+def java_frames(lines: Column, error_at: Column) -> Column:
+    def frame(l):
+        line = l["line"]
         cls = first_group(line, V.JAVA_FRAME, 1)
-        return _frame(
-            "java", _java_path(cls), first_group(line, V.JAVA_FRAME, 4), first_group(line, V.JAVA_FRAME, 2), cls, line
-        )
+        number, method = first_group(line, V.JAVA_FRAME, 4), first_group(line, V.JAVA_FRAME, 2)
+        return _frame("java", _java_path(cls), number, method, cls, line)
 
     # The line of the error itself is never a frame.
-    kept = F.filter(lines, lambda line, at: hits(line, V.JAVA_FRAME) & (at + 1 != first_error))
-    return F.transform(kept, frame), _first_error(lines, V.JAVA_ERROR)
+    kept = F.filter(lines, lambda l, at: hits(l["line"], V.JAVA_FRAME) & (at + 1 != error_at))
+    return F.transform(kept, frame)
 
 
-def python_trace(lines: Column) -> tuple[Column, Column]:
-    def group(line, no):
-        return first_group(line, V.PYTHON_FRAME, no)
+def python_frames(lines: Column, error_at: Column) -> Column:
+    def frame(l):
+        path, number, function = (first_group(l["line"], V.PYTHON_FRAME, g) for g in (1, 2, 3))
+        return _frame("python", path, number, function, F.lit(""), l["line"])
 
-    kept = F.filter(lines, lambda line: hits(line, V.PYTHON_FRAME))
-    others = F.filter(lines, lambda line: ~hits(line, V.PYTHON_FRAME))
-    frames = F.transform(
-        kept, lambda line: _frame("python", group(line, 1), group(line, 2), group(line, 3), F.lit(""), line)
-    )
-    return frames, _first_error(others, V.PYTHON_ERROR)
+    return F.transform(F.filter(lines, lambda l: hits(l["line"], V.PYTHON_FRAME)), frame)
 
 
-def _holds_any(path: Column, pieces: list[str]) -> Column:
-    held = F.lit(False)
-    for piece in pieces:
-        held = held | path.contains(piece)
-    return held
-
-
-def go_trace(lines: Column) -> tuple[Column, Column]:
+def go_frames(lines: Column, error_at: Column) -> Column:
     """Frames pair a file line with the function line that comes before it.
 
     Of the lines that name a function or a file, a file line counts when the one
-    before it names a function.
+    before it names a function. (A panic line can be neither.)
     """
-
-    def is_panic(line):
-        return strip(line).startswith(V.GO_PANIC)
-
-    def is_function(line):
-        return hits(strip(line), V.GO_FUNCTION)
-
+    named = F.transform(
+        lines, lambda l: F.struct(l["line"].alias("line"), first_group(l["bare"], V.GO_FUNCTION).alias("function"))
+    )
     marked = F.transform(
-        F.filter(lines, lambda l: ~is_panic(l) & (is_function(l) | hits(l, V.GO_FILE))),
-        lambda l: F.struct(
-            l.alias("line"),
-            F.when(is_function(l), first_group(strip(l), V.GO_FUNCTION, 1)).otherwise("").alias("function"),
+        named,
+        lambda m: F.struct(
+            m["line"].alias("line"),
+            m["function"].alias("function"),
+            F.when(m["function"] == "", first_group(m["line"], V.GO_FILE)).otherwise("").alias("path"),
         ),
     )
-    before = F.concat(F.array(F.lit("")), F.transform(marked, lambda m: m["function"]))
+    kept = F.filter(marked, lambda m: (m["function"] != "") | (m["path"] != ""))
+    owners = F.concat(F.array(F.lit("")), F.transform(kept, lambda m: m["function"]))
     paired = F.zip_with(
-        marked,
-        F.slice(before, 1, F.size(marked)),
-        lambda m, owner: F.struct(m["line"].alias("line"), m["function"].alias("function"), owner.alias("owner")),
-    )
-
-    def path(line):
-        return F.regexp_replace(first_group(line, V.GO_FILE, 1), "^/+", "")
-
-    kept = F.filter(
-        paired,
-        lambda p: (p["function"] == "") & (p["owner"] != "") & ~_holds_any(path(p["line"]), V.GO_SKIPPED),
-    )
-    frames = F.transform(
         kept,
-        lambda p: _frame(
-            "go",
-            path(p["line"]),
-            first_group(p["line"], V.GO_FILE, 2),
-            F.element_at(F.split(p["owner"], r"\.", -1), -1),
-            p["owner"],
-            p["line"],
+        F.slice(owners, 1, F.size(kept)),
+        lambda m, owner: F.struct(
+            m["line"].alias("line"), F.ltrim(m["path"], F.lit("/")).alias("path"), owner.alias("owner")
         ),
     )
-    panic = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(lines, is_panic)), -1)
-    message = strip(F.substr(strip(panic), F.lit(len(V.GO_PANIC) + 1)))
-    error = F.when(panic.isNotNull(), _error(F.lit("panic"), message)).otherwise(_error(F.lit(""), F.lit("")))
-    return frames, error
+    own = F.filter(
+        paired, lambda p: (p["path"] != "") & (p["owner"] != "") & ~_holds_any(p["path"], V.GO_SKIPPED)
+    )
 
+    def frame(p):
+        function = F.element_at(F.split(p["owner"], r"\.", -1), -1)
+        return _frame("go", p["path"], first_group(p["line"], V.GO_FILE, 2), function, p["owner"], p["line"])
 
-def node_trace(lines: Column) -> tuple[Column, Column]:
-    first_error = F.array_position(
-        F.transform(lines, lambda line: hits(strip(line), V.NODE_ERROR)), True
-    )
+    return F.transform(own, frame)
 
-    def path(line):
-        named = first_group(line, V.NODE_NAMED_FRAME, 2)
-        return F.when(hits(line, V.NODE_NAMED_FRAME), named).otherwise(first_group(line, V.NODE_PLAIN_FRAME, 1))
 
-    def frame(line):
-        is_named = hits(line, V.NODE_NAMED_FRAME)
+def node_frames(lines: Column, error_at: Column) -> Column:
+    def path(l, at):
+        named = first_group(l["line"], V.NODE_NAMED_FRAME, 2)
+        return F.struct(
+            l["line"].alias("line"),
+            F.when(at + 1 == error_at, F.lit("")).otherwise(named).alias("named"),
+            F.when(at + 1 == error_at, F.lit(""))
+            .when(named == "", first_group(l["line"], V.NODE_PLAIN_FRAME))
+            .otherwise(named)
+            .alias("path"),
+        )
+
+    def frame(p):
+        line, is_named = p["line"], p["named"] != ""
         number = F.when(is_named, first_group(line, V.NODE_NAMED_FRAME, 3)).otherwise(
             first_group(line, V.NODE_PLAIN_FRAME, 2)
         )
         function = F.when(is_named, strip(first_group(line, V.NODE_NAMED_FRAME, 1))).otherwise(V.NODE_ANONYMOUS)
-        return _frame("node", F.regexp_replace(path(line), "^/+", ""), number, function, F.lit(""), line)
+        return _frame("node", F.ltrim(p["path"], F.lit("/")), number, function, F.lit(""), line)
 
     kept = F.filter(
-        lines,
-        lambda line, at: (hits(line, V.NODE_NAMED_FRAME) | hits(line, V.NODE_PLAIN_FRAME))
-        & (at + 1 != first_error)
-        & ~_holds_any(path(line), V.NODE_SKIPPED),
+        F.transform(lines, path), lambda p: (p["path"] != "") & ~_holds_any(p["path"], V.NODE_SKIPPED)
     )
-    return F.transform(kept, frame), _first_error(lines, V.NODE_ERROR)
+    return F.transform(kept, frame)
+
+
+FRAME_RULES = {"java": java_frames, "python": python_frames, "go": go_frames, "node": node_frames}
+ERROR_PATTERNS = {"java": V.JAVA_ERROR, "python": V.PYTHON_ERROR, "node": V.NODE_ERROR}
+
+
+def _error_place(language: Column, lines: Column) -> Column:
+    """Place of the line that tells the error: the first that fits, for Go the last panic."""
+    panics = F.transform(lines, lambda l: l["bare"].startswith(V.GO_PANIC))
+    from_end = F.array_position(F.reverse(panics), True).cast("int")
+    last_panic = F.when(from_end > 0, F.size(lines) - from_end + 1).otherwise(0)
+    place = F.when(language == "go", last_panic)
+    for name, pattern in ERROR_PATTERNS.items():
+        place = place.when(language == name, _first_hit(lines, pattern))
+    return place.otherwise(0)
 
 
-TRACES = {"java": java_trace, "python": python_trace, "go": go_trace, "node": node_trace}
+def _error_part(language: Column, bare: Column, group: int) -> Column:
+    of_go = [F.lit("panic"), strip(F.substr(bare, F.lit(len(V.GO_PANIC) + 1)))][group - 1]
+    part = F.when(bare.isNull(), F.lit("")).when(language == "go", of_go)
+    for name, pattern in ERROR_PATTERNS.items():
+        part = part.when(language == name, strip(first_group(bare, pattern, group)))
+    return part.otherwise("")
 
 
 def parse_logs(logs: DataFrame) -> DataFrame:
     """Add severity, service (from the header), language, error_type, error_message, frames."""
-    text = F.col("raw_log")
-    header = logs.withColumns({"header": log_header(text), "language": log_language(text)})
-    language, lines = F.col("language"), F.col("lines")
-    frames = F.array().cast(FRAMES)
-    error = _error(F.lit(""), F.lit(""))
-    for name, trace in TRACES.items():
-        of_language, its_error = trace(lines)
-        frames = F.when(language == name, of_language.cast(FRAMES)).otherwise(frames)
-        error = F.when(language == name, its_error).otherwise(error)
+    text, language = F.col("raw_log"), F.col("language")
+    lines, error_at, bare = F.col("lines"), F.col("error_at"), F.col("error_line")
+    nothing = F.array().cast("array<struct<line:string,bare:string>>")
+    split = F.transform(split_lines(text), lambda l: F.struct(l.alias("line"), strip(l).alias("bare")))
+    frames = None
+    for name, rule in FRAME_RULES.items():
+        found = rule(lines, error_at).cast(FRAMES)
+        frames = F.when(language == name, found) if frames is None else frames.when(language == name, found)
     return (
-        header.withColumn("lines", split_lines(text))
-        .withColumns({"frames": frames, "error": error})
+        # Step by step: what a later step uses twice must not be computed twice.
+        logs.withColumns({"header": log_header(text), "language": log_language(text)})
+        .withColumn("lines", F.when(language != "unknown", split).otherwise(nothing))
+        .withColumn("error_at", _error_place(language, lines))
+        .withColumn("error_line", F.when(error_at > 0, F.get(lines, error_at - 1)["bare"]))
         .select(
             *logs.columns,
             F.col("header.severity").alias("severity"),
             F.col("header.service_name").alias("service"),
             "language",
-            F.col("error.error_type").alias("error_type"),
-            F.col("error.error_message").alias("error_message"),
-            "frames",
+            _error_part(language, bare, 1).alias("error_type"),
+            _error_part(language, bare, 2).alias("error_message"),
+            frames.otherwise(F.array().cast(FRAMES)).alias("frames"),
         )
     )
 

@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.fingerprint import error_type, keyed
-from ..session import shared_folder, written
+from ..session import shared_folder, written, written_side
+
+# A task holds no more than a slice of rows of three numbers.
+ROWS_PER_SLICE = 2_000_000
 
 KINDS = ["NEW", "THRESHOLD", "EXPIRED", "FLUSH"]
 NEW, THRESHOLD, EXPIRED, FLUSH = range(4)
@@ -53,7 +56,7 @@ def anchored_windows(
 
     ``log_id`` is the window's first log. ``carried`` holds windows left open by
     earlier input (same columns); they precede the logs of their fingerprint.
-    ``slices`` fixes the number of range partitions (default: Spark's).
+    ``slices`` fixes the number of range partitions (default: by the number of rows).
     """
     spark = logs.sparkSession
     shared_folder(spark)
@@ -83,8 +86,10 @@ def anchored_windows(
 def with_representatives(groups: DataFrame, logs: DataFrame) -> DataFrame:
     """Add representative_log, service_name and error_type of the groups' first logs.
 
-    ``log_id`` is unique in ``logs``: no key of this join can be hot.
+    ``log_id`` is unique in ``logs``: no key of this join can be hot. Where dedup
+    leaves few groups, they go to the texts and the texts are not shuffled.
     """
+    groups = written_side(groups, "groups")
     texts = logs.select("log_id", "raw_log", "service_name", *_known(logs, "error_type"))
     joined = groups.join(texts, "log_id")
     if "error_type" not in texts.columns:
@@ -144,8 +149,11 @@ def _index(logs: DataFrame, carried: DataFrame | None) -> DataFrame:
 def _ranged(rows: DataFrame, slices: int | None) -> DataFrame:
     held = [F.col("held").desc()] if "held" in rows.columns else []
     order = [F.col("fp"), *held, F.col("ts"), F.col("log_id")]
-    parts = rows.repartitionByRange(slices, *order) if slices else rows.repartitionByRange(*order)
-    ordered = parts.sortWithinPartitions(*order)
+    if not slices:
+        n = rows.count()
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        slices = max(-(-n // ROWS_PER_SLICE), min(cores, n // 10_000 + 1))
+    ordered = rows.repartitionByRange(slices, *order).sortWithinPartitions(*order)
     # Both the summaries and the sweep must see the very same slices.
     return ordered.withColumn("slice", F.spark_partition_id()).checkpoint()
 

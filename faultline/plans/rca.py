@@ -7,6 +7,16 @@ from ..operators.prompts import rca_prompts, rca_reports
 from ..operators.retrieval import cut_snippets, file_requests, snippets
 from ..operators.scoring import ChatFactory
 from ..operators.stacktrace import parse_logs
+from ..session import written
+
+
+def parsed_once(logs: DataFrame) -> DataFrame:
+    """Parsed logs without their texts, written once.
+
+    Requests, snippets and prompts all start from the frames; taking the texts
+    apart is the costly part and must not be repeated for each of them.
+    """
+    return written(parse_logs(logs).drop("raw_log"), "parsed")
 
 
 def prompts_for(
@@ -19,10 +29,10 @@ def prompts_for(
     working_tree: DataFrame | None = None,
 ) -> DataFrame:
     """The dry run: everything up to the prompts."""
-    parsed = parse_logs(logs)
+    parsed = parsed_once(logs)
     requests = file_requests(parsed, max_files, default_ref)
     found = snippets(requests, cut_snippets(requests, code_files, context_lines, working_tree))
-    return rca_prompts(parsed, found, budget)
+    return rca_prompts(parsed.join(logs.select("log_id", "raw_log"), "log_id"), found, budget)
 
 
 def analyse(

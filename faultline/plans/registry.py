@@ -13,7 +13,7 @@ from ..sources.code import code_lines
 from ..sources.logs import read_log_lines, read_log_stream
 from ..sources.views import code_view, log_view, read_table, sft_view
 from ..streaming import dedup as streams
-from .rca import prompts_for
+from .rca import parsed_once, prompts_for
 from .stub_model import stub_model
 from .triage import triage
 
@@ -29,8 +29,8 @@ QUERIES: dict[str, Query] = {}
 
 def _query(build: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
-            spark.conf.set(key, SETTINGS[key])
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
         return _plain(build(spark, sf_dir))
 
     QUERIES[build.__name__] = run
@@ -419,7 +419,7 @@ def file_requests(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    requests = retrieval.file_requests(_parsed(spark, sf_dir))
+    requests = retrieval.file_requests(parsed_once(_logs(spark, sf_dir)))
     return requests, retrieval.snippets(requests, retrieval.cut_snippets(requests, _code(spark, sf_dir), CONTEXT))
 
 

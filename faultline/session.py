@@ -4,11 +4,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of a few dozen bytes: some tens of megabytes to broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A row costs patterns or model calls here, so few rows are work enough for a task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Equi-joins here have one side that is unique on the key, so a hot key only
     # swells the other side; adaptive execution splits that side.
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -52,3 +58,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_side(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a narrow join side once and mark it for broadcast only if its counted rows are few.
+
+    Beyond ``most`` rows the join shuffles both sides. Deciding before the join
+    starts spares the wide other side a shuffle that would turn out needless.
+    """
+    side = written(df, label)
+    return F.broadcast(side) if side.count() <= most else side

@@ -91,16 +91,14 @@ def code_view(documents: DataFrame) -> DataFrame:
 
 def sft_view(conversations: DataFrame) -> DataFrame:
     """A user turn with the assistant's next turn; instruction is the system text or ''."""
-    turns = conversations.groupBy("conv_id").agg(
-        F.max(F.when(F.col("role") == "system", F.col("text"))).alias("instruction")
-    )
+    systems = conversations.filter("role = 'system'").groupBy("conv_id").agg(F.max("text").alias("instruction"))
     asked = conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("input"))
     answers = conversations.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output")
     )
     return (
         asked.join(answers, ["conv_id", "turn"])
-        .join(turns, "conv_id")
+        .join(systems, "conv_id", "left")
         .select("conv_id", "turn", F.coalesce("instruction", F.lit("")).alias("instruction"), "input", "output")
     )
 
