@@ -4,14 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .patterns import BLANK, WORD, spark_pattern
+from .patterns import BLANK_RUN, WORD, spark_pattern
 from .text import first_group
 
 
 def normalized(text: Column) -> Column:
     for pattern in V.NOISE_PATTERNS:
         text = F.regexp_replace(text, spark_pattern(pattern), V.NOISE_MARK)
-    return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
+    return F.trim(F.regexp_replace(text, BLANK_RUN, " "))
 
 
 def _holds(text: Column, *pieces: str) -> Column:

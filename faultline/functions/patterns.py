@@ -9,9 +9,11 @@ differ in all of these, so the classes are spelled out.
 # behind by whole characters instead of by halves of such characters.
 WORD = r"[a-zA-Z0-9_\p{L}\p{N}" + "\U00010400]"
 DIGIT = r"\p{Nd}"
-_BLANKS = r"[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-BLANK = rf"[[^!-\x84]&&{_BLANKS}]"  # plain letters are turned down by the first range
-NOT_BLANK = _BLANKS.replace("[", "[^", 1)
+_OTHERS = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = rf"[ {_OTHERS}]"
+NOT_BLANK = rf"[^ {_OTHERS}]"
+# Blanks that are not one plain space already.
+BLANK_RUN = rf" {BLANK}+|[{_OTHERS}]{BLANK}*"
 BLANK_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
