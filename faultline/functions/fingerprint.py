@@ -40,7 +40,7 @@ def file_location(text: Column) -> Column:
     pattern = rf"(?<![/.{WORD[1:-1]}-])" + spark_pattern(V.FILE_LOCATION_PATTERN)
     name = F.substring_index(F.regexp_extract(text, pattern, 1), "/", -1)
     line = F.regexp_extract(text, pattern, 2)
-    found = F.when(line == "", name).otherwise(F.concat(name, F.lit(":"), line))
+    found = F.concat_ws(":", name, F.nullif(line, F.lit("")))
     return F.when(_holds(text, ".java", ".py", ".go", ".js", ".ts"), found).otherwise("")
 
 
