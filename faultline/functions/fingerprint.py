@@ -57,8 +57,8 @@ def fingerprint_of(key: Column) -> Column:
 
 
 def with_fingerprint(logs: DataFrame) -> DataFrame:
-    """Add ``fingerprint`` and ``error_type`` to a log table."""
-    text = F.col("raw_log")
+    """Add ``fingerprint`` and ``error_type`` to a log table; a missing text counts as ''."""
+    text = F.coalesce("raw_log", F.lit(""))
     found = logs.withColumns({"error_type": error_type(text), "file_location": file_location(text)})
     key = fingerprint_key(F.col("error_type"), F.col("file_location"), normalized(text))
     return found.withColumn("fingerprint", fingerprint_of(key)).drop("file_location")

@@ -16,9 +16,12 @@ def rstrip(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text on any Unicode line break; no empty piece after the last break."""
-    parts = F.split(text, LINE_BREAK, -1)
-    size = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, size - 1)).otherwise(parts)
+
+    def without_last_blank(parts):
+        return F.slice(parts, 1, F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0))
+
+    # As the one element of an array, so that the text is split once.
+    return F.get(F.transform(F.array(F.split(text, LINE_BREAK, -1)), without_last_blank), F.lit(0))
 
 
 def first_group(text: Column, pattern: str, group: int = 1, **flags) -> Column:

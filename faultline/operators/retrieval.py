@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.text import split_lines
 from ..session import written_side
 from .stacktrace import unique_files
 
@@ -59,26 +60,26 @@ def cut_snippets(
 
     Many logs ask for the same lines of the same file, so requests are made
     distinct first (this combines before its shuffle) and each file is sliced in
-    place; where few requests are left, the files are not shuffled. ``working_tree(file_path, lines)`` serves files that a ref lacks.
+    place; where few requests are left, the files are not shuffled. ``working_tree(file_path, text)`` serves files that a ref lacks.
     """
     asked = written_side(requests.groupBy(*_REQUEST).agg(F.min("center").alias("center")), "requests")
-    files = code_files.select("ref", "file_path", "lines", "commit_sha")
+    files = code_files.select("ref", "file_path", "text", "commit_sha")
     if working_tree is None:
         found = asked.join(files, ["ref", "file_path"])
     else:
         refs = code_files.groupBy("ref").agg(F.max("commit_sha").alias("ref_sha"))
-        other = working_tree.select("file_path", F.col("lines").alias("other_lines"))
+        other = working_tree.select("file_path", F.col("text").alias("other_text"))
         found = (
             asked.join(files, ["ref", "file_path"], "left")
             .join(other, "file_path", "left")
             .join(refs, "ref", "left")
             .withColumns(
                 {
-                    "lines": F.coalesce("lines", "other_lines"),
+                    "text": F.coalesce("text", "other_text"),
                     "commit_sha": F.coalesce("commit_sha", "ref_sha", F.lit("")),
                 }
             )
-            .filter(F.col("lines").isNotNull())
+            .filter(F.col("text").isNotNull())
         )
     start = F.greatest(F.lit(1), F.col("center") - context_lines)
     end = F.least(F.size("lines"), F.col("center") + context_lines)
@@ -92,7 +93,8 @@ def cut_snippets(
         return F.concat(mark, _numbered(line, number))
 
     return (
-        found.withColumns({"start_line": start, "end_line": end})
+        found.withColumn("lines", split_lines(F.col("text")))
+        .withColumns({"start_line": start, "end_line": end})
         .withColumn("window", window)
         .select(
             *_REQUEST,

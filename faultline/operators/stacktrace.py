@@ -26,11 +26,17 @@ def log_header(text: Column) -> Column:
     )
 
 
+# Pieces of which a trace line of the language must hold one.
+_TRACE_PIECES = {"java": [".java:"], "python": ['.py"'], "go": [".go:"], "node": [".js:", ".ts:", ".mjs:"]}
+
+
 def log_language(text: Column) -> Column:
-    language = F.lit("unknown")
-    for name, pattern in reversed(V.LANGUAGE_PATTERNS):
-        language = F.when(hits(text, pattern, multiline=True), F.lit(name)).otherwise(language)
-    return language
+    """Language of the first pattern that hits; a plain search spares most texts the patterns."""
+    language = None
+    for name, pattern in V.LANGUAGE_PATTERNS:
+        hit = _holds_any(text, _TRACE_PIECES[name]) & hits(text, pattern, multiline=True)
+        language = F.when(hit, F.lit(name)) if language is None else language.when(hit, F.lit(name))
+    return language.otherwise("unknown")
 
 
 def _frame(language: str, path: Column, line: Column, function: Column, cls: Column, raw: Column) -> Column:

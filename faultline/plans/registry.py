@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fingerprint import error_type, file_location, normalized, with_fingerprint
 from ..functions.severity import with_severity_attributes
 from ..operators import dedup, prompts, retrieval, routing, rules, scoring, stacktrace, stats, tuning, windows
-from ..session import SETTINGS, fresh_path, shared_folder, written
+from ..session import SETTINGS, fresh_path, shared_folder, spread, written
 from ..sources.code import code_lines
 from ..sources.logs import read_log_lines, read_log_stream
 from ..sources.views import code_view, log_view, read_table, sft_view
@@ -44,15 +44,9 @@ def _plain(df: DataFrame) -> DataFrame:
     )
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input with fewer splits than cores; large ones pass as is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["event_id", "ts", "user_id", "event_type"]
-    return log_view(_spread(read_table(spark, sf_dir, "events").select(*columns)))
+    return log_view(spread(read_table(spark, sf_dir, "events").select(*columns)))
 
 
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input with fewer splits than cores; larger ones pass as is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/faultline/{label}-{uuid.uuid4().hex}"
 

@@ -1,8 +1,8 @@
 """Source-code snapshots.
 
-``code_files(ref, file_path, lines array<string>, commit_sha)`` holds one row
-per file; a window round a line is a slice of ``lines``, with no join per line.
-Any table of this shape can serve as the place code is looked up.
+``code_files(ref, file_path, text, commit_sha)`` holds one row per file; a window
+round a line is cut out of the text once the file is found, with no join per
+line. Any table of this shape can serve as the place code is looked up.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.text import split_lines
 
 
-def code_files_from_text(texts: DataFrame) -> DataFrame:
-    """(ref, file_path, text[, commit_sha]) to code files."""
-    sha = F.col("commit_sha") if "commit_sha" in texts.columns else F.lit("")
-    return texts.select(
-        "ref",
-        "file_path",
-        split_lines(F.col("text")).alias("lines"),
-        F.coalesce(sha, F.lit("")).alias("commit_sha"),
-    )
-
-
 def read_snapshot(
     spark: SparkSession, root: str, ref: str = "HEAD", commit_sha: str = "", pattern: str = "*"
 ) -> DataFrame:
@@ -33,18 +22,17 @@ def read_snapshot(
     )
     # From the last match on, so that any scheme or mount in front is dropped.
     inside = F.element_at(F.split(F.col("_metadata.file_path"), f"\\Q{root.rstrip('/')}/\\E", 2), -1)
-    return code_files_from_text(
-        texts.select(
-            F.lit(ref).alias("ref"),
-            F.url_decode(inside).alias("file_path"),
-            F.make_valid_utf8("value").alias("text"),
-            F.lit(commit_sha).alias("commit_sha"),
-        )
+    return texts.select(
+        F.lit(ref).alias("ref"),
+        F.url_decode(inside).alias("file_path"),
+        F.make_valid_utf8("value").alias("text"),
+        F.lit(commit_sha).alias("commit_sha"),
     )
 
 
 def code_lines(files: DataFrame) -> DataFrame:
     """One row per line: (ref, file_path, line_no, text)."""
-    return files.select("ref", "file_path", F.posexplode("lines").alias("at", "text")).select(
+    lines = split_lines(F.col("text"))
+    return files.select("ref", "file_path", F.posexplode_outer(lines).alias("at", "text")).filter("at >= 0").select(
         "ref", "file_path", (F.col("at") + 1).alias("line_no"), "text"
     )

@@ -49,8 +49,14 @@ def read_log_stream(
     schema: str | StructType = LOG_SCHEMA,
     **options,
 ) -> DataFrame:
-    """Unbounded log records from a file source, or another source by its options."""
+    """Unbounded log records from a file source, or from Kafka by its options."""
     reader = spark.readStream.format(format).options(**options)
-    if format not in ("kafka", "rate"):
-        reader = reader.schema(schema)
+    if format == "kafka":
+        return logs_from_messages(reader.load(), schema)
+    reader = reader.schema(schema)
     return reader.load(path) if path else reader.load()
+
+
+def logs_from_messages(messages: DataFrame, schema: str | StructType = LOG_SCHEMA) -> DataFrame:
+    """Messages with a JSON ``value`` as log records."""
+    return messages.select(F.from_json(F.col("value").cast("string"), schema).alias("log")).select("log.*")

@@ -5,8 +5,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .code import code_files_from_text
-
 SERVICES = ["payment-service", "order-service", "report-service", "file-service", "config-service"]
 LEVELS = {"error": "ERROR", "purchase": "CRITICAL", "view": "WARN", "click": "INFO", "signup": "FATAL"}
 
@@ -85,8 +83,9 @@ def code_view(documents: DataFrame) -> DataFrame:
     paths = F.array(
         F.concat(F.lit("Doc"), doc, F.lit(".java")), F.concat(F.lit("app/mod"), doc, F.lit(".py"))
     )
-    texts = documents.select(F.lit("HEAD").alias("ref"), F.explode(paths).alias("file_path"), "text")
-    return code_files_from_text(texts)
+    return documents.select(
+        F.lit("HEAD").alias("ref"), F.explode(paths).alias("file_path"), "text", F.lit("").alias("commit_sha")
+    )
 
 
 def sft_view(conversations: DataFrame) -> DataFrame:

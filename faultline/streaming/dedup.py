@@ -19,6 +19,7 @@ from ..operators.routing import audit_records, ignored_documents, outbox, route
 from ..operators.rules import with_rule
 from ..operators.scoring import ChatFactory, classify
 from ..operators.windows import anchored_windows, open_windows, with_representatives
+from ..session import spread
 
 GROUP_SCHEMA = (
     "log_id long, fingerprint string, kind string, count long, first_seen timestamp, last_seen timestamp, "
@@ -30,11 +31,6 @@ def _batch_folder(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/batch_id={batch_id}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def _newest(batch: DataFrame, carried: DataFrame | None) -> int:
     """Newest log time so far, in microseconds: one number from one column."""
     micros = [batch.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]]
@@ -59,17 +55,17 @@ def dedup_batch(
     of their fingerprint is NEW.
     """
     spark = batch.sparkSession
-    before = _batch_folder(f"{root}/groups", batch_id - 1)
     carried = None
-    if batch_id > 0 and _exists(spark, before):
+    if batch_id > 0:  # fails where the batch before has left nothing: its windows would be lost
+        before = _batch_folder(f"{root}/groups", batch_id - 1)
         carried = open_windows(spark.read.schema(GROUP_SCHEMA).parquet(before))
-    logs = keyed(batch)
-    groups = anchored_windows(logs, window_seconds, threshold, eager=close_idle, carried=carried)
-    texts = logs.select("log_id", "raw_log", "service_name", "error_type")
+    batch = spread(batch)
+    groups = anchored_windows(batch, window_seconds, threshold, eager=close_idle, carried=carried)
+    # The error type is left to the join's few rows unless the table has it.
+    columns = [c for c in ("log_id", "raw_log", "service_name", "error_type") if c in batch.columns]
+    texts = batch.select(*columns)
     if carried is not None:
-        texts = texts.unionByName(
-            carried.select("log_id", F.col("representative_log").alias("raw_log"), "service_name", "error_type")
-        )
+        texts = texts.unionByName(carried.withColumnRenamed("representative_log", "raw_log").select(*columns))
     told = with_representatives(groups, texts)
     if close_idle:
         age = F.lit(_newest(batch, carried)) - F.lit(int(delay_seconds * 1e6)) - F.unix_micros("first_seen")

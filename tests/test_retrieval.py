@@ -4,7 +4,7 @@ from faultline import fixed_values as V
 from faultline.operators import prompts, retrieval, routing
 from faultline.operators.stacktrace import parse_logs
 from faultline.plans.rca import analyse, prompts_for
-from faultline.sources.code import code_files_from_text, code_lines
+from faultline.sources.code import code_lines
 
 TRACE = "\n".join(
     ["ERROR [etl] failed", "Traceback:"]
@@ -19,7 +19,7 @@ def logs(spark, *texts):
 
 def code(spark, n_files=6, ref="HEAD"):
     rows = [(ref, f"f{i}.py", "\n".join(f"line {i}.{n} | x" for n in range(1, 13)) + "\n", "abc1234") for i in range(n_files) if i != 3]
-    return code_files_from_text(spark.createDataFrame(rows, "ref string, file_path string, text string, commit_sha string"))
+    return spark.createDataFrame(rows, "ref string, file_path string, text string, commit_sha string")
 
 
 def found(spark, *texts, files=None, **options):
@@ -57,7 +57,7 @@ def test_own_ref_and_working_tree(spark):
     requests = retrieval.file_requests(parsed, 2, "v2")
     cut = retrieval.snippets(requests, retrieval.cut_snippets(requests, both, 2)).collect()
     assert sorted((r.log_id, r.ref, r.file_path) for r in cut) == [(0, "v1", "f0.py"), (1, "v2", "f1.py")]
-    tree = code(spark).select("file_path", "lines")
+    tree = code(spark).select("file_path", "text")
     more = retrieval.snippets(requests, retrieval.cut_snippets(requests, both, 2, working_tree=tree)).collect()
     assert len(more) == 4 and {r.commit_sha for r in more} == {"abc1234"}
 

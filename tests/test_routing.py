@@ -42,7 +42,7 @@ def test_documents_hold_more_of_the_log(spark):
 
 def test_bodies(spark):
     df = results(spark).filter("severity = 'P0_CRITICAL'")
-    boxed = routing.outbox(df.crossJoin(spark.createDataFrame([(h,) for h in [*routing.BODIES, "other"]], "handler string")))
+    boxed = routing.outbox(df.withColumn("handler", F.explode(F.array(*[F.lit(h) for h in [*routing.BODIES, "other"]]))))
     body = {r.handler: r.body and json.loads(r.body) for r in boxed.collect()}
     reason = df.first().reason
     assert body["notification"]["severity"] == "P0_CRITICAL"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from faultline.operators import tuning
 from faultline.session import shared_folder
 from faultline.sources.code import read_snapshot
-from faultline.sources.logs import read_incident_files, read_log_lines
+from faultline.sources.logs import logs_from_messages, read_incident_files, read_log_lines
 from faultline.sources.sft import read_sft_json
 
 
@@ -18,6 +18,12 @@ def test_log_lines(spark, tmp_path):
     assert df.select("log_id").distinct().count() == 4 and {r.service_name for r in df.collect()} == {"svc"}
 
 
+def test_messages(spark):
+    message = json.dumps({"log_id": 7, "ts": "2024-01-02T03:04:05Z", "service_name": "s", "raw_log": "x\ny"})
+    row = logs_from_messages(spark.createDataFrame([(bytearray(message.encode()),)], "value binary")).first()
+    assert (row.log_id, row.service_name, row.raw_log) == (7, "s", "x\ny")
+
+
 def test_incident_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n  at x\n")
     (tmp_path / "b.txt").write_text("two")
@@ -29,7 +35,7 @@ def test_snapshot(spark, tmp_path):
     (tmp_path / "src" / "a b" / "x.py").write_text("1\n2\n")
     (tmp_path / "src" / "y.txt").write_text("no")
     rows = read_snapshot(spark, str(tmp_path / "src"), "v1", "abc", "*.py").collect()
-    assert [tuple(r) for r in rows] == [("v1", "a b/x.py", ["1", "2"], "abc")]
+    assert [tuple(r) for r in rows] == [("v1", "a b/x.py", "1\n2\n", "abc")]
 
 
 def test_sft(spark, tmp_path):
