@@ -14,8 +14,8 @@ a hot fingerprint into as many slices as it needs:
 1. a slice of a cut fingerprint is summed up as a table of at most ``threshold``
    rows: for each row a window may first start at, the window left open at the
    slice's end (a window that comes in from the left closes within that many rows);
-2. these summaries, one row per slice, are followed from left to right, which
-   gives every slice the window that comes in;
+2. these summaries are followed from left to right, which gives every slice the
+   window that comes in;
 3. all slices are then swept at once, in constant memory.
 
 Only (fingerprint, ts, log_id) take part. The texts of the windows' first logs
@@ -39,7 +39,7 @@ ROWS_PER_SLICE = 2_000_000
 KINDS = ["NEW", "THRESHOLD", "EXPIRED", "FLUSH"]
 NEW, THRESHOLD, EXPIRED, FLUSH = range(4)
 
-_SUMMARY = "fp long, slice int, n long, head array<long>, first array<long>, id array<long>, held array<long>, last long"
+_SUMMARY = "fp long, slice int, at long, n long, head long, first long, id long, held long, last long"
 _ENTRY = "fp long, slice int, in_first long, in_id long, in_held long, in_last long"
 _EMISSION = "fp long, kind int, n long, first long, last long, log_id long"
 
@@ -184,7 +184,7 @@ def _entries(cuts: DataFrame, index: DataFrame, span: int, limit: int) -> DataFr
     summaries = rows.mapInPandas(lambda parts: _summarise(parts, span, limit), _SUMMARY)
     followed = (
         summaries.repartition("fp")
-        .sortWithinPartitions("fp", "slice")
+        .sortWithinPartitions("fp", "slice", "at")
         .mapInPandas(lambda parts: _follow(parts, span, limit), _ENTRY)
     )
     return cuts.join(followed, ["fp", "slice"])
@@ -238,14 +238,15 @@ def _summarise(parts: Iterator[pd.DataFrame], span: int, limit: int) -> Iterator
         last = rows["last"] if "last" in rows else rows["ts"]
         yield pd.DataFrame(
             {
-                "fp": [fp],
-                "slice": [slice_],
-                "n": [n],
-                "head": [ts[: min(limit, n)]],
-                "first": [ts[starts]],
-                "id": [rows["log_id"].to_numpy()[starts]],
-                "held": [np.where(weight >= limit, 0, weight)],
-                "last": [int(last.iloc[-1])],
+                "fp": fp,
+                "slice": slice_,
+                "at": here[: len(starts)],
+                "n": n,
+                "head": ts[: len(starts)],
+                "first": ts[starts],
+                "id": rows["log_id"].to_numpy()[starts],
+                "held": np.where(weight >= limit, 0, weight),
+                "last": last.iloc[-1],
             }
         )
 
@@ -254,10 +255,11 @@ def _whole_runs(parts):
     """The rows of one (fp, slice) at a time; a run is at most a partition's rows."""
     key, pieces = None, []
     for batch in parts:
-        fp = batch["fp"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else []
+        fp, slice_ = batch["fp"].to_numpy(), batch["slice"].to_numpy()
+        changes = (fp[1:] != fp[:-1]) | (slice_[1:] != slice_[:-1])
+        cuts = np.flatnonzero(np.r_[True, changes]) if len(fp) else []
         for a, b in zip(cuts, [*cuts[1:], len(fp)]):
-            here = (int(fp[a]), int(batch["slice"].iat[a]))
+            here = (int(fp[a]), int(slice_[a]))
             if here != key:
                 if pieces:
                     yield key, pd.concat(pieces)
@@ -269,29 +271,32 @@ def _whole_runs(parts):
 
 def _follow(parts: Iterator[pd.DataFrame], span: int, limit: int) -> Iterator[pd.DataFrame]:
     """Hand the open window of each fingerprint from slice to slice."""
-    fp, window = None, None
-    for batch in parts:
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.fp != fp:
-                fp, window = row.fp, None
-            out.append((row.fp, row.slice, *(window or (0, 0, 0, 0))))
-            window = _after_slice(window, row, span, limit)
-        yield pd.DataFrame(out, columns=["fp", "slice", "in_first", "in_id", "in_held", "in_last"])
-
-
-def _after_slice(window, row, span, limit):
+    columns = ["fp", "slice", "in_first", "in_id", "in_held", "in_last"]
+    last_fp, window, out = None, None, []
+    for (fp, slice_), summary in _whole_runs(parts):
+        if fp != last_fp:
+            last_fp, window = fp, None
+        out.append((fp, slice_, *(window or (0, 0, 0, 0))))
+        window = _after_slice(window, summary, span, limit)
+        if len(out) == 1000:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    yield pd.DataFrame(out, columns=columns)
+
+
+def _after_slice(window, summary, span, limit):
+    n, last = int(summary["n"].iat[0]), int(summary["last"].iat[0])
     start = 0
     if window is not None:
         first, log_id, held, _ = window
-        past = int(np.searchsorted(row.head, first + span, side="right"))
+        past = int(np.searchsorted(summary["head"].to_numpy(), first + span, side="right"))
         missing = limit - held
-        if past >= row.n and missing > row.n:
-            return first, log_id, held + row.n, row.last
+        if past >= n and missing > n:
+            return first, log_id, held + n, last
         start = min(past, missing)
-    if start >= row.n or row.held[start] == 0:
+    if start >= n or summary["held"].iat[start] == 0:
         return None
-    return int(row.first[start]), int(row.id[start]), int(row.held[start]), row.last
+    return (*(int(summary[c].iat[start]) for c in ("first", "id", "held")), last)
 
 
 def _sweep(parts: Iterator[pd.DataFrame], span: int, limit: int, eager: bool) -> Iterator[pd.DataFrame]:
