@@ -35,7 +35,3 @@ def hits(text: Column, pattern: str, **flags) -> Column:
 
 def blank_as(text: Column, other: str) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(other)).otherwise(text)
-
-
-def epoch_seconds(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)

@@ -14,7 +14,7 @@ from ..sources.logs import read_log_lines, read_log_stream
 from ..sources.views import code_view, log_view, read_table, sft_view
 from ..streaming import dedup as streams
 from .rca import parsed_once, prompts_for
-from .stub_model import stub_model
+from .stub_model import ANSWERS, stub_model
 from .triage import triage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,17 +213,11 @@ def stored_responses(spark, sf_dir):
     """Triage by answers kept in a table instead of calls."""
     ruled = rules.with_rule(_groups(spark, sf_dir))
     digit = F.conv(F.substring("fingerprint", 1, 1), 16, 10).cast("int")
-    answers = F.array(*[F.lit(a) for a in _answers()])
+    answers = F.array(*[F.lit(a) for a in ANSWERS])
     stored = written(ruled.select("fingerprint", F.get(answers, digit % 6).alias("content")), "responses")
     return scoring.classify(ruled, responses=stored).select("fingerprint", "severity", "reason", "source")
 
 
-def _answers() -> list[str]:
-    from .stub_model import ANSWERS
-
-    return ANSWERS
-
-
 @_query
 def ungrouped_triage(spark, sf_dir):
     results = triage(_logs(spark, sf_dir), use_aggregation=False)

@@ -98,7 +98,7 @@ def test_long_logs_are_cut(spark):
     assert long[1].prompt_chars == len(V.RCA_SYSTEM) + len(long[1].user_prompt)
 
 
-def test_reports_keep_failures_apart(spark):
+def test_reports_keep_failures_apart(spark, tmp_path):
     def factory():
         def chat(system, user, temperature, max_tokens):
             assert system.startswith("你是一名资深的软件工程师") and (temperature, max_tokens) == (0.1, 2048)
@@ -114,8 +114,9 @@ def test_reports_keep_failures_apart(spark):
     assert (rows[0].prompt_tokens, rows[0].completion_tokens) == (7, 5)
     assert (rows[1].status, rows[1].error, rows[1].prompt_tokens) == ("failed", "slow", None)
     assert prompts.completed(reports).count() == 1
-    text = routing.report_texts(prompts.completed(reports), F.lit("nightly")).first().value
-    assert text == "# 根因分析报告：nightly\n\n## report"
+    for _ in range(2):
+        routing.write_reports(prompts.completed(reports), str(tmp_path), F.lit("nightly"))
+    assert {r.value for r in spark.read.parquet(str(tmp_path)).collect()} == {"# 根因分析报告：nightly\n\n## report"}
 
 
 def test_code_lines(spark):

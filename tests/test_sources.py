@@ -1,10 +1,11 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import tuning
-from faultline.session import shared_folder
+from faultline.session import drop_scratch, shared_folder, written
 from faultline.sources.code import read_snapshot
 from faultline.sources.logs import logs_from_messages, read_incident_files, read_log_lines
 from faultline.sources.sft import read_sft_json
@@ -59,6 +60,14 @@ def test_split_is_stable_and_near_its_share(spark):
     assert a == b and 300 < len(a) < 500
 
 
+def test_scratch_can_be_dropped(spark):
+    df = written(spark.range(5), "test")
+    place = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert df.count() == 5 and os.path.isdir(place)
+    drop_scratch(spark)
+    assert not os.path.exists(place)
+
+
 def test_shared_folder_is_the_session_setting(spark):
     assert shared_folder(spark) == shared_folder(spark)
 
