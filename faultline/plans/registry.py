@@ -178,7 +178,9 @@ def rule_hit_rate(spark, sf_dir):
 def rule_usage(spark, sf_dir):
     """Rules per level, how many of them hit any log, and the logs they hit."""
     table = rules.rule_table(spark).select("name", "severity")
-    hit = rules.rule_scan(_logs(spark, sf_dir)).groupBy("rule_name").agg(F.count(F.lit(1)).alias("n"))
+    # A key that cannot be null, so that the join puts no condition on the rules below it.
+    name = F.coalesce("rule_name", F.lit("")).alias("rule_name")
+    hit = rules.rule_scan(_logs(spark, sf_dir)).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
     used = table.join(hit, F.col("name") == F.col("rule_name"), "left")
     return used.groupBy("severity").agg(
         F.count(F.lit(1)).alias("rules"),
@@ -347,7 +349,7 @@ def log_language(spark, sf_dir):
 
 
 def _frames(spark, sf_dir, language):
-    return stacktrace.frame_table(_parsed(spark, sf_dir).filter(F.col("language") == language))
+    return stacktrace.frame_table(_parsed(spark, sf_dir)).filter(F.col("language") == language)
 
 
 @_query
@@ -401,7 +403,7 @@ def source_lines(spark, sf_dir):
 
 @_query
 def file_requests(spark, sf_dir):
-    requests = retrieval.file_requests(_parsed(spark, sf_dir), max_files=2)
+    requests = retrieval.file_requests(parsed_once(_logs(spark, sf_dir)), max_files=2)
     failing = F.array_join(F.transform("highlight_lines", lambda n: n.cast("string")), ",")
     return requests.withColumn("highlight_lines", failing)
 

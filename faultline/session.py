@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A row costs patterns or model calls here, so few rows are work enough for a task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Methods above this size are not compiled by the JVM; smaller pieces per operator are.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Equi-joins here have one side that is unique on the key, so a hot key only
     # swells the other side; adaptive execution splits that side.
     "spark.sql.adaptive.skewJoin.enabled": "true",
