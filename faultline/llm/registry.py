@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup
+from . import byte_bpe, chat, exact_dedup, packing, token_counts
 from .common import apply_settings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,22 @@ def _query(build: Query) -> Query:
     return run
 
 
+@_query
+def op2_chat(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    same = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", same), (-1, 1, "assistant", same)], rows.schema)
+    return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
+
+
+@_query
+def op6_packing(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), path))
+
+
 @_query
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -37,3 +53,13 @@ def op8_byte_bpe(spark, sf_dir):
         public_tokenizers.PATTERN,
     )
     return byte_bpe.coding_digests(coded)
+
+
+@_query
+def op9_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.token_counts(
+        table(spark, sf_dir, "documents"), lambda: token_counts.sentencepiece_vocabulary(path), mark="\u2581"
+    )

@@ -1,6 +1,25 @@
 """DuckDB SQL that gives the rows of the queries it names."""
 
 SQL = {
+    "op2_chat": r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+chars AS (
+    SELECT *, length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g'))
+        + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+            ELSE 18 + length(role) + length(regexp_replace(role, '[^\\<\[]', '', 'g')) END AS n,
+        lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+    FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(n)::BIGINT AS formatted_chars,
+    bool_and((before, role) IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')))
+        AND arg_max(role, (coalesce(turn, -1), role, text)) = 'assistant' AS valid
+FROM chars GROUP BY conv_id""",
     "op7_exact_dedup": r"""
 WITH rows AS (
     SELECT doc_id, length(coalesce(text, '')) AS n,
