@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, packing, token_counts
+from . import byte_bpe, chat, exact_dedup, packing, token_counts, url_filter
 from .common import apply_settings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,24 @@ def _query(build: Query) -> Query:
     return run
 
 
+# Words that name bad hosts: the seed from which urls are labelled.
+BAD_HOST_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+@_query
+def op1_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.UrlModel(url_filter.seed_labels(pages, BAD_HOST_WORDS))
+    return url_filter.url_verdicts(pages, model, URL_RULES)
+
+
 @_query
 def op2_chat(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
