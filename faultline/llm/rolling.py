@@ -54,12 +54,14 @@ class PrefixHash:
     """Hashes of ``data[start:end]`` for arrays of starts and ends."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        up, self.down = _tables(which, len(data) + 1)
+        self.up, self.down = _tables(which, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(_VALUES[data] * self.up[: len(data)], out=self.sums[1:])
 
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+    def raw(self, start: np.ndarray, end: np.ndarray, then: int | None = None) -> np.ndarray:
+        """Hashes of the strings, or of the strings followed by the byte ``then``."""
+        own = (self.sums[end] - self.sums[start]) * self.down[start]
+        return own if then is None else own + _VALUES[then] * self.up[end - start]
 
     def all_of(self, k: int) -> np.ndarray:
         """Hash of every string of ``k`` bytes, by start."""
