@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, packing, token_counts, toxicity, url_filter
+from . import byte_bpe, chat, exact_dedup, near_dedup, packing, token_counts, toxicity, url_filter
 from .common import apply_settings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op4_minhash(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=4)
+
+
 @_query
 def op6_packing(spark, sf_dir):
     import public_tokenizers
