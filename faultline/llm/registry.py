@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, near_dedup, packing, token_counts, toxicity, url_filter
+from . import byte_bpe, chat, exact_dedup, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
 from .common import apply_settings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op4_minhash(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=4)
 
 
+@_query
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removal_digests(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
 @_query
 def op6_packing(spark, sf_dir):
     import public_tokenizers
