@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
+from . import byte_bpe, chat, exact_dedup, near_dedup, nearest, packing, suffix_dedup, token_counts, toxicity, url_filter
 from .common import apply_settings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +97,8 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.token_counts(
         table(spark, sf_dir, "documents"), lambda: token_counts.sentencepiece_vocabulary(path), mark="\u2581"
     )
+
+
+@_query
+def op10_nearest(spark, sf_dir):
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
