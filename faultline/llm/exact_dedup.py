@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import WHITE_SPACE, texts
+from .common import WHITE_SPACE, column, texts
 
 HEAD = 32
 SALTS = 64
@@ -70,6 +70,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; identifiers must be unique."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi")
+    """The documents that stay, with all their columns. Rows of one identifier (or of none) stay if one of them does."""
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, column(id_col).eqNullSafe(F.col("kept_id")), "left_semi")

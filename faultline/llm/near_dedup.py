@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import batches, texts
+from .common import batches, column, texts
 from .components import components
 from .rolling import PrefixHash, mixed, row_slices, text_bytes
 
@@ -262,6 +262,7 @@ def near_groups(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, with all their columns; identifiers must be unique."""
+    """The documents that stay, with all their columns. Rows of one identifier (or of none) stay if one of them does."""
     kept = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter("kept")
-    return docs.join(kept.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    kept = kept.select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, column(id_col).eqNullSafe(F.col("kept_id")), "left_semi")

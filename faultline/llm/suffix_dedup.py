@@ -18,7 +18,7 @@ whole texts to bring results home; all streamed in sorted order. Only the differ
 Defined results. A null text is empty. Texts shorter than ``LENGTH`` bytes lose nothing. A null identifier comes after all
 others. Rows with equal identifier and text are one document: repeats of a row are not repeats of its text, and all its rows
 get the same result. Different texts under one identifier are different documents. No rows give no rows; other
-columns are not looked at. Kept bytes may end inside a character; ``kept_text`` drops such fragments.
+columns are not looked at. Kept bytes may end inside a character.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written
-from .common import batches, texts
+from .common import batches, column, texts
 from .rolling import PrefixHash, mixed, row_slices, text_bytes
 from .suffix_sort import shared_prefixes, suffix_array
 
@@ -264,11 +265,13 @@ def _compare(length: int) -> Callable:
     return run
 
 
-def _without(length: int) -> Callable:
+def _without(length: int, as_text: bool) -> Callable:
+    """Takes text, places and columns to carry along; gives the carried ones, sizes and what is kept."""
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            data, offsets = text_bytes(batch.column(1))
-            lists = batch.column(2)
+            data, offsets = text_bytes(batch.column(0))
+            lists = batch.column(1)
             counts = np.diff(lists.offsets.to_numpy())
             start, _, n, _ = _unpack(-1 - lists.flatten().to_numpy(zero_copy_only=False))
             start = start + np.repeat(offsets[:-1], counts)
@@ -279,39 +282,31 @@ def _without(length: int) -> Callable:
             opens = np.zeros(len(data) + 1, bool)
             opens[offsets] = True
             runs = gone & (~np.concatenate([[False], gone[:-1]]) | opens[:-1]) if len(data) else gone
-            kept = data[~gone].tobytes()
+            whole = data[~gone].tobytes()
             sums = [np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone, runs, ~gone)]
+            kept = [whole[a:b] for a, b in zip(sums[2][:-1].tolist(), sums[2][1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    batch.column(2),
                     pa.array(np.diff(offsets)),
                     pa.array(np.diff(sums[0])),
                     pa.array(np.diff(sums[1])),
-                    pa.array(
-                        [kept[a:b] for a, b in zip(sums[2][:-1].tolist(), sums[2][1:].tolist(), strict=True)], pa.binary()
-                    ),
+                    pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
                 ],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                ["carried", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     return run
 
 
-def without_repeats(
-    docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes), kept (the other bytes): one row per row of ``docs``."""
+def _removed(docs: DataFrame, carried: list[str], as_text: bool, length: int, anchor: int, id_col: str, text_col: str) -> DataFrame:
+    """carried (a struct of the named columns), n_bytes, n_removed, n_spans, kept."""
     if not CUT_BYTES < anchor < length or length - anchor >= 1 << _N:
         raise ValueError("an anchor is shorter than a string, by less than 128 bytes")
     named = texts(docs, id_col, text_col).select(
-        "doc_id",
-        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"),
-        F.xxhash64("text").bitwiseAND((1 << _MARK) - 1).alias("mark"),
-        "text",
-    )
-    rows = named.select("id", "mark", "text").mapInArrow(
-        _segment_rows(length, anchor), "key long, segment long, " + PLACE
+        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), _mark(F.col("text")).alias("mark"), "text"
     )
+    rows = named.mapInArrow(_segment_rows(length, anchor), "key long, segment long, " + PLACE)
     judged = written(
         rows.repartition("key").sortWithinPartitions("key", "segment").mapInArrow(_judge, "key long, " + PLACE), "judged"
     )
@@ -321,9 +316,7 @@ def without_repeats(
         .agg(F.collect_list(F.struct("key", "place")).alias("open"))
     )
     pieces = (
-        named.select("id", "mark", "text")
-        .dropDuplicates(["id", "mark"])
-        .join(opened, ["id", "mark"])
+        named.join(opened, ["id", "mark"])
         .select("id", "text", "open")
         .mapInArrow(_cut_out(length), "key long, " + PLACE + ", bytes binary")
     )
@@ -332,16 +325,55 @@ def without_repeats(
     by_text = repeats.groupBy("id", F.shiftright(-1 - F.col("place"), 14).bitwiseAND((1 << _MARK) - 1).alias("mark")).agg(
         F.collect_list("place").alias("places")
     )
-    return (
-        named.join(by_text, ["id", "mark"], "left")
-        .select("doc_id", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"))
-        .mapInArrow(_without(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    whole = docs.select(
+        F.struct(*[column(c) for c in carried]).alias("carried"),
+        F.coalesce(column(text_col), F.lit("")).alias("text"),
+        F.coalesce(column(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"),
+    ).withColumn("mark", _mark(F.col("text")))
+    joined = whole.join(by_text, ["id", "mark"], "left").select(
+        "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"), "carried"
+    )
+    schema = T.StructType(
+        [
+            T.StructField("carried", joined.schema["carried"].dataType),
+            *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")],
+            T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
+        ]
     )
+    return joined.mapInArrow(_without(length, as_text), schema)
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND((1 << _MARK) - 1)
 
 
-def kept_text(kept: Column) -> Column:
-    """The kept bytes as text, without fragments of characters."""
-    return F.replace(F.decode(kept, "UTF-8"), F.lit("�"), F.lit(""))
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes), kept (the other bytes): one row per row of ``docs``."""
+    found = _removed(docs, [id_col], False, length, anchor, id_col, text_col)
+    return found.select(F.col("carried")[id_col].cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def with_kept_text(
+    docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with the kept text in place of the text, and ``n_chars``, if there is such a column, made to fit it.
+
+    A row that loses nothing keeps its text, null or not. Fragments of characters at the seams are dropped.
+    """
+    found = _removed(docs, docs.columns, True, length, anchor, id_col, text_col)
+    changed = F.col("n_removed") > 0
+
+    def out(name: str) -> Column:
+        old = F.col("carried")[name]
+        if name == text_col:
+            return F.when(changed, F.col("kept")).otherwise(old).alias(name)
+        if name == "n_chars":
+            return F.when(changed, F.length("kept").cast(docs.schema[name].dataType)).otherwise(old).alias(name)
+        return old.alias(name)
+
+    return found.select(*[out(c) for c in docs.columns])
 
 
 def removal_digests(result: DataFrame) -> DataFrame:
