@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from .token_counts import word_lists
 TIERS = (256, 512, 1024, 2048, 4096)
 POOL_TOKENS = 1 << 20
 STEP_TOKENS = 8 * 4096
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 FIELDS = {
     "doc_id": pa.int64(),
@@ -71,8 +72,15 @@ class WordTokens:
         """Places of words in the tables, after adding those that are missing."""
         fresh = [w for w in words if w not in self.known]
         if len(self.known) + len(fresh) > self.most:
+            # Keep what this batch uses, which holds the common words.
+            kept = [w for w in words if w in self.known]
+            place = np.fromiter((self.known[w] for w in kept), np.int64, len(kept))
+            ids, ends = self.ids, self.ends
             self._forget()
-            fresh = words
+            starts, sizes = ends[place], ends[place + 1] - ends[place]
+            reach = np.concatenate([[0], np.cumsum(sizes)])
+            self.ids = ids[np.arange(reach[-1]) + np.repeat(starts - reach[:-1], sizes)]
+            self.ends, self.known = reach, dict(zip(kept, range(len(kept)), strict=True))
         if fresh:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -85,7 +93,7 @@ class WordTokens:
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Each text's ids with the end mark."""
-        words, ends = word_lists(column)
+        words, ends = word_lists(pc.ascii_lower(column))  # the tokenizer lower-cases in any case
         place = self._learn(words.dictionary.to_pylist())
         if len(words):
             own = place[words.indices.to_numpy(zero_copy_only=False)]
