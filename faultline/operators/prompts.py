@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..session import written
 from .scoring import ChatFactory, chat_over
 from .stacktrace import summary_text
 
@@ -84,7 +85,8 @@ def rca_reports(prompts: DataFrame, chat_factory: ChatFactory, parts: int | None
     """Model reports; a failed call leaves a row with status 'failed' and its error."""
     ref = F.col("ref") if "ref" in prompts.columns else F.lit("HEAD")
     asked = prompts.select("log_id", ref.alias("git_ref"), "error_type", "found_files", F.col("user_prompt").alias("user_text"))
-    told = chat_over(asked, chat_factory, V.RCA_SYSTEM, V.RCA_TEMPERATURE, V.RCA_MAX_TOKENS, parts=parts)
+    # Written once: reading the reports again asks no model again.
+    told = written(chat_over(asked, chat_factory, V.RCA_SYSTEM, V.RCA_TEMPERATURE, V.RCA_MAX_TOKENS, parts=parts), "reports")
     failed = F.col("error").isNotNull()
     return told.select(
         "log_id",

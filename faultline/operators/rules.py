@@ -10,7 +10,7 @@ RULE_SCHEMA = (
     "priority int, name string, severity string, pattern string, exclusion string, "
     "reason string, action string"
 )
-MAX_RULES = 1000
+CHUNK = 50
 
 
 def standard_rules() -> list[tuple]:
@@ -22,23 +22,26 @@ def rule_table(spark: SparkSession, rules: list[tuple] | None = None) -> DataFra
 
 
 def rules_from_table(table: DataFrame) -> list[tuple]:
-    """Rules of a configuration table, in order; refuses what is no rule set any more."""
+    """Rules of a configuration table, in order; they become expressions, so they are read to the driver."""
     names = [part.split()[0] for part in RULE_SCHEMA.split(", ")]
-    rows = table.select(*names).orderBy("priority").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule table may hold at most {MAX_RULES} rules")
-    return [tuple(row) for row in rows]
+    return [tuple(row) for row in table.select(*names).orderBy("priority").collect()]
 
 
 def rule_position(text: Column, rules: list[tuple]) -> Column:
-    """Position in ``rules`` of the first hit, null for none; later rules are not tried."""
-    position = None
-    for at, (_, _, _, pattern, exclusion, _, _) in enumerate(rules):
-        hit = hits(text, pattern, ignore_case=True)
-        if exclusion:
-            hit = hit & ~hits(text, exclusion, ignore_case=True)
-        position = F.when(hit, F.lit(at)) if position is None else position.when(hit, F.lit(at))
-    return F.lit(None).cast("int") if position is None else position
+    """Position in ``rules`` of the first hit, null for none; later rules are not tried.
+
+    Rules stand in chunks, so that neither depth nor size of an expression grows with the rule set.
+    """
+    chunks = [F.lit(None).cast("int")]
+    for start in range(0, len(rules), CHUNK):
+        position = F
+        for at, (_, _, _, pattern, exclusion, _, _) in enumerate(rules[start : start + CHUNK], start):
+            hit = hits(text, pattern, ignore_case=True)
+            if exclusion:
+                hit = hit & ~hits(text, exclusion, ignore_case=True)
+            position = position.when(hit, F.lit(at))
+        chunks.insert(-1, position)
+    return F.coalesce(*chunks)
 
 
 def with_rule(

@@ -16,11 +16,12 @@ from .. import fixed_values as V
 from ..functions.patterns import spark_pattern
 from ..functions.severity import is_valid
 from ..functions.text import strip
+from ..session import written
 from .dedup import frequency_per_minute, group_context
 
 ChatFactory = Callable[[], Callable[[str, str, float, int], tuple[str, str, dict]]]
 
-_VERDICT = "severity string, reason string, action string"
+_FIELDS = "severity:string,reason:string,action:string"
 
 
 # --- prompts ----------------------------------------------------------------------
@@ -96,7 +97,9 @@ def chat_over(
                     continue
                 began = time.perf_counter()
                 try:
-                    answer = (*chat(system, head + text + tail, temperature, max_tokens), None)
+                    content, model, usage = chat(system, head + text + tail, temperature, max_tokens)
+                    usage = {k: int(v) for k, v in (usage or {}).items() if v is not None}
+                    answer = (content, model, usage, None)
                 except Exception as error:  # one bad call must not end the job
                     answer = (None, "", {}, str(error))
                 answers.append((*answer, (time.perf_counter() - began) * 1000))
@@ -119,13 +122,24 @@ def verdict_text(content: Column) -> Column:
     return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(bare, F.lit("")), strip(content))
 
 
+def strict_verdict(text: Column) -> Column:
+    """(severity, reason, action) of a text that is one JSON object and nothing else; else null.
+
+    A JSON reader stops after the first value. Put into an array before an end mark, a text with
+    anything behind its object shows as an array of another length, or as none.
+    """
+    read = F.from_json(
+        F.concat(F.lit("["), text, F.lit(',{"end":1}]')), f"array<struct<{_FIELDS},end:int>>", {"allowSingleQuotes": "false"}
+    )
+    whole = text.startswith("{") & (F.size(read) == 2) & (F.get(read, F.lit(1))["end"] == 1)
+    return F.when(whole, F.get(read, F.lit(0)))
+
+
 def parsed_verdict(content: Column) -> Column:
     """(severity, reason, action), or null where the answer is no valid verdict."""
-    found = verdict_text(content)
-    verdict = F.from_json(found, _VERDICT, {"allowSingleQuotes": "false"})
-    # A text that holds no object parses to nulls and so has no valid severity.
+    verdict = strict_verdict(verdict_text(content))
     return F.when(
-        found.startswith("{") & found.endswith("}") & is_valid(verdict["severity"]),
+        is_valid(verdict["severity"]),
         F.struct(
             verdict["severity"].alias("severity"),
             F.coalesce(verdict["reason"], F.lit("")).alias("reason"),
@@ -191,11 +205,21 @@ def classify(
     )
     by_rule = F.col("rule_severity").isNotNull()
     if chat_factory is not None:
-        # One pass for all rows: splitting them would compute the groups twice.
-        asked = kept.withColumn("user_text", F.when(~by_rule, prompt_log()))
-        scored = chat_over(
-            asked, chat_factory, V.TRIAGE_SYSTEM, V.TRIAGE_TEMPERATURE, V.TRIAGE_MAX_TOKENS, prompt_frame(), parts
+        # Groups and answers are written once: the model is asked once for each miss, however many sinks read
+        # the results, and only keys and texts of misses travel to it.
+        kept = written(kept.withColumn("ask_id", F.monotonically_increasing_id()), "ruled")
+        asked = kept.filter(~by_rule).select("ask_id", prompt_log().alias("user_text"))
+        told = written(
+            chat_over(
+                asked, chat_factory, V.TRIAGE_SYSTEM, V.TRIAGE_TEMPERATURE, V.TRIAGE_MAX_TOKENS, prompt_frame(), parts
+            ),
+            "answers",
+        )
+        settled = kept.filter(by_rule).withColumns(
+            {"content": F.lit(None).cast("string"), "model": F.lit(""), "error": F.lit(None).cast("string"), "elapsed_ms": F.lit(0.0)}
         )
+        misses = kept.filter(~by_rule).join(told, "ask_id")
+        scored = settled.unionByName(misses.select(*settled.columns)).drop("ask_id")
     else:
         if responses is not None:
             kept = kept.join(responses.select("fingerprint", "content"), "fingerprint", "left")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.severity import is_valid
+from ..functions.text import strip
+from .scoring import strict_verdict
 
 
 def sft_rows(records: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def with_split(rows: DataFrame, val_size: float, *key: str) -> DataFrame:
 
 def label_distribution(rows: DataFrame, column: str = "response") -> DataFrame:
     """Severity labels in the JSON of ``column``, counted; other texts count as UNKNOWN."""
-    label = F.from_json(F.col(column), "severity string")["severity"]
+    label = strict_verdict(strip(F.col(column)))["severity"]
     severity = F.when(is_valid(label), label).otherwise(F.lit("UNKNOWN"))
     counted = rows.select(severity.alias("severity")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
     every = rows.sparkSession.createDataFrame([(r[0],) for r in V.SEVERITIES], "severity string")

@@ -4,7 +4,7 @@ import re
 
 from .. import fixed_values as V
 from ..operators.scoring import prompt_frame
-from ..sources.views import LEVELS, LOG_TEXTS, SERVICES
+from ..sources.views import CODE_PATHS, LEVELS, LOG_TEXTS, SERVICES
 from .registry import BUDGET, CONTEXT, NOW, STORM, WINDOW
 from .stub_model import ANSWERS
 
@@ -29,9 +29,9 @@ _SERVICE = _case([(f"user_id % 5 = {i}", q(s)) for i, s in enumerate(SERVICES)])
 _LEVEL = _case([(f"event_type = {q(k)}", q(v)) for k, v in LEVELS.items()])
 _FIELDS = {
     "m": "(user_id % 7)::VARCHAR",
-    "d": "(event_id % 200)::VARCHAR",
-    "n": "(1 + (event_id // 24) % 8)::VARCHAR",
-    "n2": "(3 + (event_id // 24) % 8)::VARCHAR",
+    "d": "(event_id * 37 % (SELECT count(*) FROM documents))::VARCHAR",
+    "n": "(1 + (event_id // 24) % 60)::VARCHAR",
+    "n2": "(3 + (event_id // 24) % 60)::VARCHAR",
     "user": "user_id::VARCHAR",
     "event": "event_id::VARCHAR",
     "ts": _TS,
@@ -137,7 +137,7 @@ _PROMPT = f"""({q(_HEAD)} || CASE WHEN length(context) > 1500
 
 
 def _answer(digest: str) -> str:
-    digit = f"(('0x' || substr({digest}, 1, 1))::INT % 6)"
+    digit = f"(('0x' || substr({digest}, 1, 1))::INT % {len(ANSWERS)})"
     return _case([(f"{digit} = {i}", q(a)) for i, a in enumerate(ANSWERS)])
 
 
@@ -252,8 +252,8 @@ TRACES = f"""{LOGS}, lines AS (
 
 _BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 CODE = f"""code AS (
-  SELECT unnest(['Doc' || doc_id || '.java', 'app/mod' || doc_id || '.py']) AS file_path,
-    CASE WHEN pieces[-1] = '' THEN pieces[:-2] ELSE pieces END AS lines
+  SELECT unnest([{", ".join(f"{q(a)} || doc_id || {q(b)}" for a, b in CODE_PATHS)}]) AS file_path,
+    doc_id, CASE WHEN pieces[-1] = '' THEN pieces[:-2] ELSE pieces END AS lines
   FROM (SELECT doc_id, regexp_split_to_array(text, {q(_BREAK)}) AS pieces FROM documents))"""
 SNIPPETS = f"""{TRACES}, {CODE}, windowed AS (
   SELECT log_id, pos, f.file_path, language, marks, lines, greatest(1, center - {CONTEXT}) AS start_line,
@@ -266,8 +266,18 @@ SNIPPETS = f"""{TRACES}, {CODE}, windowed AS (
       CASE WHEN list_contains(marks, n) THEN '>>> ' ELSE '    ' END || lpad(n::VARCHAR, 6, ' ') || ' | ' || lines[n]), chr(10)), '')
       AS marked_content
   FROM windowed)"""
-_RCA = f"""{SNIPPETS}, blocks AS (
-  SELECT log_id, i, n, block, sum(length(block)) OVER (PARTITION BY log_id ORDER BY i) <= {BUDGET} AS fits FROM (
+_BY_REF = f"""WITH {TRACES}, {CODE}, asked AS (
+  SELECT *, CASE WHEN log_id % 3 = 0 THEN 'HEAD' ELSE 'v1' END AS ref FROM files WHERE pos < {V.MAX_FILES}), held AS (
+  SELECT a.*, a.ref = 'v1' AND c.doc_id % 2 = 1 AS from_tree,
+    CASE WHEN a.ref = 'HEAD' THEN c.lines WHEN c.doc_id % 2 = 0 THEN list_transform(c.lines, lambda x: upper(x))
+      ELSE list_prepend('tree', c.lines) END AS lines, CASE WHEN a.ref = 'HEAD' THEN '' ELSE '0a1b2c3' END AS commit_sha
+  FROM asked a JOIN code c USING (file_path)), placed AS (
+  SELECT *, greatest(1, center - {CONTEXT}) AS start_line, least(len(lines), center + {CONTEXT})::INT AS end_line FROM held)"""
+
+
+def _rca(budget: int) -> str:
+    return f"""{SNIPPETS}, blocks AS (
+  SELECT log_id, i, n, block, sum(length(block)) OVER (PARTITION BY log_id ORDER BY i) <= {budget} AS fits FROM (
     SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY log_id) AS n,
       '### 片段 ' || row_number() OVER (PARTITION BY log_id ORDER BY pos) || ': `' || file_path || '`' || chr(10) ||
       '```' || language || chr(10) || marked_content || chr(10) || '```' AS block FROM snip)), sections AS (
@@ -281,6 +291,9 @@ _RCA = f"""{SNIPPETS}, blocks AS (
       chr(10) || chr(10) END || {q(V.RCA_TASK)} AS user_prompt
   FROM summarised p LEFT JOIN sections USING (log_id))"""
 
+
+_RCA = _rca(V.CODE_BUDGET_CHARS)
+
 SFT = """sft AS (
   SELECT u.conv_id, u.turn, coalesce(s.text, '') AS prompt, u.text AS query, a.text AS response
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
@@ -354,7 +367,8 @@ ORACLE: dict[str, str] = {
         SELECT log_id, fingerprint, coalesce(severity, 'P1_HIGH') AS severity,
           CASE WHEN rule_name IS NULL THEN 'default' ELSE 'rule' END AS source, 1::BIGINT AS count
         FROM scan LEFT JOIN rules USING (rule_name)""",
-    "result_records": f"""{_PLAIN} SELECT severity, reason, action, source, service_name AS service, count, fingerprint FROM results""",
+    "result_records": f"""{_PLAIN} SELECT severity, reason, action, source, service_name AS service, count,
+        round_even({_RATE}, 1) AS frequency, fingerprint FROM results""",
     "severity_attributes": f"{_PLAIN} SELECT severity, fingerprint, level, emoji, label_cn FROM results JOIN {_SEVERITIES} USING (severity)",
     "severity_stats": f"{_PLAIN} " + _DISTRIBUTION.format(counted="SELECT severity, count(*) AS n FROM results GROUP BY 1"),
     "source_stats": f"""{_PLAIN} SELECT source, coalesce(n, 0) AS n FROM (VALUES ('rule'), ('llm'), ('default')) t(source)
@@ -367,7 +381,7 @@ ORACLE: dict[str, str] = {
         ('P1_HIGH', 'audit', 1), ('P2_WARNING', 'audit', 1), ('P3_IGNORE', 'audit', 1), ('P3_IGNORE', 'ignored_archive', 2))
         t(severity, handler, seq) USING (severity)""",
     "audit_records": f"""{_PLAIN} SELECT {_AT} AS ts, severity, reason, action, source, service_name AS service, count, fingerprint,
-        substr(representative_log, 1, 300) AS raw_log_preview FROM results""",
+        round_even({_RATE}, 1) AS frequency, substr(representative_log, 1, 300) AS raw_log_preview FROM results""",
     "audit_files": f"{_PLAIN} SELECT severity, source, count(*) AS n FROM results GROUP BY 1, 2",
     "ignored_archive": f"""{_PLAIN} SELECT fingerprint, severity, substr(representative_log, 1, 300) AS raw_log_preview
         FROM results WHERE severity = 'P3_IGNORE'""",
@@ -408,6 +422,16 @@ ORACLE: dict[str, str] = {
         WHERE f.pos < {V.MAX_FILES} GROUP BY 1""",
     "rca_prompts": f"""WITH {_RCA} SELECT log_id, user_prompt, (length({q(V.RCA_SYSTEM)}) + length(user_prompt))::INT AS prompt_chars,
         found_files FROM rca""",
+    "rca_prompts_tight": f"""WITH {_rca(BUDGET)} SELECT log_id, user_prompt,
+        (length({q(V.RCA_SYSTEM)}) + length(user_prompt))::INT AS prompt_chars, found_files FROM rca""",
+    "snippets_by_ref": f"""{_BY_REF} SELECT log_id, pos, ref, file_path, start_line, end_line, commit_sha,
+        coalesce(array_to_string(list_transform(range(start_line, end_line + 1), lambda n:
+          lpad(n::VARCHAR, 6, ' ') || ' | ' || lines[n]), chr(10)), '') AS content FROM placed""",
+    "report_refs": f"""{_BY_REF} SELECT l.log_id, CASE WHEN l.log_id % 3 = 0 THEN 'HEAD' ELSE 'v1' END AS git_ref,
+        count(p.pos)::INT AS found_files FROM logs l LEFT JOIN placed p ON p.log_id = l.log_id AND NOT p.from_tree GROUP BY 1, 2""",
+    "rule_stats": f"""{_SCANNED} SELECT count(*) AS total_rules, count(*) FILTER (severity = 'P0_CRITICAL') AS p0_rules,
+        count(*) FILTER (severity = 'P1_HIGH') AS p1_rules, count(*) FILTER (severity = 'P3_IGNORE') AS p3_rules
+        FROM rules WHERE rule_name IN (SELECT rule_name FROM scan)""",
     "rca_reports": f"""WITH {_RCA} SELECT log_id, 'HEAD' AS git_ref, error_type, found_files, {_answer("md5(user_prompt)")} AS markdown,
         'stub' AS model, 'ok' AS status, NULL::VARCHAR AS error FROM rca""",
     "token_usage": f"""WITH {_RCA} SELECT log_id, length(user_prompt) AS prompt_tokens,

@@ -1,6 +1,7 @@
 """Root-cause analysis end to end: logs, frames, snippets, prompts, reports."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..operators.prompts import rca_prompts, rca_reports
@@ -30,6 +31,9 @@ def prompts_for(
 ) -> DataFrame:
     """The dry run: everything up to the prompts."""
     parsed = parsed_once(logs)
+    # A log's own ref comes first; requests and reports name the same one.
+    own_ref = F.nullif(F.col("ref"), F.lit("")) if "ref" in parsed.columns else F.lit(None)
+    parsed = parsed.withColumn("ref", F.coalesce(own_ref, F.lit(default_ref)))
     requests = file_requests(parsed, max_files, default_ref)
     found = snippets(requests, cut_snippets(requests, code_files, context_lines, working_tree))
     return rca_prompts(parsed.join(logs.select("log_id", "raw_log"), "log_id"), found, budget)

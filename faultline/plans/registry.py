@@ -46,7 +46,8 @@ def _plain(df: DataFrame) -> DataFrame:
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["event_id", "ts", "user_id", "event_type"]
-    return log_view(spread(read_table(spark, sf_dir, "events").select(*columns)))
+    events = spread(read_table(spark, sf_dir, "events").select(*columns))
+    return log_view(events, read_table(spark, sf_dir, "documents").count())
 
 
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +175,13 @@ def rule_hit_rate(spark, sf_dir):
     return rules.rule_hit_rate(rules.rule_scan(_logs(spark, sf_dir)))
 
 
+@_query
+def rule_stats(spark, sf_dir):
+    """Totals of the rules that hit any log."""
+    hit = rules.rule_scan(_logs(spark, sf_dir)).select(F.coalesce("rule_name", F.lit("")).alias("name")).distinct()
+    return rules.rule_stats(rules.rule_table(spark).join(hit, "name", "left_semi"))
+
+
 @_query
 def rule_usage(spark, sf_dir):
     """Rules per level, how many of them hit any log, and the logs they hit."""
@@ -216,7 +224,7 @@ def stored_responses(spark, sf_dir):
     ruled = rules.with_rule(_groups(spark, sf_dir))
     digit = F.conv(F.substring("fingerprint", 1, 1), 16, 10).cast("int")
     answers = F.array(*[F.lit(a) for a in ANSWERS])
-    stored = written(ruled.select("fingerprint", F.get(answers, digit % 6).alias("content")), "responses")
+    stored = written(ruled.select("fingerprint", F.get(answers, digit % len(ANSWERS)).alias("content")), "responses")
     return scoring.classify(ruled, responses=stored).select("fingerprint", "severity", "reason", "source")
 
 
@@ -228,7 +236,7 @@ def ungrouped_triage(spark, sf_dir):
 
 @_query
 def result_records(spark, sf_dir):
-    return scoring.result_record(_results(spark, sf_dir)).drop("frequency")
+    return scoring.result_record(_results(spark, sf_dir))
 
 
 @_query
@@ -264,7 +272,7 @@ def routed_alerts(spark, sf_dir):
 
 @_query
 def audit_records(spark, sf_dir):
-    return routing.audit_records(_results(spark, sf_dir), F.lit(NOW).cast("timestamp")).drop("frequency")
+    return routing.audit_records(_results(spark, sf_dir), F.lit(NOW).cast("timestamp"))
 
 
 @_query
@@ -430,8 +438,8 @@ def retrieval_coverage(spark, sf_dir):
     return retrieval.retrieval_coverage(*_found(spark, sf_dir))
 
 
-def _prompts(spark, sf_dir):
-    return prompts_for(_logs(spark, sf_dir), _code(spark, sf_dir), context_lines=CONTEXT, budget=BUDGET)
+def _prompts(spark, sf_dir, **options):
+    return prompts_for(_logs(spark, sf_dir), _code(spark, sf_dir), context_lines=CONTEXT, **options)
 
 
 @_query
@@ -439,6 +447,41 @@ def rca_prompts(spark, sf_dir):
     return _prompts(spark, sf_dir).select("log_id", "user_prompt", "prompt_chars", "found_files")
 
 
+@_query
+def rca_prompts_tight(spark, sf_dir):
+    """Under a budget that most logs' code exceeds."""
+    return _prompts(spark, sf_dir, budget=BUDGET).select("log_id", "user_prompt", "prompt_chars", "found_files")
+
+
+def _refs(spark, sf_dir):
+    """Documents with an even id also at ref v1, with a commit."""
+    code = _code(spark, sf_dir)
+    old = code_view(read_table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", "text"))
+    return code.unionByName(old.withColumns({"ref": F.lit("v1"), "commit_sha": F.lit("0a1b2c3"), "text": F.upper("text")}))
+
+
+def _logs_with_refs(spark, sf_dir):
+    logs = _logs(spark, sf_dir)
+    return logs.withColumn("ref", F.when(F.col("log_id") % 3 == 0, "HEAD").when(F.col("log_id") % 3 == 1, ""))
+
+
+@_query
+def snippets_by_ref(spark, sf_dir):
+    """Default ref v1, a third of the logs with HEAD of their own; files that v1 lacks come from the working tree."""
+    requests = retrieval.file_requests(parsed_once(_logs_with_refs(spark, sf_dir)), default_ref="v1")
+    tree = _code(spark, sf_dir).select("file_path", F.concat(F.lit("tree\n"), "text").alias("text"))
+    found = retrieval.snippets(requests, retrieval.cut_snippets(requests, _refs(spark, sf_dir), CONTEXT, tree))
+    return found.select("log_id", "pos", "ref", "file_path", "start_line", "end_line", "content", "commit_sha")
+
+
+@_query
+def report_refs(spark, sf_dir):
+    prompts_of_refs = prompts_for(
+        _logs_with_refs(spark, sf_dir), _refs(spark, sf_dir), context_lines=CONTEXT, default_ref="v1"
+    )
+    return prompts.rca_reports(prompts_of_refs, stub_model).select("log_id", "git_ref", "found_files")
+
+
 @_query
 def rca_reports(spark, sf_dir):
     return prompts.rca_reports(_prompts(spark, sf_dir), stub_model).drop("elapsed_seconds", "usage")
@@ -503,7 +546,8 @@ def label_distribution(spark, sf_dir):
 
 def _stream(spark, sf_dir):
     schema = read_table(spark, sf_dir, "events").schema
-    return log_view(read_log_stream(spark, sf_dir, schema=schema, pathGlobFilter="events.parquet"))
+    stream = read_log_stream(spark, sf_dir, schema=schema, pathGlobFilter="events.parquet")
+    return log_view(stream, read_table(spark, sf_dir, "documents").count())
 
 
 def _run(writer) -> None:

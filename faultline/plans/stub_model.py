@@ -10,6 +10,8 @@ ANSWERS = [
     '{"severity": "P9", "reason": "x", "action": "y"}',
     "cannot say",
     '["P0_CRITICAL"]',
+    '{"severity": "P0_CRITICAL", "more": {"a": 1}} and {}',
+    '```json\n{"severity": "P3_IGNORE", "reason": "a", "action": "b"}\n```\n```json\n{"severity": "P0_CRITICAL"}\n```',
 ]
 
 

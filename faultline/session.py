@@ -6,8 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a few dozen bytes: some tens of megabytes to broadcast at most.
-BROADCAST_ROWS = 1_000_000
+# Size of the files of a side that is broadcast; in memory it is a few times that.
+BROADCAST_BYTES = 16 << 20
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -80,11 +80,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_side(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Write a narrow join side once and mark it for broadcast only if its counted rows are few.
+def written_side(df: DataFrame, label: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Write a join side once and mark it for broadcast only if its files are small.
 
-    Beyond ``most`` rows the join shuffles both sides. Deciding before the join
+    Beyond ``most`` bytes the join shuffles both sides. Deciding before the join
     starts spares the wide other side a shuffle that would turn out needless.
     """
-    side = written(df, label)
-    return F.broadcast(side) if side.count() <= most else side
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    side = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(side) if _size(df.sparkSession, path) <= most else side
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()

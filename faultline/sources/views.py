@@ -12,7 +12,7 @@ LEVELS = {"error": "ERROR", "purchase": "CRITICAL", "view": "WARN", "click": "IN
 # {user} {event} {ts} vary with the event.
 LOG_TEXTS = [
     "{head}controller crashed\npanic: assignment to entry in nil map\n\ngoroutine 47 [running]:\n"
-    "github.com/acme/op/pkg/ctl.Handle(...)\n    /srv/src/op/pkg/ctl/h{m}.go:{n} +0x2a4\n"
+    "github.com/acme/op/pkg/ctl.Handle(...)\n    /srv/src/op/pkg/ctl/h{d}.go:{n} +0x2a4\n"
     "runtime/debug.Stack(...)\n    /usr/local/go/src/runtime/debug/stack.go:24",
     "{head}Unhandled exception\njava.lang.NullPointerException: x is null\n"
     "    at com.acme.svc.Doc{d}.run(Doc{d}.java:{n})\n    at com.acme.svc.Doc{d}.call(Doc{d}.java:{n2})\n"
@@ -20,7 +20,7 @@ LOG_TEXTS = [
     "{head}ETL stage failed\nTraceback (most recent call last):\n"
     '  File "app/mod{d}.py", line {n}, in normalize_field\n    value = record["x"]\n'
     '  File "app/runner.py", line 89, in run_stage\nKeyError: \'x\'',
-    "{head}call failed\nTypeError: Cannot read properties of null\n    at handle (/app/src/h{m}.js:{n}:12)\n"
+    "{head}call failed\nTypeError: Cannot read properties of null\n    at handle (/app/src/h{d}.js:{n}:12)\n"
     "    at /app/src/loop.js:7:3\n    at next (/app/node_modules/x/y.js:1:2)",
     "{head}HikariPool-1 - Connection is not available, timed out after 30001ms",
     "{head}HikariPool-1 - Connection is not available, retrying",
@@ -52,16 +52,16 @@ def _filled(text: str, fields: dict[str, Column]) -> Column:
     )
 
 
-def log_view(events: DataFrame) -> DataFrame:
-    """Events as logs: (log_id, ts, service_name, raw_log)."""
+def log_view(events: DataFrame, documents: int = 200) -> DataFrame:
+    """Events as logs: (log_id, ts, service_name, raw_log); traces name files of all ``documents``, lines 1 to 60."""
     event, user = F.col("event_id"), F.col("user_id")
-    n = 1 + F.floor(event / 24) % 8
+    n = 1 + F.floor(event / 24) % 60
     ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     service = F.get(F.array(*[F.lit(s) for s in SERVICES]), (user % 5).cast("int"))
     level = F.create_map(*[F.lit(v) for pair in LEVELS.items() for v in pair])[F.col("event_type")]
     fields = {
         "m": user % 7,
-        "d": event % 200,
+        "d": event * 37 % documents,
         "n": n,
         "n2": n + 2,
         "user": user,
@@ -77,12 +77,13 @@ def log_view(events: DataFrame) -> DataFrame:
     )
 
 
+CODE_PATHS = [("Doc", ".java"), ("app/mod", ".py"), ("srv/src/op/pkg/ctl/h", ".go"), ("app/src/h", ".js")]
+
+
 def code_view(documents: DataFrame) -> DataFrame:
-    """Each document as a Java file and a Python file of ref HEAD."""
+    """Each document as a Java, Python, Go and JavaScript file of ref HEAD."""
     doc = F.col("doc_id").cast("string")
-    paths = F.array(
-        F.concat(F.lit("Doc"), doc, F.lit(".java")), F.concat(F.lit("app/mod"), doc, F.lit(".py"))
-    )
+    paths = F.array(*[F.concat(F.lit(a), doc, F.lit(b)) for a, b in CODE_PATHS])
     return documents.select(
         F.lit("HEAD").alias("ref"), F.explode(paths).alias("file_path"), "text", F.lit("").alias("commit_sha")
     )
