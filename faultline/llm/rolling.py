@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-BUFFER_BYTES = 1 << 22
+BUFFER_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

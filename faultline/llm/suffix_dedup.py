@@ -38,8 +38,8 @@ from .suffix_sort import shared_prefixes, suffix_array
 
 LENGTH = 100
 ANCHOR = 32
-FLUSH = 1_500_000
-CHUNK_BYTES = 1 << 20
+FLUSH = 500_000
+CHUNK_BYTES = 1 << 19
 CUT_BYTES = 4
 
 # A place packs start (32 bits), mark of the text (17), strings in the segment less one (7), anchor's offset (7).
@@ -144,7 +144,7 @@ def _by_key(source: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], i
 
 def _judge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and segment: repeats (place negative) and first segments that must be compared."""
-    for rows in _by_key(source, lambda b: b.num_rows, 1 << 18):
+    for rows in _by_key(source, lambda b: b.num_rows, 1 << 16):
         key, own, doc, place = (rows.column(i).to_numpy() for i in range(4))
         known = place < 0
         yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (key, doc, place)], ["key", "id", "place"])
