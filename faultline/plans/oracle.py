@@ -460,7 +460,7 @@ ORACLE: dict[str, str] = {
         ('P3_IGNORE', 'ignored_archive')) t(severity, handler) USING (severity) WHERE kind <> 'FLUSH'""",
     "stream_window_counts": f"""WITH {MARKED}, counted AS (SELECT date_trunc('day', ts) AS window_start,
         date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, fingerprint, count(*) AS count FROM marked GROUP BY 1, 2, 3)
-        SELECT * FROM counted WHERE window_end <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+        SELECT * FROM counted""",
     "window_counts": f"""WITH {MARKED} SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
         fingerprint, count(*) AS count FROM marked GROUP BY 1, 2, 3""",
 }

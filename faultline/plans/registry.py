@@ -544,9 +544,21 @@ def label_distribution(spark, sf_dir):
 # --- streams ----------------------------------------------------------------------
 
 
+PARTS, FILES = 5, 4
+
+
 def _stream(spark, sf_dir):
+    """The events as files in the order of their times; each micro-batch takes one part of them."""
+    path = fresh_path(spark, "events")
+    events = read_table(spark, sf_dir, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    shares = [i / PARTS for i in range(1, PARTS)]
+    cuts = [None, *events.agg(F.percentile_approx("micros", F.array(*map(F.lit, shares)), 1000)).first()[0], None]
+    for low, high in zip(cuts, cuts[1:]):
+        part = events if low is None else events.filter(F.col("micros") >= low)
+        part = part if high is None else part.filter(F.col("micros") < high)
+        part.drop("micros").repartition(FILES).write.mode("append").parquet(path)
     schema = read_table(spark, sf_dir, "events").schema
-    stream = read_log_stream(spark, sf_dir, schema=schema, pathGlobFilter="events.parquet")
+    stream = read_log_stream(spark, path, schema=schema, maxFilesPerTrigger=FILES)
     return log_view(stream, read_table(spark, sf_dir, "documents").count())
 
 
@@ -573,9 +585,15 @@ def stream_window_counts(spark, sf_dir):
     root = fresh_path(spark, "stream-counts")
     shared_folder(spark)
     counts = streams.storm_counts(_stream(spark, sf_dir), "1 day", "1 day")
-    writer = counts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+
+    def keep(changed, batch_id):
+        changed.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(keep)
     _run(writer.option("checkpointLocation", f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/out")
+    # The last count told of each window, those still open at the end included.
+    told = spark.read.parquet(f"{root}/out").groupBy("window_start", "window_end", "fingerprint")
+    return told.agg(F.max_by("count", "batch_id").alias("count"))
 
 
 @_query

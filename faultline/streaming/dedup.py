@@ -4,7 +4,8 @@ The windows left open by a micro-batch are kept as a table and precede the logs
 of the next one. Each micro-batch thus runs the same distributed sweep as a log
 table, so that a hot fingerprint is split here too, and in-order input gives the
 same groups however it is cut into batches. Every batch writes folders of its own
-number; a batch that is run again writes the same folders again.
+number, emitted groups apart from open windows; a batch that is run again writes
+the same folders again. Open windows are kept for two batches, then deleted.
 """
 
 from collections.abc import Callable
@@ -18,8 +19,7 @@ from ..functions.fingerprint import keyed
 from ..operators.routing import audit_records, ignored_documents, outbox, route
 from ..operators.rules import with_rule
 from ..operators.scoring import ChatFactory, classify
-from ..operators.windows import anchored_windows, open_windows, with_representatives
-from ..session import spread
+from ..operators.windows import anchored_windows, with_representatives
 
 GROUP_SCHEMA = (
     "log_id long, fingerprint string, kind string, count long, first_seen timestamp, last_seen timestamp, "
@@ -31,6 +31,27 @@ def _batch_folder(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/batch_id={batch_id}"
 
 
+def _state(root: str, batch_id: int, state: str) -> str:
+    return f"{_batch_folder(f'{root}/groups', batch_id)}/state={state}"
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _read_state(spark: SparkSession, root: str, batch_id: int, state: str) -> DataFrame:
+    """Groups of one state that a batch has left; a batch that never ran is an error, one without such groups is not."""
+    path = _state(root, batch_id, state)
+    folder, files = _folder(spark, path)
+    if not files.exists(folder):
+        path = f"{_batch_folder(f'{root}/groups', batch_id)}/_SUCCESS"
+        if not files.exists(_folder(spark, path)[0]):
+            raise FileNotFoundError(f"batch {batch_id} has left nothing in {root}")
+        return spark.createDataFrame([], GROUP_SCHEMA)
+    return spark.read.schema(GROUP_SCHEMA).parquet(path)
+
+
 def _newest(batch: DataFrame, carried: DataFrame | None) -> int:
     """Newest log time so far, in microseconds: one number from one column."""
     micros = [batch.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]]
@@ -57,9 +78,7 @@ def dedup_batch(
     spark = batch.sparkSession
     carried = None
     if batch_id > 0:  # fails where the batch before has left nothing: its windows would be lost
-        before = _batch_folder(f"{root}/groups", batch_id - 1)
-        carried = open_windows(spark.read.schema(GROUP_SCHEMA).parquet(before))
-    batch = spread(batch)
+        carried = _read_state(spark, root, batch_id - 1, "open")
     groups = anchored_windows(batch, window_seconds, threshold, eager=close_idle, carried=carried)
     # The error type is left to the join's few rows unless the table has it.
     columns = [c for c in ("log_id", "raw_log", "service_name", "error_type") if c in batch.columns]
@@ -73,9 +92,12 @@ def dedup_batch(
         told = told.withColumn("kind", F.when(idle, F.lit("EXPIRED")).otherwise(F.col("kind")))
     columns = [part.split()[0] for part in GROUP_SCHEMA.split(", ")]
     here = _batch_folder(f"{root}/groups", batch_id)
-    told.select(*columns).write.mode("overwrite").parquet(here)
-    written = spark.read.schema(GROUP_SCHEMA).parquet(here)
-    return written.filter(F.col("kind") != "FLUSH")
+    state = F.when(F.col("kind") == "FLUSH", "open").otherwise("closed").alias("state")
+    told.select(*columns, state).write.mode("overwrite").partitionBy("state").parquet(here)
+    if batch_id > 1:  # the batch before this one may have to be read again, older ones may not
+        folder, files = _folder(spark, _state(root, batch_id - 2, "open"))
+        files.delete(folder, True)
+    return _read_state(spark, root, batch_id, "closed")
 
 
 def stream_dedup(
@@ -93,12 +115,15 @@ def stream_dedup(
 
 def emitted_groups(spark: SparkSession, root: str, flush: bool = False) -> DataFrame:
     """All groups a stream has emitted; with ``flush`` also the windows still open at its end."""
-    groups = spark.read.schema(GROUP_SCHEMA + ", batch_id long").parquet(f"{root}/groups")
-    closed = groups.filter(F.col("kind") != "FLUSH")
+    groups = spark.read.schema(GROUP_SCHEMA + ", batch_id long, state string").parquet(f"{root}/groups")
+    closed = groups.filter("state = 'closed'").drop("state")
     if not flush:
         return closed
-    newest = groups.agg(F.max("batch_id").alias("batch_id"))
-    return closed.unionByName(open_windows(groups).join(F.broadcast(newest), "batch_id").select(*groups.columns))
+    # Open windows are those of the newest batch; of the one before, which is still there, they are outdated.
+    folder, files = _folder(spark, f"{root.rstrip('/')}/groups")
+    newest = max(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(folder) if "=" in s.getPath().getName())
+    last = _read_state(spark, root, newest, "open").withColumn("batch_id", F.lit(newest).cast("long"))
+    return closed.unionByName(last)
 
 
 def stream_triage(
