@@ -47,7 +47,7 @@ class Codes:
         dim = x.shape[1]
         # More bits than dimensions come from further rotations; axes beyond the bits are left out.
         random = np.random.default_rng(seed)
-        axes = np.linalg.svd(x, full_matrices=True)[2] if len(x) else np.eye(dim)
+        axes = np.linalg.eigh(x.T @ x)[1].T[::-1]  # principal axes, largest first
         self.rotations = []
         left = CODE_BITS
         while left > 0:
@@ -63,8 +63,8 @@ class Codes:
         self.radius = CODE_BITS
         if len(sample) > k:
             codes = self.encode(sample)
-            probe = np.arange(0, len(sample), max(1, len(sample) // 1000))
-            likeness = sample[probe] @ sample.T
+            probe = np.arange(0, len(sample), -(-len(sample) // 1000))
+            likeness = sample[probe] @ sample.T  # 1,000 rows at most
             likeness[np.arange(len(probe)), probe] = -np.inf
             near = np.argpartition(-likeness, k - 1, axis=1)[:, :k]
             far = hamming(codes[probe][:, None], codes[near]).ravel()
