@@ -8,7 +8,7 @@ from ..functions.text import split_lines
 from ..session import written_side
 from .stacktrace import unique_files
 
-_REQUEST = ["ref", "file_path", "language", "highlight_lines"]
+_PLACE = ["ref", "file_path", "center"]
 
 
 def file_requests(
@@ -56,13 +56,14 @@ def cut_snippets(
     context_lines: int = V.CONTEXT_LINES,
     working_tree: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per distinct request whose file exists, with its lines and texts.
+    """One row per distinct (ref, file, centre) whose file exists, with its lines.
 
-    Many logs ask for the same lines of the same file, so requests are made
-    distinct first (this combines before its shuffle) and each file is sliced in
-    place; where few requests are left, the files are not shuffled. ``working_tree(file_path, text)`` serves files that a ref lacks.
+    What a window holds depends on its centre alone, so requests are made distinct by it (this combines before its
+    shuffle), each file meets one row with all its centres and is split once, however many logs ask with however many
+    sets of failing lines. ``working_tree(file_path, text)`` serves files that a ref lacks.
     """
-    asked = written_side(requests.groupBy(*_REQUEST).agg(F.min("center").alias("center")), "requests")
+    centers = requests.select(*_PLACE).distinct().groupBy("ref", "file_path").agg(F.collect_list("center").alias("centers"))
+    asked = written_side(centers, "requests")
     files = code_files.select("ref", "file_path", "text", "commit_sha")
     if working_tree is None:
         found = asked.join(files, ["ref", "file_path"])
@@ -81,39 +82,39 @@ def cut_snippets(
             )
             .filter(F.col("text").isNotNull())
         )
-    start = F.greatest(F.lit(1), F.col("center") - context_lines)
-    end = F.least(F.size("lines"), F.col("center") + context_lines)
-    # Past the end of the file the window is empty, and the snippet still counts.
-    window = F.slice("lines", F.col("start_line"), F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1))
-    marks = F.col("highlight_lines")
+    lines = F.col("lines")
 
-    def marked(line, at):
-        number = F.col("start_line") + at
-        mark = F.when(F.array_contains(marks, number), V.FAILING_LINE_MARK).otherwise(V.OTHER_LINE_MARK)
-        return F.concat(mark, _numbered(line, number))
+    def window(center):
+        start = F.greatest(F.lit(1), center - context_lines)
+        end = F.least(F.size(lines), center + context_lines)
+        # Past the end of the file the window is empty, and the snippet still counts.
+        held = F.slice(lines, start, F.greatest(F.lit(0), end - start + 1))
+        return F.struct(center.alias("center"), start.alias("start_line"), end.alias("end_line"), held.alias("window"))
 
     return (
-        found.withColumn("lines", split_lines(F.col("text")))
-        .withColumns({"start_line": start, "end_line": end})
-        .withColumn("window", window)
-        .select(
-            *_REQUEST,
-            "start_line",
-            "end_line",
-            "commit_sha",
-            F.array_join(F.transform("window", lambda line, at: _numbered(line, F.col("start_line") + at)), "\n").alias("content"),
-            F.array_join(F.transform("window", marked), "\n").alias("marked_content"),
+        found.select("ref", "file_path", "commit_sha", "centers", split_lines(F.col("text")).alias("lines"))
+        .select("ref", "file_path", "commit_sha", F.inline(F.transform("centers", window)))
+        .withColumn(
+            "content",
+            F.array_join(F.transform("window", lambda line, at: _numbered(line, F.col("start_line") + at)), "\n"),
         )
     )
 
 
 def snippets(requests: DataFrame, cut: DataFrame) -> DataFrame:
-    """Snippets per log: requests of missing files fall away.
+    """Snippets per log, failing lines marked; requests of missing files fall away.
 
     ``cut`` is unique on the join key, so a request that a third of all logs make
     is a hot key on one side only, which adaptive execution splits.
     """
-    return requests.join(cut, _REQUEST)
+
+    def marked(line, at):
+        number = F.col("start_line") + at
+        mark = F.when(F.array_contains("highlight_lines", number), V.FAILING_LINE_MARK).otherwise(V.OTHER_LINE_MARK)
+        return F.concat(mark, _numbered(line, number))
+
+    joined = requests.join(cut, _PLACE)
+    return joined.withColumn("marked_content", F.array_join(F.transform("window", marked), "\n")).drop("window")
 
 
 def snippet_markdown() -> Column:

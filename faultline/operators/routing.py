@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.severity import emoji
 from ..functions.text import blank_as
+from ..session import written
 from .dedup import frequency_per_minute
 
 ROUTE_SCHEMA = "severity string, handler string, seq int"
@@ -127,7 +128,11 @@ def outbox(routed: DataFrame, bodies: dict[str, Callable[[], Column]] | None = N
 
 
 def deliver(rows: DataFrame, deliver_factory: DeliverFactory) -> DataFrame:
-    """Send each outbox row and add whether that worked; a failure stops nothing."""
+    """Send each outbox row and add whether that worked; a failure stops nothing.
+
+    Outcomes are written as they come and read back, so that reading them again sends nothing again. A task that
+    Spark repeats after a loss may send its rows once more.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +148,7 @@ def deliver(rows: DataFrame, deliver_factory: DeliverFactory) -> DataFrame:
             sent = [worked(h, b) for h, b in zip(batch["handler"], batch["body"])]
             yield batch.assign(sent=sent)
 
-    return rows.mapInPandas(send, f"{fields}, sent boolean")
+    return written(rows.mapInPandas(send, f"{fields}, sent boolean"), "deliveries")
 
 
 # --- sinks --------------------------------------------------------------------------

@@ -62,6 +62,26 @@ def test_own_ref_and_working_tree(spark):
     assert len(more) == 4 and {r.commit_sha for r in more} == {"abc1234"}
 
 
+def test_one_cut_per_centre_whatever_lines_fail(spark):
+    rows = [(i, 0, "HEAD", "f0.py", "python", [5, 6 + i], 5) for i in range(2000)]
+    requests = spark.createDataFrame(
+        rows, "log_id long, pos int, ref string, file_path string, language string, highlight_lines array<int>, center int"
+    )
+    cut = retrieval.cut_snippets(requests, code(spark), 2)
+    assert cut.count() == 1
+    got = retrieval.snippets(requests, cut).filter("log_id < 2").orderBy("log_id").collect()
+    assert [r.marked_content.count(">>> ") for r in got] == [2, 2] and got[0].marked_content != got[1].marked_content
+
+
+def test_reports_name_the_resolved_ref(spark):
+    def factory():
+        return lambda system, user, temperature, max_tokens: ("r", "m", {})
+
+    own = logs(spark, TRACE, "no trace", "other").withColumn("ref", F.when(F.col("log_id") == 1, "v2").when(F.col("log_id") == 2, ""))
+    reports = analyse(own, code(spark), factory, default_ref="main")
+    assert {r.log_id: r.git_ref for r in reports.collect()} == {0: "main", 1: "v2", 2: "main"}
+
+
 def test_coverage(spark):
     row = retrieval.retrieval_coverage(*found(spark, TRACE)).first()
     assert (row.found_files, row.requested_files, row.coverage) == (4, 5, 0.8)

@@ -24,6 +24,28 @@ def test_default_routes(spark):
     assert routing.route(unknown).count() == 0
 
 
+def test_route_tables_of_any_size(spark):
+    routes = spark.range(20_000).select(F.lit("P3_IGNORE").alias("severity"), F.concat(F.lit("h"), "id").alias("handler"), F.col("id").cast("int").alias("seq"))
+    assert routing.route(results(spark), routes).count() == 20_000
+
+
+def test_outcomes_are_sent_once(spark, tmp_path):
+    log = str(tmp_path / "sent")
+
+    def sender():
+        def send(handler, body):
+            with open(log, "a") as out:
+                out.write(handler + "\n")
+            return True
+
+        return send
+
+    boxed = routing.outbox(results(spark).withColumn("handler", F.lit("markdown")))
+    sent = routing.deliver(boxed, sender)
+    assert sent.count() == sent.filter("sent").count() == 4
+    assert len(open(log).readlines()) == 4
+
+
 def test_audit_and_ignored_files(spark, tmp_path):
     audit, ignored = str(tmp_path / "audit"), str(tmp_path / "audit_p3_ignored")
     for _ in range(2):

@@ -47,6 +47,15 @@ def test_rule_table_agrees_with_built_in_rules(spark):
     assert sorted(rules.rule_scan(frame(spark), table).collect()) == sorted(a)
 
 
+def test_rule_sets_of_any_size(spark):
+    many = [(i, f"r{i}", "P2_WARNING", f"nothing like this {i}", None, "x", "y") for i in range(1500)]
+    last = [(9000 + i, *rule) for i, rule in enumerate(V.RULES)]
+    a = rules.rule_scan(frame(spark)).select("log_id", "rule_name", "severity", "reason").collect()
+    table = rules.rule_table(spark, many + last)
+    b = rules.rule_scan(frame(spark), table).select("log_id", "rule_name", "severity", "reason").collect()
+    assert sorted(a) == sorted(b)
+
+
 def test_stats_and_rates(spark):
     assert rules.rule_stats(rules.rule_table(spark)).first().asDict() == {
         "total_rules": 16, "p0_rules": 7, "p1_rules": 3, "p3_rules": 6,

@@ -43,6 +43,30 @@ def test_verdicts(spark):
         assert (tuple(got[i]) if got[i] else None) == expected(answer), answer
 
 
+def test_nothing_may_stand_behind_the_object(spark):
+    odd = ['{"severity": "P0_CRITICAL", "more": {"a": 1}} and {}', '{"severity": "P0_CRITICAL", "more": {"a": 1}},{"end": 1}',
+           '{"severity": "P0_CRITICAL", "m": {}}{"severity": "P1_HIGH", "m": {}}', '{"severity": "P0_CRITICAL", "m": {}} ]', '{"severity": "P0_CRITICAL", "m": {}}']
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, content string")
+    got = {r.i: r.v for r in rows.select("i", scoring.parsed_verdict(F.col("content")).alias("v")).collect()}
+    assert [tuple(got[i]) if got[i] else None for i in range(len(odd))] == [expected(a) for a in odd]
+
+
+def test_a_model_is_asked_once_for_each_miss(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def factory():
+        def chat(system, user, temperature, max_tokens):
+            with open(log, "a") as out:
+                out.write("call\n")
+            return ANSWERS[0], "m", {"n": None, "k": 2.5}
+
+        return chat
+
+    results = scoring.classify(rules.with_rule(groups(spark, ["panic: x", "odd", "odder"])), factory)
+    assert results.count() == 3 and results.filter("source = 'llm'").count() == 2 and results.filter("source = 'rule'").count() == 1
+    assert len(open(log).readlines()) == 2
+
+
 def groups(spark, texts, count=1):
     rows = [(i, f"{i:012x}", t, "svc", "", count, 100.0, 107.9) for i, t in enumerate(texts)]
     df = spark.createDataFrame(
