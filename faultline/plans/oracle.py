@@ -269,7 +269,7 @@ SNIPPETS = f"""{TRACES}, {CODE}, windowed AS (
 _BY_REF = f"""WITH {TRACES}, {CODE}, asked AS (
   SELECT *, CASE WHEN log_id % 3 = 0 THEN 'HEAD' ELSE 'v1' END AS ref FROM files WHERE pos < {V.MAX_FILES}), held AS (
   SELECT a.*, a.ref = 'v1' AND c.doc_id % 2 = 1 AS from_tree,
-    CASE WHEN a.ref = 'HEAD' THEN c.lines WHEN c.doc_id % 2 = 0 THEN list_transform(c.lines, lambda x: upper(x))
+    CASE WHEN a.ref = 'HEAD' THEN c.lines WHEN c.doc_id % 2 = 0 THEN list_prepend('v1', c.lines)
       ELSE list_prepend('tree', c.lines) END AS lines, CASE WHEN a.ref = 'HEAD' THEN '' ELSE '0a1b2c3' END AS commit_sha
   FROM asked a JOIN code c USING (file_path)), placed AS (
   SELECT *, greatest(1, center - {CONTEXT}) AS start_line, least(len(lines), center + {CONTEXT})::INT AS end_line FROM held)"""

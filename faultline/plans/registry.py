@@ -454,10 +454,10 @@ def rca_prompts_tight(spark, sf_dir):
 
 
 def _refs(spark, sf_dir):
-    """Documents with an even id also at ref v1, with a commit."""
+    """Documents with an even id also at ref v1, one line longer, with a commit."""
     code = _code(spark, sf_dir)
     old = code_view(read_table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", "text"))
-    return code.unionByName(old.withColumns({"ref": F.lit("v1"), "commit_sha": F.lit("0a1b2c3"), "text": F.upper("text")}))
+    return code.unionByName(old.withColumns({"ref": F.lit("v1"), "commit_sha": F.lit("0a1b2c3"), "text": F.concat(F.lit("v1\n"), "text")}))
 
 
 def _logs_with_refs(spark, sf_dir):
