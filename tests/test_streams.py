@@ -73,3 +73,12 @@ def test_late_logs_are_dropped_from_clock_windows(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(60, 2), (1980, 3)]
     table = storm_counts(spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/*"), "1 minute")
     assert sorted(r["count"] for r in table.collect()) == [1, 3, 3]
+
+
+def test_outdated_open_windows_are_deleted(spark, tmp_path):
+    folder, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    for no in range(5):
+        write(spark, folder, no, rows(no * 20, no * 20 + 20))
+    run(stream_dedup(source(spark, folder), root, window_seconds=30, threshold=4))
+    held = sorted(p.parent.name for p in (tmp_path / "out" / "groups").glob("batch_id=*/state=open"))
+    assert held == ["batch_id=3", "batch_id=4"]
