@@ -8,9 +8,10 @@ bands of four coordinates make buckets; a pair of similarity 0.8 shares none wit
 
 Links are found without all pairs of a bucket. Documents of equal sets are one class from the start. In each bucket
 every member is compared with one leader, the member whose buckets hold most others (the text the others were copied
-from, where there is one). Components follow, and only pairs of one bucket whose members are still in different components are
-then compared, all of them. Sketches drop pairs that agree in fewer than ``LEAST`` coordinates (similarity 0.8 does
-so once in 1e10 pairs) and sizes those that cannot reach the threshold; whatever is left is compared on full sets.
+from, where there is one). Components follow. A count of what other components hold of each set shows which sets can be linked to
+another component at all. Only pairs of such sets in one bucket whose members are still in different components are then
+compared, all of them. Sketches drop pairs that agree in fewer than ``LEAST`` coordinates (of pairs of similarity 0.8, one in
+a million) and sizes those that cannot reach the threshold; whatever is left is compared on full sets.
 
 Defined results. Words are runs of anything but white space, A-Z lower-cased. With fewer words than a shingle the whole
 sequence is one; null and empty texts, or those without words, have the empty set and are linked with nothing. A null
@@ -24,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -34,7 +35,8 @@ from .rolling import PrefixHash, mixed, row_slices, text_bytes
 
 SHINGLE = 5
 COORDINATES, BANDS = 128, 32
-LEAST = 74
+LEAST = 80
+SIEVES = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -110,13 +112,15 @@ def _sketched(size: int) -> Callable:
                 keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (b - a, 1))
                 for k in range(rows.shape[2]):
                     keys = mixed(keys * np.uint64(_STEP) + rows[:, :, k])
-                short = np.ascontiguousarray(mixed(sketch).astype(np.uint8)).view(f"V{COORDINATES}").ravel()
+                short = mixed(sketch).astype(np.uint8).view(np.int8).ravel()  # a byte of each coordinate
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
                         pa.array(np.diff(reach)),
                         *map(pa.array, sums),
-                        pa.array([x.tobytes() for x in short], pa.binary()),
+                        pa.ListArray.from_arrays(
+                            np.arange(0, short.size + 1, COORDINATES, dtype=np.int32), pa.array(short)
+                        ),
                         pa.ListArray.from_arrays(
                             np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel().view(np.int64))
                         ),
@@ -127,13 +131,9 @@ def _sketched(size: int) -> Callable:
     return run
 
 
-def _agreeing(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with the number of coordinates in which their sketches agree."""
-    for batch in batches(source):
-        a, b = (text_bytes(batch.column(i))[0].reshape(-1, COORDINATES) for i in (2, 3))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array((a == b).sum(axis=1))], ["a", "b", "agree"]
-        )
+def _agreeing(a: Column, b: Column) -> Column:
+    """In how many coordinates two sketches agree."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
 def _verified(size: int, percent: int) -> Callable:
@@ -155,6 +155,102 @@ def _verified(size: int, percent: int) -> Callable:
     return run
 
 
+def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """key, rep, component after links between reps are taken in."""
+    of = labelled.select("rep", "component").distinct()
+    between = (
+        links.join(of.toDF("a", "part_a"), "a")
+        .join(of.toDF("b", "part_b"), "b")
+        .select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+        .filter("a != b")
+    )
+    joined = components(between)
+    rest = [c for c in labelled.columns if c not in ("key", "rep", "component")]
+    return labelled.join(joined.toDF("component", "wider"), "component", "left").select(
+        "key", "rep", F.coalesce("wider", "component").alias("component"), *rest
+    )
+
+
+def _reach(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether two sets that have ``common`` elements in common at most can be linked."""
+    return 100 * common >= percent * (n_a + n_b - common)
+
+
+def _shingle_rows(size: int) -> Callable:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            data, offsets = text_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for a, b in row_slices(np.diff(offsets)):
+                values, reach = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[a:b], np.diff(reach))), pa.array(values.view(np.int64))], ["rep", "shingle"]
+                )
+
+    return run
+
+
+def _able(labelled: DataFrame, held: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The open rows that can have a link to another component at all, with n_shingles, common, target and in_target.
+
+    ``common`` counts a set's shingles that another component also holds. Of a link's two sets the common part is no more than
+    that, so a set whose rest is too large, even beside the smallest set of its bucket, has none: most copies changed too much
+    go here, by one count each and without any pair. What goes supports nothing, so the count is repeated ``SIEVES`` times.
+    ``in_target`` counts those that the component it meets most, ``target``, holds.
+    """
+    of = labelled.select("rep", "component").distinct()
+    rows = (
+        held.withColumnRenamed("doc_id", "rep").join(of, "rep", "left_semi")
+        .select("rep", "text").mapInArrow(_shingle_rows(shingle), "rep long, shingle long").join(of, "rep")
+    )
+    rows = written(rows, "shingles")
+    for _ in range(SIEVES):
+        common = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        rows = written(rows.join(common.filter("low != high").select("shingle"), "shingle"), "common")
+        counted = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
+        described = labelled.select("key", "rep", "component").join(counted.join(sizes, "rep"), "rep")
+        least = described.groupBy("key").agg(F.min("n_shingles").alias("least"))
+        able = described.join(least, "key").filter(_reach(F.col("common"), F.col("n_shingles"), F.col("least"), percent))
+        labelled = _open(able.select("key", "rep", "component", "n_shingles", "common"))
+        rows = rows.join(labelled.select("rep").distinct(), "rep", "left_semi")
+    rows = written(rows, "common")
+    target = (
+        labelled.join(_largest(labelled).select("key", F.col("largest").alias("target")), "key")
+        .filter("component != target")
+        .groupBy("rep", "target")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("rep")
+        .agg(F.max(F.struct("n", "target")).alias("top"))
+        .select("rep", "top.target")
+    )
+    target = written(target, "targets")
+    holders = rows.select(F.col("component").alias("target"), "shingle").distinct()
+    inside = (
+        rows.select("rep", "shingle").join(target, "rep").join(holders, ["target", "shingle"])
+        .groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    )
+    bounds = target.join(inside, "rep", "left").select("rep", "target", F.coalesce("n", F.lit(0)).alias("in_target"))
+    return labelled.join(bounds, "rep", "left")
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    labelled = written(labelled, "labelled")
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return written(labelled.join(several.filter("low != high").select("key"), "key"), "open")
+
+
+def _largest(labelled: DataFrame) -> DataFrame:
+    """key, largest: the component that most rows of each bucket belong to."""
+    return (
+        labelled.groupBy("key", "component")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key")
+        .agg(F.max(F.struct("n", "component")).alias("top"))
+        .select("key", F.col("top.component").alias("largest"))
+    )
+
+
 def near_groups(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -168,7 +264,7 @@ def near_groups(
     rows = written(
         whole.mapInArrow(
             _sketched(shingle),
-            "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, bands array<long>",
+            "doc_id long, n_shingles long, set_a long, set_b long, sketch array<tinyint>, bands array<long>",
         ),
         "sketches",
     )
@@ -194,8 +290,7 @@ def near_groups(
         fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
         return (
             joined.filter(fit)
-            .select("a", "b", "sketch_a", "sketch_b")
-            .mapInArrow(_agreeing, "a long, b long, agree long")
+            .select("a", "b", _agreeing(F.col("sketch_a"), F.col("sketch_b")).alias("agree"))
             .filter(F.col("agree") >= LEAST)
         )
 
@@ -224,25 +319,28 @@ def near_groups(
         )
 
     links = written(verified(first), "verified")
-    so_far = components(links)
-    labelled = written(
-        members.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("component")
-        ),
-        "labelled",
+    tried = written(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
+    labelled = _open(_relabelled(members.select("key", "rep", F.col("rep").alias("component")), links))
+    labelled = _able(labelled, held, sketches.select("rep", "n_shingles"), shingle, percent)
+    # What is left is compared in full: every pair of a bucket that is not known to be connected, in its first bucket.
+    rows_left = written(labelled.join(classes.select("rep", "bands", "sketch"), "rep"), "open")
+    names = ("rep", "component", "bands", "sketch", "n_shingles", "common", "target", "in_target")
+    left = rows_left.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = rows_left.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
+    apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
+    common = F.least(
+        "common_a",
+        "common_b",
+        F.when(F.col("component_b") == F.col("target_a"), F.col("in_target_a")),
+        F.when(F.col("component_a") == F.col("target_b"), F.col("in_target_b")),
     )
-    # Only buckets that hold different components.
-    mixed_keys = (
-        labelled.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low != high")
-        .select("key")
+    apart &= _reach(common, F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
+    once = left["key"] == F.array_min(F.array_intersect("bands_a", "bands_b"))
+    alike = _agreeing(F.col("sketch_a"), F.col("sketch_b")) >= LEAST
+    across = left.join(right, (left["key"] == right["key"]) & apart & once & alike).select(
+        F.col("rep_a").alias("a"), F.col("rep_b").alias("b")
     )
-    open_rows = written(labelled.join(mixed_keys, "key"), "open")
-    left, right = open_rows.toDF("key", "a", "part_a"), open_rows.toDF("key", "b", "part_b")
-    across = left.join(right, "key").filter("a < b and part_a != part_b").select("a", "b").distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(likely(across.join(tried, ["a", "b"], "left_anti")).select("a", "b"), "pairs")
+    rest = written(across.join(tried, ["a", "b"], "left_anti"), "pairs")
     every = links.union(verified(rest))
     final = written(components(every), "components")
     named = written(
