@@ -11,7 +11,8 @@ every member is compared with one leader, the member whose buckets hold most oth
 from, where there is one). Components follow. A count of what other components hold of each set shows which sets can be linked to
 another component at all. Only pairs of such sets in one bucket whose members are still in different components are then
 compared, all of them. Sketches drop pairs that agree in fewer than ``LEAST`` coordinates (of pairs of similarity 0.8, one in
-a million) and sizes those that cannot reach the threshold; whatever is left is compared on full sets.
+a million), and sizes and distances from a common leader those that cannot reach the threshold; whatever is left is compared on
+full sets.
 
 Defined results. Words are runs of anything but white space, A-Z lower-cased. With fewer words than a shingle the whole
 sequence is one; null and empty texts, or those without words, have the empty set and are linked with nothing. A null
@@ -143,14 +144,14 @@ def _verified(size: int, percent: int) -> Callable:
             _, first, back = np.unique(a.to_numpy(), return_index=True, return_inverse=True)
             left = shingle_sets(*text_bytes(batch.column(2).take(pa.array(first))), size)
             right = shingle_sets(*text_bytes(batch.column(3)), size)
-            linked = np.zeros(len(a), bool)
+            linked, distance = np.zeros(len(a), bool), np.zeros(len(a))
             for i, j in enumerate(back.tolist()):
                 x = left[0][left[1][j] : left[1][j + 1]]
                 y = right[0][right[1][i] : right[1][i + 1]]
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                linked[i] = 100 * same >= percent * (len(x) + len(y) - same)
-            held = pa.array(linked)
-            yield pa.RecordBatch.from_arrays([a.filter(held), b.filter(held)], ["a", "b"])
+                union = len(x) + len(y) - same
+                linked[i], distance[i] = 100 * same >= percent * union, 1 - same / union
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(distance), pa.array(linked)], ["a", "b", "distance", "linked"])
 
     return run
 
@@ -315,16 +316,18 @@ def near_groups(
             pairs.join(held.toDF("b", "text_b"), "b")
             .join(held.toDF("a", "text_a"), "a")
             .select("a", "b", "text_a", "text_b")
-            .mapInArrow(_verified(shingle, percent), "a long, b long")
+            .mapInArrow(_verified(shingle, percent), "a long, b long, distance double, linked boolean")
         )
 
-    links = written(verified(first), "verified")
+    judged = written(verified(first), "verified")
+    links = judged.filter("linked").select("a", "b")
     tried = written(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
     labelled = _open(_relabelled(members.select("key", "rep", F.col("rep").alias("component")), links))
     labelled = _able(labelled, held, sketches.select("rep", "n_shingles"), shingle, percent)
     # What is left is compared in full: every pair of a bucket that is not known to be connected, in its first bucket.
-    rows_left = written(labelled.join(classes.select("rep", "bands", "sketch"), "rep"), "open")
-    names = ("rep", "component", "bands", "sketch", "n_shingles", "common", "target", "in_target")
+    led = judged.select(F.col("b").alias("rep"), F.col("a").alias("leader"), "distance")
+    rows_left = written(labelled.join(classes.select("rep", "bands", "sketch"), "rep").join(led, "rep", "left"), "open")
+    names = ("rep", "component", "bands", "sketch", "n_shingles", "common", "target", "in_target", "leader", "distance")
     left = rows_left.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
     right = rows_left.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
     apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
@@ -335,13 +338,16 @@ def near_groups(
         F.when(F.col("component_a") == F.col("target_b"), F.col("in_target_b")),
     )
     apart &= _reach(common, F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
+    # The distance of sets is a metric: two that lie apart as seen from one leader lie apart.
+    between = F.abs(F.col("distance_a") - F.col("distance_b")) > 1 - percent / 100 + 1e-9
+    apart &= ~F.coalesce((F.col("leader_a") == F.col("leader_b")) & between, F.lit(False))
     once = left["key"] == F.array_min(F.array_intersect("bands_a", "bands_b"))
     alike = _agreeing(F.col("sketch_a"), F.col("sketch_b")) >= LEAST
     across = left.join(right, (left["key"] == right["key"]) & apart & once & alike).select(
         F.col("rep_a").alias("a"), F.col("rep_b").alias("b")
     )
     rest = written(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    every = links.union(verified(rest))
+    every = links.union(verified(rest).filter("linked").select("a", "b"))
     final = written(components(every), "components")
     named = written(
         classes.join(final, classes["rep"] == final["node"], "left").select(
