@@ -60,6 +60,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = rows.groupBy("text_sha256").agg(
         F.min(F.when(F.col("head"), first)).alias("first"), F.count(F.lit(1)).alias("group_size")
     )
+    # Written, so that both sides of the join are plain exchanges, of which adaptive execution splits a hot text's rows.
+    groups = written(groups, "groups")
     return rows.join(groups, "text_sha256").select(
         "doc_id",
         F.col("first.id").alias("keep_id"),
