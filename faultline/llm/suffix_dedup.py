@@ -42,17 +42,18 @@ FLUSH = 500_000
 CHUNK_BYTES = 1 << 19
 CUT_BYTES = 4
 
-# A place packs start (32 bits), mark of the text (17), strings in the segment less one (7), anchor's offset (7).
-_MARK, _N, _AT = 17, 7, 7
-PLACE = "id long, place long"
+# A document is an identifier and a mark, the 64-bit hash of its text. A place packs start, strings in the segment less one
+# (7 bits) and the anchor's offset (7).
+_N, _AT = 7, 7
+PLACE = "id long, mark long, place long"
 
 
-def _pack(start: np.ndarray, mark: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return start << 31 | mark << 14 | (n - 1) << 7 | at
+def _pack(start: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return start << 14 | (n - 1) << 7 | at
 
 
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 31, place >> 14 & 0x1FFFF, (place >> 7 & 0x7F) + 1, place & 0x7F
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 14, (place >> 7 & 0x7F) + 1, place & 0x7F
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -88,23 +89,23 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) ->
 
 
 def _segment_rows(length: int, anchor: int) -> Callable:
-    names = ["key", "segment", "id", "place"]
+    names = ["key", "segment", "id", "mark", "place"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def firsts() -> pa.RecordBatch:
-            key, own, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((place, doc, own, key))
-            key, own, doc, place = key[order], own[order], doc[order], place[order]
+            key, own, doc, mark, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((place, mark, doc, own, key))
+            key, own, doc, mark, place = (x[order] for x in (key, own, doc, mark, place))
             fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
             # Later ones are repeats already: a negative place, and a key that spreads them evenly.
-            key = np.where(fresh, key, mixed(doc.astype(np.uint64) + place.astype(np.uint64)))
+            key = np.where(fresh, key, mixed(mixed(doc.astype(np.uint64) + mark.view(np.uint64)) + place.astype(np.uint64)))
             lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            same = ~fresh & (doc == doc[lead]) & (place == place[lead])
+            same = ~fresh & (doc == doc[lead]) & (mark == mark[lead]) & (place == place[lead])
             place = np.where(fresh, place, -1 - place)
             return pa.RecordBatch.from_arrays(
-                [pa.array(x[~same]) for x in (key.view(np.int64), own.view(np.int64), doc, place)], names
+                [pa.array(x[~same]) for x in (key.view(np.int64), own.view(np.int64), doc, mark, place)], names
             )
 
         for batch in batches(source):
@@ -115,7 +116,7 @@ def _segment_rows(length: int, anchor: int) -> Callable:
                     data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, anchor
                 )
                 of = of + a
-                held.append((key, own, ids[of], _pack(start, marks[of], n, at)))
+                held.append((key, own, ids[of], marks[of], _pack(start, n, at)))
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield firsts()
                 held.clear()
@@ -145,25 +146,24 @@ def _by_key(source: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], i
 def _judge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and segment: repeats (place negative) and first segments that must be compared."""
     for rows in _by_key(source, lambda b: b.num_rows, 1 << 16):
-        key, own, doc, place = (rows.column(i).to_numpy() for i in range(4))
+        key, own, doc, mark, place = (rows.column(i).to_numpy() for i in range(5))
+        names = ["key", "id", "mark", "place"]
         known = place < 0
-        yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (key, doc, place)], ["key", "id", "place"])
-        key, own, doc, place = (x[~known] for x in (key, own, doc, place))
-        order = np.lexsort((place, doc, own, key))
-        key, own, doc, place = key[order], own[order], doc[order], place[order]
+        yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (key, doc, mark, place)], names)
+        key, own, doc, mark, place = (x[~known] for x in (key, own, doc, mark, place))
+        order = np.lexsort((place, mark, doc, own, key))
+        key, own, doc, mark, place = (x[order] for x in (key, own, doc, mark, place))
         if not len(key):
             continue
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         fresh = new_key | np.concatenate([[True], own[1:] != own[:-1]])
         lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        repeat = ~fresh & ((doc != doc[lead]) | (place != place[lead]))
+        repeat = ~fresh & ((doc != doc[lead]) | (mark != mark[lead]) | (place != place[lead]))
         group = np.cumsum(new_key) - 1
         several = np.bincount(group, weights=fresh)[group] > 1
         held = repeat | (fresh & several)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[held]), pa.array(doc[held]), pa.array(np.where(repeat, -1 - place, place)[held])],
-            ["key", "id", "place"],
-        )
+        place = np.where(repeat, -1 - place, place)
+        yield pa.RecordBatch.from_arrays([pa.array(x[held]) for x in (key, doc, mark, place)], names)
 
 
 def _cut_out(length: int) -> Callable:
@@ -171,18 +171,18 @@ def _cut_out(length: int) -> Callable:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            data, offsets = text_bytes(batch.column(1))
-            lists = batch.column(2)
+            data, offsets = text_bytes(batch.column(2))
+            lists = batch.column(3)
             inner = lists.flatten()
             key, place = inner.field(0), inner.field(1).to_numpy()
             counts = np.diff(lists.offsets.to_numpy())
-            start, _, n, _ = _unpack(place)
+            start, n, _ = _unpack(place)
             start = start + np.repeat(offsets[:-1], counts)
             end = start + n + length - 1
             raw = data.tobytes()
             found = pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays([key, pa.array(ids), pa.array(place), found], ["key", "id", "place", "bytes"])
+            id_, mark = (pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), counts)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([key, id_, mark, pa.array(place), found], ["key", "id", "mark", "place", "bytes"])
 
     return run
 
@@ -239,16 +239,16 @@ def _compare(length: int) -> Callable:
     """Repeated strings among different segments of one key, as places of runs (place packs their start and number)."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_key(source, lambda b: text_bytes(b.column(3))[1][-1], CHUNK_BYTES):
-            key, doc, place = (rows.column(i).to_numpy() for i in range(3))
-            data, offsets = text_bytes(rows.column(3))
-            begin, mark, n, _ = _unpack(place)
+        for rows in _by_key(source, lambda b: text_bytes(b.column(4))[1][-1], CHUNK_BYTES):
+            key, doc, mark, place = (rows.column(i).to_numpy() for i in range(4))
+            data, offsets = text_bytes(rows.column(4))
+            begin, n, _ = _unpack(place)
             start, number = equal_strings(data, offsets, n, length)
             of = np.searchsorted(offsets, start, side="right") - 1
             where = start - offsets[of] + begin[of]
             # By key too: strings of different keys differ.
             number = mixed(number + key[of].view(np.uint64))
-            order = np.lexsort((mark[of], where, doc[of], number))
+            order = np.lexsort((where, mark[of], doc[of], number))
             same = number[order][1:] == number[order][:-1]
             repeat = np.zeros(len(start), bool)
             repeat[order[1:][same]] = True
@@ -259,8 +259,9 @@ def _compare(length: int) -> Callable:
             opening = hit[first]
             count = np.diff(np.append(np.flatnonzero(first), len(hit)))
             own = of[opening]
-            packed = _pack(where[opening], mark[own], count, np.zeros(len(own), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(-1 - packed)], ["id", "place"])
+            packed = _pack(where[opening], count, np.zeros(len(own), np.int64))
+            found = (doc[own], mark[own], -1 - packed)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["id", "mark", "place"])
 
     return run
 
@@ -273,7 +274,7 @@ def _without(length: int, as_text: bool) -> Callable:
             data, offsets = text_bytes(batch.column(0))
             lists = batch.column(1)
             counts = np.diff(lists.offsets.to_numpy())
-            start, _, n, _ = _unpack(-1 - lists.flatten().to_numpy(zero_copy_only=False))
+            start, n, _ = _unpack(-1 - lists.flatten().to_numpy(zero_copy_only=False))
             start = start + np.repeat(offsets[:-1], counts)
             change = np.zeros(len(data) + 1, np.int32)
             np.add.at(change, start, 1)
@@ -304,7 +305,7 @@ def _removed(docs: DataFrame, carried: list[str], as_text: bool, length: int, an
     if not CUT_BYTES < anchor < length or length - anchor >= 1 << _N:
         raise ValueError("an anchor is shorter than a string, by less than 128 bytes")
     named = texts(docs, id_col, text_col).select(
-        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), _mark(F.col("text")).alias("mark"), "text"
+        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("mark"), "text"
     )
     rows = named.mapInArrow(_segment_rows(length, anchor), "key long, segment long, " + PLACE)
     judged = written(
@@ -312,24 +313,22 @@ def _removed(docs: DataFrame, carried: list[str], as_text: bool, length: int, an
     )
     opened = (
         judged.filter("place >= 0")
-        .groupBy("id", F.shiftright("place", 14).bitwiseAND((1 << _MARK) - 1).alias("mark"))
+        .groupBy("id", "mark")
         .agg(F.collect_list(F.struct("key", "place")).alias("open"))
     )
     pieces = (
         named.join(opened, ["id", "mark"])
-        .select("id", "text", "open")
+        .select("id", "mark", "text", "open")
         .mapInArrow(_cut_out(length), "key long, " + PLACE + ", bytes binary")
     )
     compared = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(length), PLACE)
-    repeats = written(judged.filter("place < 0").select("id", "place").unionByName(compared), "repeats")
-    by_text = repeats.groupBy("id", F.shiftright(-1 - F.col("place"), 14).bitwiseAND((1 << _MARK) - 1).alias("mark")).agg(
-        F.collect_list("place").alias("places")
-    )
+    repeats = written(judged.filter("place < 0").select("id", "mark", "place").unionByName(compared), "repeats")
+    by_text = repeats.groupBy("id", "mark").agg(F.collect_list("place").alias("places"))
     whole = docs.select(
         F.struct(*[column(c) for c in carried]).alias("carried"),
         F.coalesce(column(text_col), F.lit("")).alias("text"),
         F.coalesce(column(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"),
-    ).withColumn("mark", _mark(F.col("text")))
+    ).withColumn("mark", F.xxhash64("text"))
     joined = whole.join(by_text, ["id", "mark"], "left").select(
         "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"), "carried"
     )
@@ -343,10 +342,6 @@ def _removed(docs: DataFrame, carried: list[str], as_text: bool, length: int, an
     return joined.mapInArrow(_without(length, as_text), schema)
 
 
-def _mark(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND((1 << _MARK) - 1)
-
-
 def without_repeats(
     docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -264,6 +264,19 @@ def test_repeats_over_several_partitions_and_flushes(spark, monkeypatch):
     assert sum(r.n_removed for r in got) > 10_000
 
 
+def test_texts_without_identifier_are_told_apart(spark):
+    """As many as share bits of a short mark: each loses what repeats inside it and nothing else."""
+    rng = np.random.default_rng(12)
+    draw = lambda n: "".join(rng.choice(list(string.ascii_lowercase), n))
+    rows = []
+    for k in range(2000):
+        block = draw(120 + k % 50)
+        rows.append((None, block + draw(10 + k % 200) + block if k % 2 else block + draw(20)))
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    expected = sorted(v for row in rows for v in _removed([row], 100).values())
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == expected
+
+
 def test_texts_are_cut_and_other_columns_stay(spark, docs, none):
     got = suffix_dedup.with_kept_text(docs)
     assert got.columns == docs.columns and got.count() == len(TEXTS)
