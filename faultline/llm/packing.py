@@ -25,7 +25,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +60,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.end_id, self.most = end_id, most
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -68,10 +68,17 @@ class WordTokens:
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
 
+    def _folded(self, word: str) -> str:
+        """The word in lower case, if that changes no id: the tokenizer composes characters and finds added tokens before it lower-cases."""
+        if not word.isascii():
+            return word
+        low = word.lower()
+        return word if any(t in low for t in self.added) else low
+
     def _learn(self, words: list[str]) -> np.ndarray:
         """Places of words in the tables, after adding those that are missing."""
         fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > self.most:
+        if len(self.known) + 2 * len(fresh) > self.most:
             # Keep what this batch uses, which holds the common words.
             kept = [w for w in words if w in self.known]
             place = np.fromiter((self.known[w] for w in kept), np.int64, len(kept))
@@ -82,10 +89,13 @@ class WordTokens:
             self.ids = ids[np.arange(reach[-1]) + np.repeat(starts - reach[:-1], sizes)]
             self.ends, self.known = reach, dict(zip(kept, range(len(kept)), strict=True))
         if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            folded = [self._folded(w) for w in fresh]
+            new = [w for w in dict.fromkeys(folded) if w not in self.known]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
-            self.known.update(zip(fresh, range(len(self.ends) - 1, len(self.ends) - 1 + len(fresh)), strict=True))
+            self.known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            self.known.update([(w, self.known[f]) for w, f in zip(fresh, folded, strict=True)])
             self.ids = np.concatenate([self.ids, flat])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         known = self.known
@@ -93,7 +103,7 @@ class WordTokens:
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Each text's ids with the end mark."""
-        words, ends = word_lists(pc.ascii_lower(column))  # the tokenizer lower-cases in any case
+        words, ends = word_lists(column)
         place = self._learn(words.dictionary.to_pylist())
         if len(words):
             own = place[words.indices.to_numpy(zero_copy_only=False)]

@@ -198,6 +198,18 @@ def test_packing_keeps_every_id_once_in_full_windows(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_case_is_folded_only_where_no_id_changes():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    odd = ["<|ENDOFTEXT|>", "x<|StartOfText|>Y", "<|endoftext|>", "J\u030c", "aH\u0331 T\u0308", "Hello HELLO hello", "A<b|C> B|d", "É İ ẞ", "\u212a", ""]
+    words = packing.WordTokens(path, 2)
+    got = words.encode(pa.array(odd))
+    assert [x.tolist() for x in got] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in odd]
+    assert words.known["HELLO"] == words.known["hello"]
+
+
 def test_word_memory_is_bounded():
     words = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"), 2, most=30)
     plain = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"), 2)
