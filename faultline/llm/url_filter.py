@@ -4,8 +4,9 @@ Method. A url gives a host (after the first ``://``, A-Z lower-cased) and a path
 the start of a path; the longest rule that fits decides. Where none fits, boosted trees decide from
 lexical features: lengths, depths, digit ratio, character entropy, counts of parameters, hyphens and other
 signs, the longest label, and statistics of the host's last label among the labelled urls (how many, and
-the share of bad ones, pulled to the overall share). The trees are fitted on a sample of the labelled urls of
-about ``SAMPLE`` rows of each label at most, chosen by a hash of the url; everything else covers all rows.
+the share of bad ones, pulled to the overall share). The trees are fitted on a sample of about ``SAMPLE`` different
+labelled urls of each label at most, chosen by a hash of the url and weighted by their rows so that both labels count alike
+in the sample; everything else covers all rows.
 All of it is native expressions and the JVM's tree library.
 
 Defined results. A null url, or one without ``://``, has an empty host and path, fits no rule and is judged by
@@ -24,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import written, written_side
 from .common import column
 
 SAMPLE = 20_000
@@ -115,24 +116,32 @@ class UrlModel:
             column("url").alias("url"), F.when(column("label") == 1, 1.0).otherwise(0.0).alias("label"),
             column("label").alias("given"),
         ).filter("url is not null and given is not null").drop("given")
-        counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+        found = rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("url", 0.02).alias("urls"))
+        sizes = found.collect()
+        counts = {r.label: r["rows"] for r in sizes}
         self.constant = None if len(counts) == 2 else max(counts, default=0.0)
         if self.constant is not None:
             return
         chance = F.pmod(F.xxhash64("url"), F.lit(1_000_000)) / 1e6
-        share = F.when(F.col("label") == 1.0, sample / counts[1.0]).otherwise(sample / counts[0.0])
-        chosen = written(_described(rows.filter(chance < share)), "labelled-urls")
+        # Of few urls all are taken, whatever the estimate of their number says.
+        part = {r.label: 1.0 if r.urls <= 0.9 * sample else sample / r.urls for r in sizes}
+        share = F.when(F.col("label") == 1.0, part[1.0]).otherwise(part[0.0])
+        distinct = rows.filter(chance < share).groupBy("url", "label").agg(F.count(F.lit(1)).alias("copies"))
+        chosen = written(_described(distinct), "labelled-urls")
         overall = counts[1.0] / sum(counts.values())
         self.overall = overall
-        self.suffixes = written(
-            chosen.groupBy("suffix").agg(
+        suffix = F.substring_index(url_parts(F.col("url"))[0], ".", -1)
+        self.suffixes = written_side(
+            rows.groupBy(suffix.alias("suffix")).agg(
                 F.log1p(F.count(F.lit(1))).alias("suffix_count"),
                 ((F.sum("label") + SMOOTHING * overall) / (F.count(F.lit(1)) + SMOOTHING)).alias("suffix_share"),
             ),
             "suffixes",
         )
+        taken = {r.label: r.copies for r in chosen.groupBy("label").agg(F.sum("copies").alias("copies")).collect()}
+        each = {label: 0.5 * sum(taken.values()) / n for label, n in taken.items()}
         data = self._assembled(chosen).withColumn(
-            "weight", F.when(F.col("label") == 1.0, 0.5 / overall).otherwise(0.5 / (1 - overall))
+            "weight", F.col("copies") * F.when(F.col("label") == 1.0, each.get(1.0, 0.0)).otherwise(each.get(0.0, 0.0))
         )
         self.trees = GBTClassifier(
             labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3,
@@ -140,8 +149,7 @@ class UrlModel:
         ).fit(data.select("label", "weight", "features"))
 
     def _assembled(self, described: DataFrame) -> DataFrame:
-        # As many suffixes as sampled urls at most, so this side's size is bounded by the sample.
-        joined = described.join(F.broadcast(self.suffixes), "suffix", "left").fillna(
+        joined = described.join(self.suffixes, "suffix", "left").fillna(
             {"suffix_count": 0.0, "suffix_share": self.overall}
         )
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(joined)

@@ -79,6 +79,26 @@ def test_labels_of_one_kind_or_none(spark):
         assert {r.verdict for r in url_filter.url_verdicts(pages, model, []).collect()} == {verdict}
 
 
+def test_a_cut_sample_keeps_balance_and_statistics(spark, monkeypatch):
+    """The larger label is cut: both weigh alike in what the trees see, and suffixes are counted on all rows."""
+    seen = []
+
+    class Kept(url_filter.GBTClassifier):
+        def fit(self, data):
+            seen.extend(data.select("label", "weight").collect())
+            return super().fit(data)
+
+    monkeypatch.setattr(url_filter, "GBTClassifier", Kept)
+    bad = [(f"http://spam-{k}x.example.org/en/{k}", 1) for k in range(50)]
+    good = [(f"http://alpha{k}.example.com/en/{k}", 0) for k in range(3000)] + [("http://alpha0.example.com/en/0", 0)] * 500
+    model = url_filter.UrlModel(spark.createDataFrame([*bad, *good], "url string, label int"), sample=400)
+    weights = {y: [r.weight for r in seen if r.label == y] for y in (0.0, 1.0)}
+    assert len(weights[1.0]) == 50 and 250 < len(weights[0.0]) < 550
+    assert sum(weights[1.0]) == pytest.approx(sum(weights[0.0]))
+    counts = {r.suffix: r.suffix_count for r in model.suffixes.collect()}
+    assert counts == {"org": pytest.approx(math.log1p(50)), "com": pytest.approx(math.log1p(3500))}
+
+
 def test_held_out_urls_of_the_tables(spark, sf_dir):
     apply_settings(spark)
     pages = spark.read.parquet(os.path.join(sf_dir.replace("sf0.001", "sf0.01"), "pages.parquet")).select("page_id", "url")
