@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import exact_dedup, near_dedup, packing, suffix_dedup, toxicity
-from faultline.llm.common import apply_settings, table
+from faultline.llm.common import apply_settings, column, keyed, table
 from faultline.session import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under one half."""
     apply_settings(spark)
-    judged = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    toxic = judged.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti")
+    rows, key = keyed(docs)
+    judged = toxicity.toxicity(rows, table(spark, sf_dir, "labels"), row_col=key)
+    toxic = judged.filter("predicted = 1").select(F.col("row").alias(key))
+    return rows.join(toxic, key, "left_anti").select(*[column(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

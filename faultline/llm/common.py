@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 WHITE_SPACE = r"[\x20\x09-\x0D]"
 
 SETTINGS = {
@@ -42,5 +44,19 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells rows apart and stays the same whenever they are read, and its name.
+
+    The key is a row's file and position; what is no plain table of files is written first.
+    """
+    if not docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation"):
+        docs = written(docs, "rows")
+    name = "row_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return docs.select(*[column(c) for c in docs.columns], key.alias(name)), name
+
+
 def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch for batch in source if batch.num_rows)

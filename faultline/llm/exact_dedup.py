@@ -18,17 +18,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import WHITE_SPACE, column, texts
+from .common import WHITE_SPACE, column, keyed, texts
 
 HEAD = 32
 SALTS = 64
 
 
-def content_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """doc_id, row, n_chars, text_sha256, head: whether a row is the first of its run of equal texts."""
+def content_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, row_col: str | None = None) -> DataFrame:
+    """doc_id, row (``row_col``, or a number), n_chars, text_sha256, head: whether a row is the first of its run of equal texts."""
+    row = F.monotonically_increasing_id() if row_col is None else column(row_col)
     rows = (
-        texts(docs, id_col, text_col)
-        .withColumn("row", F.monotonically_increasing_id())
+        docs.select(
+            column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), row.alias("row")
+        )
         .withColumn("n_chars", F.length("text"))
         .withColumn("norm", F.regexp_replace("text", WHITE_SPACE + "+", ""))
         .drop("text")
@@ -53,7 +55,11 @@ def content_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
-    rows = written(content_runs(docs, id_col, text_col, salts), "content-runs")
+    return _groups(content_runs(docs, id_col, text_col, salts)).drop("row")
+
+
+def _groups(runs: DataFrame) -> DataFrame:
+    rows = written(runs, "content-runs")
     first = F.struct(
         (-F.col("n_chars")).alias("chars"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"
     )
@@ -68,10 +74,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"),
         "text_sha256",
+        "row",
     )
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Rows of one identifier (or of none) stay if one of them does."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, column(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows that stay, one of each group, with all their columns."""
+    rows, key = keyed(docs)
+    kept = _groups(content_runs(rows, id_col, text_col, row_col=key)).filter("kept").select(F.col("row").alias(key))
+    return rows.join(kept, key, "left_semi").select(*[column(c) for c in docs.columns])

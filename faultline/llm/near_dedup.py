@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import batches, column, texts
+from .common import batches, column, keyed, texts
 from .components import components
 from .rolling import PrefixHash, mixed, row_slices, text_bytes
 
@@ -366,7 +366,19 @@ def near_groups(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, with all their columns. Rows of one identifier (or of none) stay if one of them does."""
-    kept = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, column(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows that stay, with all their columns: of each group the one of the smallest identifier, those of none last."""
+    rows, key = keyed(docs)
+    # Rows are grouped by numbers of their own, so that equal or missing identifiers are told apart.
+    number = F.xxhash64(key)
+    numbered = rows.select(number.alias("number"), column(text_col).alias("text"))
+    groups = near_groups(numbered, id_col="number", text_col="text", **options).select("doc_id", "component_id")
+    own = column(id_col).cast("long")
+    order = F.struct(own.isNull().alias("none"), own.alias("id"), F.col(key).alias("row"))
+    kept = (
+        rows.select(number.alias("doc_id"), order.alias("order"))
+        .join(groups, "doc_id")
+        .groupBy("component_id")
+        .agg(F.min("order").alias("first"))
+        .select(F.col("first.row").alias(key))
+    )
+    return rows.join(kept, key, "left_semi").select(*[column(c) for c in docs.columns])

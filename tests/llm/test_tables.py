@@ -273,6 +273,23 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pipeline_judges_rows_without_or_with_equal_identifiers(spark, sf_dir):
+    """The table twice, and once more without identifiers: nothing toxic stays, and one row of each text does."""
+    once = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    nameless = once.withColumn("doc_id", F.lit(None).cast("long"))
+    docs = once.union(once).union(nameless)
+    calm = corpus_pipeline.drop_toxic(spark, docs, sf_dir).cache()
+    toxic = {r.doc_id for r in QUERIES["op3_toxicity"](spark, sf_dir).filter("predicted = 1").collect()}
+    bad = {r.text for r in once.collect() if r.doc_id in toxic}
+    assert bad and not bad & {r.text for r in calm.collect()}
+    squeezed = lambda text: re.sub("[\x20\x09-\x0d]", "", text)
+    exact = corpus_pipeline.drop_copies(spark, calm, sf_dir).collect()
+    assert len(exact) == len({squeezed(r.text) for r in exact}) == len({squeezed(r.text) for r in calm.collect()})
+    near = corpus_pipeline.drop_near_copies(spark, calm, sf_dir).collect()
+    expected = corpus_pipeline.drop_near_copies(spark, calm.filter("doc_id is not null").dropDuplicates(["doc_id"]), sf_dir).collect()
+    assert sorted(r.doc_id for r in near if r.text.split()) == sorted(r.doc_id for r in expected if r.text.split())
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, seen = docs.schema, [{r.doc_id: r.text for r in docs.collect()}]
