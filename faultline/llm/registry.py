@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, near_dedup, nearest, packing, suffix_dedup, token_counts, toxicity, url_filter
+from . import (
+    byte_bpe,
+    chat,
+    exact_dedup,
+    near_dedup,
+    nearest,
+    packing,
+    periodic_runs,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from .common import apply_settings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +114,9 @@ def op9_token_counts(spark, sf_dir):
 @_query
 def op10_nearest(spark, sf_dir):
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query
+def op12_runs(spark, sf_dir):
+    docs = periodic_runs.with_planted_period(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
