@@ -11,6 +11,7 @@ from . import (
     byte_bpe,
     chat,
     exact_dedup,
+    minhash_fingerprint,
     near_dedup,
     nearest,
     packing,
@@ -120,3 +121,8 @@ def op10_nearest(spark, sf_dir):
 def op12_runs(spark, sf_dir):
     docs = periodic_runs.with_planted_period(table(spark, sf_dir, "documents"))
     return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
+@_query
+def op13_fingerprints(spark, sf_dir):
+    return minhash_fingerprint.beside_next(table(spark, sf_dir, "documents"))
