@@ -16,6 +16,7 @@ from . import (
     nearest,
     packing,
     periodic_runs,
+    prefix_trie,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -117,6 +118,12 @@ def op10_nearest(spark, sf_dir):
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@_query
+def op11_prefix_trie(spark, sf_dir):
+    known = prefix_trie.paths(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_openings(known))
+
+
 @_query
 def op12_runs(spark, sf_dir):
     docs = periodic_runs.with_planted_period(table(spark, sf_dir, "documents"))

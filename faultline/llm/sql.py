@@ -53,4 +53,40 @@ SELECT doc_id,
     doc_id = first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS kept,
     sha256(norm) AS text_sha256
 FROM rows""",
+    "op11_prefix_trie": r"""
+WITH own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+        list_concat([4294967295], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda s, x: xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1))), 4294967295) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM own)),
+opening AS (SELECT i.conv_id, o.pos AS d, role, text FROM ids i JOIN own o ON o.conv_id = i.base AND o.pos <= i.h),
+opened AS (SELECT conv_id, max(d) AS n FROM opening GROUP BY conv_id),
+rebuilt AS (
+    SELECT * FROM opening
+    UNION ALL
+    SELECT i.conv_id, coalesce(n, 0) + o.pos - i.h, role, text
+    FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.pos > i.h LEFT JOIN opened p ON p.conv_id = i.conv_id),
+member AS (
+    SELECT conv_id, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+        string_agg(md5(length(role) || ':' || role || ':' || text), '') OVER (PARTITION BY conv_id ORDER BY d) AS node
+    FROM rebuilt
+    UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+last AS (SELECT conv_id, max(d) AS d FROM member GROUP BY conv_id),
+nodes AS (
+    SELECT node, min(m.conv_id) AS conv_id, any_value(m.d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+        sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (m.d = l.d), '')) AS ends_sha256
+    FROM member m JOIN last l USING (conv_id) GROUP BY node),
+children AS (SELECT left(node, -32) AS node, count(*) AS n FROM nodes WHERE node <> '' GROUP BY ALL),
+subtree AS (
+    SELECT m.node, sum(u.saved) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+    FROM nodes u JOIN member m ON m.conv_id = u.conv_id AND m.d <= u.depth LEFT JOIN children c ON c.node = u.node
+    GROUP BY m.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+    leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtree s USING (node) LEFT JOIN children c USING (node)
+LEFT JOIN nodes p ON n.node <> '' AND p.node = left(n.node, -32)""",
 }
