@@ -14,12 +14,9 @@ def components(links: DataFrame) -> DataFrame:
     ``links``: a, b. Each round every node takes the smallest label around it, then its label's label, so
     paths shorten by more than half; rounds are written to the shared folder. Hot nodes pre-aggregate.
     """
-    both = written(
-        links.select(F.col("a").alias("node"), F.col("b").alias("other"))
-        .union(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        .distinct(),
-        "links",
-    )
+    a, b = F.col("a"), F.col("b")
+    ends = F.array(F.struct(a.alias("node"), b.alias("other")), F.struct(b.alias("node"), a.alias("other")))
+    both = written(links.select(F.inline(ends)).distinct(), "links")  # of one reading of the links
     labels = written(
         both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")),
         "labels",

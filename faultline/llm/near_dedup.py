@@ -347,8 +347,9 @@ def near_groups(
         F.col("rep_a").alias("a"), F.col("rep_b").alias("b")
     )
     rest = written(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    every = links.union(verified(rest).filter("linked").select("a", "b"))
-    final = written(components(every), "components")
+    # Written: components read their links more than once, and each pair is to be compared once.
+    across = written(verified(rest).filter("linked").select("a", "b"), "links")
+    final = written(components(links.union(across)), "components")
     named = written(
         classes.join(final, classes["rep"] == final["node"], "left").select(
             *sets, F.coalesce("component", "rep").alias("component")

@@ -360,6 +360,41 @@ def test_near_copies_that_only_their_source_links(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _components(rows, 4)
 
 
+def test_each_pair_is_compared_once(spark, monkeypatch):
+    counted, handed = spark.sparkContext.accumulator(0), []
+    verified, written = near_dedup._verified, near_dedup.written
+
+    def counting(*options):
+        run = verified(*options)
+
+        def counted_run(source):
+            for batch in run(source):
+                counted.add(batch.num_rows)
+                yield batch
+
+        return counted_run
+
+    def kept(df, label):
+        df = written(df, label)
+        if label == "pairs":
+            handed.append(df.count())
+        return df
+
+    monkeypatch.setattr(near_dedup, "_verified", counting)
+    monkeypatch.setattr(near_dedup, "written", kept)
+    rng = np.random.default_rng(12)
+    source = [f"s{i}" for i in range(400)]
+    rows = []
+    for i in range(80):  # copies of one text, half of them too far from it, with words in common
+        own = list(source)
+        for p in rng.choice(400, 6 if i % 2 else 14, replace=False):
+            own[p] = f"c{p}" if rng.random() < 0.7 else f"r{rng.integers(1 << 40)}"
+        rows.append((i, " ".join(own)))
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == _components(rows, 4)
+    assert len(handed) == 2 and handed[1] > 0 and counted.value == sum(handed)
+
+
 def test_sketches_fill_and_estimate_similarity():
     rng = np.random.default_rng(9)
     values = rng.integers(0, 2**63, 4000).astype(np.uint64)
