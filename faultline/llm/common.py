@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,5 +60,11 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.select(*[column(c) for c in docs.columns], key.alias(name)), name
 
 
+def worker_memory() -> dict:
+    """What a Python worker keeps from task to task. The library's functions travel by value, so globals of its modules do not last."""
+    name = "faultline_worker_memory"
+    return vars(sys.modules.setdefault(name, types.ModuleType(name))).setdefault("held", {})
+
+
 def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch for batch in source if batch.num_rows)

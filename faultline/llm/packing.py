@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, texts
+from .common import batches, texts, worker_memory
 from .token_counts import word_lists
 
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -118,6 +118,14 @@ class WordTokens:
         ]
 
 
+def word_tokens(tokenizer_path: str, end_id: int) -> WordTokens:
+    """One memory of words per Python worker, which its tasks share."""
+    held, key = worker_memory(), ("words", tokenizer_path, end_id)
+    if key not in held:
+        held[key] = WordTokens(tokenizer_path, end_id)
+    return held[key]
+
+
 # A part of a document: (doc_id, all its ids, first, end).
 Part = tuple[int | None, np.ndarray, int, int]
 
@@ -236,7 +244,7 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
 
 def _packed(tokenizer_path: str, end_id: int, tiers: tuple[int, ...], pool_tokens: int) -> Callable:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_path, end_id)
+        tokens = word_tokens(tokenizer_path, end_id)
         packer = Packer(TaskContext.get().partitionId(), tiers)
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0

@@ -360,6 +360,22 @@ def test_near_copies_that_only_their_source_links(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _components(rows, 4)
 
 
+def test_words_are_kept_from_task_to_task(spark, docs):
+    made = spark.sparkContext.accumulator(0)
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def tasks(_, source):
+        from faultline.llm import packing
+
+        held = packing.word_tokens(path, 2)
+        made.add(getattr(held, "tasks", 0) == 0)
+        held.tasks = getattr(held, "tasks", 0) + 1
+        return source
+
+    spark.sparkContext.parallelize(range(64), 64).mapPartitionsWithIndex(tasks).count()
+    assert 1 <= made.value <= 8
+
+
 def test_each_pair_is_compared_once(spark, monkeypatch):
     counted, handed = spark.sparkContext.accumulator(0), []
     verified, written = near_dedup._verified, near_dedup.written
