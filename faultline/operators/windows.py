@@ -74,7 +74,7 @@ def anchored_windows(
     swept = placed.mapInPandas(lambda parts: _sweep(parts, span, limit, eager), _EMISSION)
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     return swept.select(
-        _as_text(F.col("fp")).alias("fingerprint"),
+        as_text(F.col("fp")).alias("fingerprint"),
         kind.alias("kind"),
         F.col("n").alias("count"),
         F.timestamp_micros("first").alias("first_seen"),
@@ -118,23 +118,23 @@ def _known(df: DataFrame, *names: str) -> list[str]:
     return [n for n in names if n in df.columns]
 
 
-def _as_number(fingerprint: Column) -> Column:
+def as_number(fingerprint: Column) -> Column:
     return F.conv(fingerprint, 16, 10).cast("long")
 
 
-def _as_text(fp: Column) -> Column:
+def as_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), V.FINGERPRINT_CHARS, "0"))
 
 
 def _index(logs: DataFrame, carried: DataFrame | None) -> DataFrame:
     rows = keyed(logs).select(
-        _as_number(F.col("fingerprint")).alias("fp"),
+        as_number(F.col("fingerprint")).alias("fp"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"),
         "log_id",
     )
     if carried is not None:
         held = carried.select(
-            _as_number(F.col("fingerprint")).alias("fp"),
+            as_number(F.col("fingerprint")).alias("fp"),
             F.unix_micros("first_seen").alias("ts"),
             "log_id",
             F.col("count").alias("held"),
@@ -318,7 +318,7 @@ def _sweep(parts: Iterator[pd.DataFrame], span: int, limit: int, eager: bool) ->
             fp, ts, log_id, held, last = (
                 np.r_[w, a] for w, a in zip(window, (fp, ts, log_id, held, last))
             )
-        out, window = _emit(fp, ts, log_id, held, last, span, limit, eager)
+        out, window = emit(fp, ts, log_id, held, last, span, limit, eager)
         yield out
     if window is not None and final:
         fp, first, log_id, held, last = window
@@ -332,7 +332,7 @@ def _check_order(fp, previous):
         raise RuntimeError("window index lost its order within a partition")
 
 
-def _emit(fp, ts, log_id, held, last, span, limit, eager):
+def emit(fp, ts, log_id, held, last, span, limit, eager):
     n = len(fp)
     run, nxt = _next_starts(fp, ts, held, span, limit)
     step = nxt.tolist()

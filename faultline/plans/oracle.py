@@ -5,7 +5,7 @@ import re
 from .. import fixed_values as V
 from ..operators.scoring import prompt_frame
 from ..sources.views import CODE_PATHS, LEVELS, LOG_TEXTS, SERVICES
-from .registry import BUDGET, CONTEXT, NOW, STORM, WINDOW
+from .registry import BUDGET, CONTEXT, LATE_SECONDS, NOW, PARTS, STORM, WINDOW
 from .stub_model import ANSWERS
 
 
@@ -101,6 +101,13 @@ def _windows(eager: bool = False) -> str:
 _WINDOW_GROUPS = f"""{_windows()}, groups AS (
   SELECT w.*, m.raw_log AS representative_log, m.service_name, m.error_type
   FROM windows w JOIN marked m USING (log_id))"""
+# Timers close, at the newest time of all logs, what the eager way leaves open.
+_TIMER_WINDOWS = f"""{_windows(True)}, timed AS (
+  SELECT * REPLACE (CASE WHEN kind = 'FLUSH' AND (epoch_us(first_seen) + {WINDOW * 1_000_000}) // 1000 < newest THEN 'EXPIRED'
+    ELSE kind END AS kind) FROM windows, (SELECT epoch_us(max(ts)) // 1000 AS newest FROM events))"""
+_TIMER_GROUPS = f"""{_TIMER_WINDOWS}, groups AS (
+  SELECT w.*, m.raw_log AS representative_log, m.service_name, m.error_type
+  FROM timed w JOIN marked m USING (log_id))"""
 _WINDOW_COLUMNS = "fingerprint, kind, count, first_seen, last_seen, log_id"
 
 
@@ -458,6 +465,18 @@ ORACLE: dict[str, str] = {
     "stream_triage": f"""{_results(_WINDOW_GROUPS, "kind")} SELECT log_id, kind, severity, handler, source FROM results
         JOIN (VALUES ('P0_CRITICAL', 'audit'), ('P1_HIGH', 'audit'), ('P2_WARNING', 'audit'), ('P3_IGNORE', 'audit'),
         ('P3_IGNORE', 'ignored_archive')) t(severity, handler) USING (severity) WHERE kind <> 'FLUSH'""",
+    "stream_timer_dedup": f"WITH RECURSIVE {_TIMER_WINDOWS} SELECT {_WINDOW_COLUMNS} FROM timed",
+    "stream_timer_triage": f"""{_results(_TIMER_GROUPS, "kind")} SELECT log_id, kind, severity, handler, source FROM results
+        JOIN (VALUES ('P0_CRITICAL', 'audit'), ('P1_HIGH', 'audit'), ('P2_WARNING', 'audit'), ('P3_IGNORE', 'audit'),
+        ('P3_IGNORE', 'ignored_archive')) t(severity, handler) USING (severity)""",
+    "stream_late_logs": f"""WITH timed AS (SELECT event_id AS log_id, epoch_us(ts) AS t, min(epoch_us(ts)) OVER () AS low,
+        max(epoch_us(ts)) OVER () AS high FROM events), parted AS (SELECT log_id, t,
+        least(floor((t - low) * {PARTS} / (high - low + 1))::BIGINT + (log_id % 10 = 0)::INT, {PARTS - 1}) AS batch_id FROM timed),
+        newest AS (SELECT batch_id, max(max(t)) OVER (ORDER BY batch_id) AS t FROM parted GROUP BY batch_id),
+        judged AS (SELECT p.log_id, p.batch_id, coalesce(p.t <= n.t - {LATE_SECONDS * 1_000_000}, FALSE) AS is_late
+        FROM parted p LEFT JOIN newest n ON n.batch_id = p.batch_id - 1)
+        SELECT *, count(*) FILTER (NOT is_late) OVER (PARTITION BY batch_id) AS on_time,
+        count(*) FILTER (is_late) OVER (PARTITION BY batch_id) AS late FROM judged""",
     "stream_window_counts": f"""WITH {MARKED}, counted AS (SELECT date_trunc('day', ts) AS window_start,
         date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, fingerprint, count(*) AS count FROM marked GROUP BY 1, 2, 3)
         SELECT * FROM counted""",

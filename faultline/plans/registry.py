@@ -13,6 +13,7 @@ from ..sources.code import code_lines
 from ..sources.logs import read_log_lines, read_log_stream
 from ..sources.views import code_view, log_view, read_table, sft_view
 from ..streaming import dedup as streams
+from ..streaming import late, timers
 from .rca import parsed_once, prompts_for
 from .stub_model import ANSWERS, stub_model
 from .triage import triage
@@ -545,6 +546,7 @@ def label_distribution(spark, sf_dir):
 
 
 PARTS, FILES = 5, 4
+LATE_SECONDS = 86_400
 
 
 def _stream(spark, sf_dir):
@@ -599,3 +601,50 @@ def stream_window_counts(spark, sf_dir):
 @_query
 def window_counts(spark, sf_dir):
     return streams.storm_counts(_logs(spark, sf_dir), "1 day")
+
+
+@_query
+def stream_timer_dedup(spark, sf_dir):
+    """Windows closed by timers, and those that the state holds at the end."""
+    root = fresh_path(spark, "stream-timers")
+    shared_folder(spark)
+    told = timers.timer_dedup(_stream(spark, sf_dir), WINDOW, STORM, "0 seconds").writeStream.format("parquet")
+    _run(told.option("path", f"{root}/groups").option("checkpointLocation", f"{root}/checkpoint"))
+    emitted = spark.read.parquet(f"{root}/groups")
+    return emitted.unionByName(timers.open_windows(spark, f"{root}/checkpoint"))
+
+
+@_query
+def stream_timer_triage(spark, sf_dir):
+    """Triage of what timers close, then of the windows left open."""
+    root = fresh_path(spark, "stream-timer-triage")
+    shared_folder(spark)
+    logs = _logs(spark, sf_dir)
+    options = dict(window_seconds=WINDOW, threshold=STORM, delay="0 seconds")
+    _run(timers.timer_triage(_stream(spark, sf_dir), logs, root, stub_model, **options))
+    timers.triage_open(spark, logs, root, stub_model)
+    return spark.read.parquet(f"{root}/outbox").select("log_id", "kind", "severity", "handler", "source")
+
+
+def _late_stream(spark, sf_dir):
+    """The events in parts of equal time, one in ten of them a part too late."""
+    path = fresh_path(spark, "late-events")
+    events = read_table(spark, sf_dir, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = events.agg(F.min("micros"), F.max("micros")).first()
+    part = F.floor((F.col("micros") - low) * PARTS / (high - low + 1)) + (F.col("event_id") % 10 == 0).cast("int")
+    events = events.withColumn("part", F.least(part, F.lit(PARTS - 1)))
+    for no in range(PARTS):
+        events.filter(F.col("part") == no).drop("micros", "part").repartition(FILES).write.mode("append").parquet(path)
+    stream = read_log_stream(spark, path, schema=read_table(spark, sf_dir, "events").schema, maxFilesPerTrigger=FILES)
+    return log_view(stream, read_table(spark, sf_dir, "documents").count())
+
+
+@_query
+def stream_late_logs(spark, sf_dir):
+    """Every log with its micro-batch, late or not, and the batch's counts."""
+    root = fresh_path(spark, "stream-late")
+    shared_folder(spark)
+    _run(late.stream_split_late(_late_stream(spark, sf_dir), root, delay_seconds=LATE_SECONDS))
+    stored = late.stored_logs(spark, root).select("log_id", F.col("batch_id").cast("long").alias("batch_id"), F.col("late").alias("is_late"))
+    counts = late.late_counts(spark, root).select("batch_id", "on_time", "late")
+    return stored.join(F.broadcast(counts), "batch_id")  # a row for each batch

@@ -19,6 +19,7 @@ def triage(
     window_seconds: float = V.WINDOW_SECONDS,
     threshold: int = V.STORM_THRESHOLD,
     parts: int | None = None,
+    eager: bool = False,
 ) -> DataFrame:
     """Triage results of a log table.
 
@@ -26,7 +27,7 @@ def triage(
     step sees only what the one before it left over.
     """
     if use_aggregation:
-        groups = with_representatives(anchored_windows(logs, window_seconds, threshold), logs)
+        groups = with_representatives(anchored_windows(logs, window_seconds, threshold, eager), logs)
     else:
         groups = ungrouped(logs)
     ruled = with_rule(groups, rules=rules if use_rules else [])

@@ -27,12 +27,12 @@ GROUP_SCHEMA = (
 )
 
 
-def _batch_folder(root: str, batch_id: int) -> str:
+def batch_folder(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/batch_id={batch_id}"
 
 
 def _state(root: str, batch_id: int, state: str) -> str:
-    return f"{_batch_folder(f'{root}/groups', batch_id)}/state={state}"
+    return f"{batch_folder(f'{root}/groups', batch_id)}/state={state}"
 
 
 def _folder(spark: SparkSession, path: str):
@@ -45,7 +45,7 @@ def _read_state(spark: SparkSession, root: str, batch_id: int, state: str) -> Da
     path = _state(root, batch_id, state)
     folder, files = _folder(spark, path)
     if not files.exists(folder):
-        path = f"{_batch_folder(f'{root}/groups', batch_id)}/_SUCCESS"
+        path = f"{batch_folder(f'{root}/groups', batch_id)}/_SUCCESS"
         if not files.exists(_folder(spark, path)[0]):
             raise FileNotFoundError(f"batch {batch_id} has left nothing in {root}")
         return spark.createDataFrame([], GROUP_SCHEMA)
@@ -91,7 +91,7 @@ def dedup_batch(
         idle = (F.col("kind") == "FLUSH") & (age > int(window_seconds * 1e6))
         told = told.withColumn("kind", F.when(idle, F.lit("EXPIRED")).otherwise(F.col("kind")))
     columns = [part.split()[0] for part in GROUP_SCHEMA.split(", ")]
-    here = _batch_folder(f"{root}/groups", batch_id)
+    here = batch_folder(f"{root}/groups", batch_id)
     state = F.when(F.col("kind") == "FLUSH", "open").otherwise("closed").alias("state")
     told.select(*columns, state).write.mode("overwrite").partitionBy("state").parquet(here)
     if batch_id > 1:  # the batch before this one may have to be read again, older ones may not
@@ -135,18 +135,25 @@ def stream_triage(
     **options,
 ) -> DataStreamWriter:
     """Dedup, rules, model and outboxes on a stream; results, audit, ignored and outbox tables."""
+    return stream_dedup(stream, root, triage_writer(root, chat_factory, rules, routes), **options)
+
+
+def triage_writer(
+    root: str, chat_factory: ChatFactory | None = None, rules: list[tuple] | None = None, routes: DataFrame | None = None
+) -> Callable[[DataFrame, int], None]:
+    """What takes a batch's groups and writes its results, audit, ignored and outbox tables below ``root``."""
 
     def then(emitted: DataFrame, batch_id: int) -> None:
         results = classify(with_rule(emitted, rules=rules), chat_factory)
-        results_at = _batch_folder(f"{root}/results", batch_id)
+        results_at = batch_folder(f"{root}/results", batch_id)
         results.write.mode("overwrite").parquet(results_at)
         # Written once, so that a model is not asked again for every table below.
         told = emitted.sparkSession.read.schema(results.schema).parquet(results_at)
-        audit_records(told).write.mode("overwrite").json(_batch_folder(f"{root}/audit", batch_id))
-        ignored_documents(told).write.mode("overwrite").json(_batch_folder(f"{root}/ignored", batch_id))
-        outbox(route(told, routes)).write.mode("overwrite").parquet(_batch_folder(f"{root}/outbox", batch_id))
+        audit_records(told).write.mode("overwrite").json(batch_folder(f"{root}/audit", batch_id))
+        ignored_documents(told).write.mode("overwrite").json(batch_folder(f"{root}/ignored", batch_id))
+        outbox(route(told, routes)).write.mode("overwrite").parquet(batch_folder(f"{root}/outbox", batch_id))
 
-    return stream_dedup(stream, root, then, **options)
+    return then
 
 
 def storm_counts(logs: DataFrame, window: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
