@@ -38,6 +38,7 @@ SHINGLE = 5
 COORDINATES, BANDS = 128, 32
 LEAST = 80
 SIEVES = 2
+BLOCK = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -252,6 +253,87 @@ def _largest(labelled: DataFrame) -> DataFrame:
     )
 
 
+_LEFT = ["key", "u", "v", "block", "rep", "component", "n_shingles", "common", "target", "in_target", "leader", "distance", "sketch", "bands"]
+
+
+def _pairs_left(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of each bucket that no count, distance or sketch rules out, each pair in its first bucket alone.
+
+    A bucket's rows are dealt to blocks of about ``BLOCK``, and two blocks meet in a task of their own, so a large bucket is spread
+    over many tasks. Missing counts are filled in so that they rule nothing out; a row that has no leader is its own.
+    """
+    sizes = written(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, "key").withColumn("block", block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    filled = dealt.withColumns(
+        {
+            "u": F.least("block", "other"),
+            "v": F.greatest("block", "other"),
+            "target": F.coalesce("target", "component"),
+            "in_target": F.coalesce("in_target", F.lit(0).cast("long")),
+            "leader": F.coalesce("leader", "rep"),
+            "distance": F.coalesce("distance", F.lit(0.0)),
+        }
+    )
+    meeting = filled.select(*_LEFT).repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
+    return meeting.mapInArrow(_met(percent), "a long, b long")
+
+
+def _met(percent: int) -> Callable:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches(source):
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                unit = tuple(keys[a].tolist())
+                if unit != now and held:
+                    yield _compared(held, percent)
+                    held = []
+                now = unit
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield _compared(held, percent)
+
+    return run
+
+
+def _compared(held: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """Pairs of two blocks of a bucket, or of one with itself."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    plain = {c: rows.column(c).to_numpy() for c in _LEFT[:-2]}
+    sketch, bands = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(rows), -1) for c in ("sketch", "bands"))
+    key, u, v = (plain[c][0] for c in ("key", "u", "v"))
+    left, right = np.flatnonzero(plain["block"] == u), np.flatnonzero(plain["block"] == v)
+    x, y = ({c: values[at] for c, values in plain.items()} for at in (left, right))
+    x = {c: values[:, None] for c, values in x.items()}
+    most = np.iinfo(np.int64).max
+    common = np.minimum(
+        np.minimum(x["common"], y["common"]),
+        np.minimum(
+            np.where(x["target"] == y["component"], x["in_target"], most), np.where(y["target"] == x["component"], y["in_target"], most)
+        ),
+    )
+    fit = 100 * common >= percent * (x["n_shingles"] + y["n_shingles"] - common)
+    fit &= x["component"] != y["component"]
+    # The distance of sets is a metric: two that lie apart as seen from one leader lie apart.
+    fit &= (x["leader"] != y["leader"]) | (np.abs(x["distance"] - y["distance"]) <= 1 - percent / 100 + 1e-9)
+    if u == v:
+        fit &= x["rep"] < y["rep"]
+    i, j = np.nonzero(fit)
+    i, j = left[i], right[j]
+    alike = np.zeros(len(i), bool)
+    for a in range(0, len(i), 1 << 16):
+        at = slice(a, a + (1 << 16))
+        alike[at] = (sketch[i[at]] == sketch[j[at]]).sum(axis=1) >= LEAST
+    i, j = i[alike], j[alike]
+    first = np.where(bands[i] == bands[j], bands[i], most).min(axis=1, initial=most) == key
+    a, b = plain["rep"][i[first]], plain["rep"][j[first]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def near_groups(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -327,25 +409,7 @@ def near_groups(
     # What is left is compared in full: every pair of a bucket that is not known to be connected, in its first bucket.
     led = judged.select(F.col("b").alias("rep"), F.col("a").alias("leader"), "distance")
     rows_left = written(labelled.join(classes.select("rep", "bands", "sketch"), "rep").join(led, "rep", "left"), "open")
-    names = ("rep", "component", "bands", "sketch", "n_shingles", "common", "target", "in_target", "leader", "distance")
-    left = rows_left.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
-    right = rows_left.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
-    apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
-    common = F.least(
-        "common_a",
-        "common_b",
-        F.when(F.col("component_b") == F.col("target_a"), F.col("in_target_a")),
-        F.when(F.col("component_a") == F.col("target_b"), F.col("in_target_b")),
-    )
-    apart &= _reach(common, F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
-    # The distance of sets is a metric: two that lie apart as seen from one leader lie apart.
-    between = F.abs(F.col("distance_a") - F.col("distance_b")) > 1 - percent / 100 + 1e-9
-    apart &= ~F.coalesce((F.col("leader_a") == F.col("leader_b")) & between, F.lit(False))
-    once = left["key"] == F.array_min(F.array_intersect("bands_a", "bands_b"))
-    alike = _agreeing(F.col("sketch_a"), F.col("sketch_b")) >= LEAST
-    across = left.join(right, (left["key"] == right["key"]) & apart & once & alike).select(
-        F.col("rep_a").alias("a"), F.col("rep_b").alias("b")
-    )
+    across = _pairs_left(rows_left, percent)
     rest = written(across.join(tried, ["a", "b"], "left_anti"), "pairs")
     # Written: components read their links more than once, and each pair is to be compared once.
     across = written(verified(rest).filter("linked").select("a", "b"), "links")
