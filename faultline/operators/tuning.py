@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.severity import is_valid
 from ..functions.text import strip
+from ..session import written
 from .scoring import strict_verdict
 
 
@@ -47,8 +48,34 @@ def within_cutoff(rows: DataFrame, cutoff: int = 2048) -> DataFrame:
 
 
 def capped(rows: DataFrame, max_samples: int | None, *order: str) -> DataFrame:
-    """The trainer's ``max_samples``: the first rows in a fixed order (all for None)."""
-    return rows if max_samples is None else rows.orderBy(*order).limit(max_samples)
+    """The trainer's ``max_samples``: the first rows in a fixed order (all for None), which equal rows share.
+
+    Only the order's columns and a hash of the row are sorted, by range partitions; partitions are counted, the last key
+    that stays is read from the one that the count ends in, and the rows are filtered by it where they are. However many
+    rows stay, no task gathers them.
+    """
+    if max_samples is None:
+        return rows
+    if max_samples <= 0:
+        return rows.limit(0)
+    key = [*[F.col(c) for c in order], F.xxhash64(*rows.columns)]
+    names = [f"k{i}" for i in range(len(key))]
+    keys = rows.select(*[k.alias(n) for k, n in zip(key, names, strict=True)])
+    at = F.monotonically_increasing_id()
+    placed = keys.repartitionByRange(*names).sortWithinPartitions(*names)
+    placed = written(placed.withColumns({"part": F.spark_partition_id(), "at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "keys")
+    left = max_samples
+    for part, n in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        if left <= n:
+            break
+        left -= n
+    else:
+        return rows
+    last = placed.filter((F.col("part") == part) & (F.col("at") == left - 1)).select(F.struct(*names)).first()[0]
+    own, bound = F.struct(*key), F.struct(*[F.lit(v).cast(t) for v, (_, t) in zip(last, keys.dtypes, strict=True)])
+    # Rows that equal the last one in everything: as many as the count asks for.
+    tied = placed.filter((F.col("part") == part) & (F.col("at") < left) & (F.struct(*names) == bound)).count()
+    return rows.filter(own < bound).union(rows.filter(own == bound).limit(tied))
 
 
 def with_split(rows: DataFrame, val_size: float, *key: str) -> DataFrame:

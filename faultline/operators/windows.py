@@ -14,8 +14,9 @@ a hot fingerprint into as many slices as it needs:
 1. a slice of a cut fingerprint is summed up as a table of at most ``threshold``
    rows: for each row a window may first start at, the window left open at the
    slice's end (a window that comes in from the left closes within that many rows);
-2. these summaries are followed from left to right, which gives every slice the
-   window that comes in;
+2. a summary is a function from the window that comes in to the one that is left open, and functions of
+   neighbours compose to one of the same size: ``FAN`` slices at a time they are composed to a tree, and from its top
+   the windows that come in are handed down, level by level;
 3. all slices are then swept at once, in constant memory.
 
 Only (fingerprint, ts, log_id) take part. The texts of the windows' first logs
@@ -36,6 +37,9 @@ from ..session import shared_folder, written, written_side
 # A task holds no more than a slice of rows of three numbers.
 ROWS_PER_SLICE = 2_000_000
 
+# Slices whose summaries meet in one place; a group of them has at most FAN * threshold rows.
+FAN = 8
+
 KINDS = ["NEW", "THRESHOLD", "EXPIRED", "FLUSH"]
 NEW, THRESHOLD, EXPIRED, FLUSH = range(4)
 
@@ -65,9 +69,9 @@ def anchored_windows(
     limit = max(2, threshold)
 
     index = _ranged(_index(logs, carried), slices)
-    entries = _entries(_cuts(index), index, span, limit)
-    # At most two rows per partition of the index, whatever the data's size.
-    placed = index.join(F.broadcast(entries), ["fp", "slice"], "left").withColumns(
+    cuts = written_side(_cuts(index), "cuts")  # at most two rows per partition of the index
+    entries = written_side(_entries(cuts, index, span, limit), "entries")
+    placed = index.join(entries, ["fp", "slice"], "left").withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in ("in_first", "in_id", "in_held", "in_last")}
         | {"final": F.coalesce("final", F.lit(True))}
     )
@@ -159,7 +163,7 @@ def _ranged(rows: DataFrame, slices: int | None) -> DataFrame:
 
 
 def _cuts(index: DataFrame) -> DataFrame:
-    """(fp, slice, final) for fingerprints that lie in several slices.
+    """(fp, slice, piece, final) for fingerprints that lie in several slices; pieces are numbered from 0, gaps allowed.
 
     Built from one row per partition of the index: a fingerprint can only be cut
     where it is the lowest or the highest of a partition.
@@ -172,6 +176,7 @@ def _cuts(index: DataFrame) -> DataFrame:
             "fp",
             "slice",
             F.count(F.lit(1)).over(of_fp).alias("pieces"),
+            (F.col("slice") - F.min("slice").over(of_fp)).alias("piece"),
             (F.col("slice") == F.max("slice").over(of_fp)).alias("final"),
         )
         .filter("pieces > 1")
@@ -180,14 +185,30 @@ def _cuts(index: DataFrame) -> DataFrame:
 
 
 def _entries(cuts: DataFrame, index: DataFrame, span: int, limit: int) -> DataFrame:
-    rows = index.join(F.broadcast(cuts.select("fp", "slice")), ["fp", "slice"])
-    summaries = rows.mapInPandas(lambda parts: _summarise(parts, span, limit), _SUMMARY)
-    followed = (
-        summaries.repartition("fp")
-        .sortWithinPartitions("fp", "slice", "at")
-        .mapInPandas(lambda parts: _follow(parts, span, limit), _ENTRY)
-    )
-    return cuts.join(followed, ["fp", "slice"])
+    """(fp, slice, final) with the window that comes in from the left."""
+    rows = index.join(cuts.select("fp", "slice", "piece"), ["fp", "slice"]).drop("slice")
+    rows = rows.withColumnRenamed("piece", "slice")
+    levels = [rows.mapInPandas(lambda parts: _summarise(parts, span, limit), _SUMMARY)]
+    pieces = cuts.agg(F.max("piece") + 1).first()[0] or 0
+    while pieces > FAN:
+        levels[-1] = written(levels[-1], "summaries")
+        levels.append(_groups(levels[-1]).mapInPandas(lambda parts: _compose(parts, span, limit), _SUMMARY))
+        pieces = -(-pieces // FAN)
+    entries = None
+    for summaries in reversed(levels):
+        entries = _groups(summaries, entries).mapInPandas(lambda parts: _follow(parts, span, limit), _ENTRY)
+    return cuts.join(entries.withColumnRenamed("slice", "piece"), ["fp", "piece"]).drop("piece")
+
+
+def _groups(summaries: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Summaries by groups of neighbours, in order, with the window that comes into each group."""
+    grouped = summaries.withColumn("above", F.floor(F.col("slice") / FAN).cast("int"))
+    if entries is None:
+        nothing = {c: F.lit(0).cast("long") for c in ("in_first", "in_id", "in_held", "in_last")}
+        grouped = grouped.withColumns(nothing)
+    else:
+        grouped = grouped.join(entries.withColumnRenamed("slice", "above"), ["fp", "above"])
+    return grouped.repartition("fp", "above").sortWithinPartitions("fp", "above", "slice", "at")
 
 
 # --- inside the tasks: whole columns of a batch at a time -------------------------
@@ -270,12 +291,14 @@ def _whole_runs(parts):
 
 
 def _follow(parts: Iterator[pd.DataFrame], span: int, limit: int) -> Iterator[pd.DataFrame]:
-    """Hand the open window of each fingerprint from slice to slice."""
+    """Hand the open window of each group of neighbours from one to the next."""
     columns = ["fp", "slice", "in_first", "in_id", "in_held", "in_last"]
-    last_fp, window, out = None, None, []
+    last_group, window, out = None, None, []
     for (fp, slice_), summary in _whole_runs(parts):
-        if fp != last_fp:
-            last_fp, window = fp, None
+        group = (fp, slice_ // FAN)
+        if group != last_group:
+            came_in = tuple(int(summary[c].iat[0]) for c in columns[2:])
+            last_group, window = group, came_in if came_in[2] else None
         out.append((fp, slice_, *(window or (0, 0, 0, 0))))
         window = _after_slice(window, summary, span, limit)
         if len(out) == 1000:
@@ -285,18 +308,51 @@ def _follow(parts: Iterator[pd.DataFrame], span: int, limit: int) -> Iterator[pd
 
 
 def _after_slice(window, summary, span, limit):
-    n, last = int(summary["n"].iat[0]), int(summary["last"].iat[0])
-    start = 0
-    if window is not None:
-        first, log_id, held, _ = window
-        past = int(np.searchsorted(summary["head"].to_numpy(), first + span, side="right"))
-        missing = limit - held
-        if past >= n and missing > n:
-            return first, log_id, held + n, last
-        start = min(past, missing)
-    if start >= n or summary["held"].iat[start] == 0:
-        return None
-    return (*(int(summary[c].iat[start]) for c in ("first", "id", "held")), last)
+    """The window left open by a slice that ``window`` comes into."""
+    left = (np.zeros(1, np.int64),) * 4 if window is None else tuple(np.array([x]) for x in window)
+    first, log_id, held, last = (int(x[0]) for x in _through(left, summary, span, limit))
+    return (first, log_id, held, last) if held else None
+
+
+def _through(windows, summary, span, limit):
+    """Windows (first, id, held, last; none where held is 0) after a slice, for many of them at once."""
+    first, log_id, held, _ = windows
+    n, end = int(summary["n"].iat[0]), int(summary["last"].iat[0])
+    past = np.searchsorted(summary["head"].to_numpy(), first + span, side="right")
+    missing = limit - held
+    goes_on = (held > 0) & (past >= n) & (missing > n)
+    start = np.where(held > 0, np.minimum(past, missing), 0)
+    opened = ~goes_on & (start < n)
+    at = np.where(opened, start, 0)
+    told = {c: summary[c].to_numpy()[at] for c in ("first", "id", "held")}
+    return (
+        np.where(goes_on, first, told["first"]),
+        np.where(goes_on, log_id, told["id"]),
+        np.where(goes_on, held + n, np.where(opened, told["held"], 0)),
+        np.full(len(held), end),
+    )
+
+
+def _compose(parts: Iterator[pd.DataFrame], span: int, limit: int) -> Iterator[pd.DataFrame]:
+    """One summary for each group of neighbours: what the group does to a window that starts at each of its first rows."""
+    key, whole = None, None
+    for (fp, slice_), summary in _whole_runs(parts):
+        group = (fp, slice_ // FAN)
+        if group != key:
+            if whole is not None:
+                yield whole
+            key, whole = group, summary[[c.split()[0] for c in _SUMMARY.split(", ")]].assign(slice=group[1])
+            continue
+        windows = tuple(whole[c].to_numpy() for c in ("first", "id", "held", "last"))
+        told = dict(zip(("first", "id", "held", "last"), _through(windows, summary, span, limit), strict=True))
+        n, more = int(whole["n"].iat[0]), summary["n"].iat[0]
+        # Rows of the next one at which a window may start first, where those before are few.
+        beyond = summary[whole.columns].iloc[: max(0, limit - n)].assign(slice=group[1])
+        whole = pd.concat([whole.assign(**told), beyond.assign(at=beyond["at"] + n)]).assign(
+            n=n + int(more), last=summary["last"].iat[-1]
+        )
+    if whole is not None:
+        yield whole
 
 
 def _sweep(parts: Iterator[pd.DataFrame], span: int, limit: int, eager: bool) -> Iterator[pd.DataFrame]:

@@ -106,7 +106,7 @@ def test_triage_by_timers(spark, tmp_path):
     timers.triage_open(spark, logs, root, stub_model)
     got = spark.read.parquet(f"{root}/results").select(*keys)
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() > closed
-    assert {r.representative_log for r in got.collect()} == set(TEXTS)
+    assert {r.representative_log for r in got.collect()} == {TEXTS[k] for k in (0, 1, 4)}
     assert spark.read.json(f"{root}/audit").count() == got.count()
 
 

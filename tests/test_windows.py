@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators import windows
 from faultline.operators.windows import anchored_windows, expired_at, open_windows, storm_groups, with_representatives
 from faultline.streaming.dedup import dedup_batch, emitted_groups
 
@@ -85,6 +86,27 @@ def test_one_fingerprint_fills_all_slices(spark):
         assert emitted(got) == fold(rows, window, threshold)
 
 
+@pytest.mark.parametrize("window,threshold", [(10**6, 10_000), (200, 90)])
+def test_a_thousand_slices_of_one_fingerprint(spark, monkeypatch, window, threshold):
+    """Summaries compose to a tree; no group of them is larger than its fan allows."""
+    groups, plain = [], windows._groups
+
+    def counted(*frames):
+        out = plain(*frames)
+        groups.append(out.groupBy("fp", "above").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(windows, "_groups", counted)
+    rng = random.Random(window)
+    at, rows = 0, []
+    for i in range(24_000):
+        at += rng.choice([0, 0, 0, 1, 3])
+        rows.append((fingerprint(9), float(at), i))
+    got = anchored_windows(table(spark, rows).coalesce(8), window, threshold, slices=1000)
+    assert emitted(got) == fold(rows, window, threshold)
+    assert len(groups) == 3 + 4 and max(groups) <= windows.FAN * min(threshold, len(rows))
+
+
 def test_many_small_arrow_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
