@@ -87,9 +87,27 @@ def test_exact_groups(docs, none):
 
 
 def test_exact_copies_of_a_hot_text(spark):
-    hot = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("the same").alias("text"))
-    got = exact_dedup.exact_groups(hot, salts=8).agg(F.min("keep_id"), F.max("keep_id"), F.min("group_size"), F.count_if("kept"))
-    assert tuple(got.first()) == (0, 0, 6000, 1)
+    """Dealt to several places, whose heads are compared in full once more; other texts stay in one."""
+    hot = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "the same").otherwise(F.col("id").cast("string")).alias("text"))
+    runs = exact_dedup.content_runs(hot, most=500)
+    heads = runs.filter("head and norm is not null").collect()
+    assert len(heads) == 8 and {r.norm for r in heads} == {"thesame"}
+    got = exact_dedup.exact_groups(hot, most=500)
+    same = got.filter(F.col("doc_id") % 3 > 0).agg(F.min("keep_id"), F.max("keep_id"), F.min("group_size"), F.count_if("kept"))
+    assert tuple(same.first()) == (1, 1, 4000, 1)
+    assert got.filter((F.col("doc_id") % 3 == 0) & F.col("kept") & (F.col("group_size") == 1)).count() == 2000
+
+
+@pytest.mark.parametrize("most", [2, 1000])
+def test_no_digest_decides_what_is_equal(spark, monkeypatch, most):
+    """Though every text had the same hashes, only equal texts are one group."""
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(70)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda *_: F.lit("forged"))
+    monkeypatch.setattr(exact_dedup, "HEAD", 2)
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.length(F.col("norm")).cast("long") if c == ("norm",) else F.hash(*c).cast("long"))
+    got = exact_dedup.exact_groups(docs, most=most).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(i, i % 7, 10, i < 7) for i in range(70)]
+    assert {r.text_sha256 for r in got} == {"forged"}
 
 
 # --- coding ----------------------------------------------------------------------------
