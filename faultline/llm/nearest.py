@@ -115,8 +115,13 @@ def _sound(vector: Column) -> Column:
 
 
 def _unpacked(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors in double precision and their lengths, safe from overflow."""
+    """Vectors in double precision and their lengths, each vector scaled by a power of two that brings its largest component near 1.
+
+    The scaling is exact and changes no cosine; without it lengths of extreme vectors would overflow, or vanish.
+    """
     x = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+    exponent = np.frexp(np.abs(x).max(axis=1, initial=0.0))[1]
+    x = np.ldexp(x, -exponent[:, None])
     return x, np.linalg.norm(x, axis=1)
 
 

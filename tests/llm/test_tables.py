@@ -205,11 +205,10 @@ def _brute(rows, k, asked):
             own[i] = v
     out = {}
     for q in filter(asked, own):
-        a = np.array(own[q])
         near = []
         for i, v in own.items():
             if i != q:
-                b = np.array(v)
+                a, b = (x / np.abs(x).max() for x in (np.array(own[q]), np.array(v)))
                 near.append((-float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))), i))
         out[q] = sorted((round(s, 9), i) for s, i in near)[:k]
     return out
@@ -224,6 +223,7 @@ def test_neighbours_of_odd_vectors(spark, monkeypatch):
     hot = [float(x) for x in rng.standard_normal(8)]
     rows += [(i, hot) for i in range(300, 400)]  # one vector a hundred times: ties go to the smaller identifier
     rows += [(500, None), (510, [0.0] * 8), (520, [math.nan] + [1.0] * 7), (530, [math.inf] + [1.0] * 7), (540, [1.0]), (None, hot), (0, rows[0][1])]
+    rows += [(600 + 10 * n, [x * scale for x in rows[7][1]]) for n, scale in enumerate((1e200, 1e-200, 1e-310, 1e307))]  # extreme, but finite
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, ids int").repartition(4)
     got = defaultdict(list)
     for r in nearest.nearest(df, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
