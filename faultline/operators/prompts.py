@@ -61,16 +61,19 @@ def code_section(pieces: Column, budget: int = V.CODE_BUDGET_CHARS) -> Column:
     return F.when(F.size(pieces) > 0, F.aggregate(blocks, empty, take, section)).otherwise("")
 
 
-def rca_prompts(parsed: DataFrame, found: DataFrame, budget: int = V.CODE_BUDGET_CHARS) -> DataFrame:
-    """Add system_prompt, user_prompt, prompt_chars and found_files to parsed logs.
+def rca_prompts(parsed: DataFrame, found: DataFrame | None, budget: int = V.CODE_BUDGET_CHARS) -> DataFrame:
+    """Add system_prompt, user_prompt, prompt_chars and found_files to parsed logs; ``found`` None: logs without snippets.
 
     A log has at most ``max_files`` snippets, so a group here is small by itself.
     """
-    per_log = found.groupBy("log_id").agg(
-        F.collect_list(F.struct("pos", "file_path", "language", "marked_content")).alias("pieces")
-    )
     none = F.array().cast("array<struct<pos:int,file_path:string,language:string,marked_content:string>>")
-    joined = parsed.join(per_log, "log_id", "left").withColumn("pieces", F.coalesce("pieces", none))
+    if found is None:
+        joined = parsed.withColumn("pieces", none)
+    else:
+        per_log = found.groupBy("log_id").agg(
+            F.collect_list(F.struct("pos", "file_path", "language", "marked_content")).alias("pieces")
+        )
+        joined = parsed.join(per_log, "log_id", "left").withColumn("pieces", F.coalesce("pieces", none))
     code = code_section(F.col("pieces"), budget)
     user = F.concat_ws("\n\n", log_section(), F.nullif(code, F.lit("")), F.lit(V.RCA_TASK))
     return (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.text import split_lines
 from ..session import written_side
+from ..sources.snapshots import BLOCK_LINES
 from .stacktrace import unique_files
 
 _PLACE = ["ref", "file_path", "center"]
@@ -101,6 +102,44 @@ def cut_snippets(
     )
 
 
+def cut_stored_snippets(
+    requests: DataFrame,
+    files: DataFrame,
+    blocks: DataFrame,
+    context_lines: int = V.CONTEXT_LINES,
+    block_lines: int = BLOCK_LINES,
+) -> DataFrame:
+    """``cut_snippets`` from lines stored in blocks: a window reads the blocks that it touches, two where it is no longer than one.
+
+    ``files`` and ``blocks`` as ``sources.snapshots`` gives them. Existence and length come from ``files``; then an equi-join by
+    (digest, block) fetches lines, so a file of any size is neither read nor split whole.
+    """
+    place = ["ref", "file_path", "commit_sha", "center", "start_line", "end_line"]
+    asked = requests.select(*_PLACE).distinct().join(files, ["ref", "file_path"])
+    asked = asked.withColumns(
+        {
+            "start_line": F.greatest(F.lit(1), F.col("center") - context_lines),
+            "end_line": F.least("total_lines", F.col("center") + context_lines),
+        }
+    )
+    block = lambda line: F.floor((line - 1) / block_lines).cast("int")
+    reach = F.when(
+        F.col("end_line") >= F.col("start_line"), F.sequence(block(F.col("start_line")), block(F.col("end_line")))
+    )
+    # Past the end of the file the window is empty, and the snippet still counts.
+    touched = asked.select(*place, "digest", F.explode_outer(reach).alias("block"))
+    first = F.greatest(F.lit(1), F.col("start_line") - F.col("block") * block_lines)
+    last = F.least(F.size("lines"), F.col("end_line") - F.col("block") * block_lines)
+    pieces = touched.join(blocks, ["digest", "block"], "left").select(
+        *place, F.when(F.col("lines").isNotNull(), F.struct("block", F.slice("lines", first, last - first + 1).alias("held"))).alias("piece")
+    )
+    joined = pieces.groupBy(*place).agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    window = F.flatten(F.transform("pieces", lambda p: p["held"]))
+    return joined.select(*place, window.alias("window")).withColumn(
+        "content", F.array_join(F.transform("window", lambda line, at: _numbered(line, F.col("start_line") + at)), "\n")
+    )
+
+
 def snippets(requests: DataFrame, cut: DataFrame) -> DataFrame:
     """Snippets per log, failing lines marked; requests of missing files fall away.
 

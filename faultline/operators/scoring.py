@@ -4,9 +4,9 @@ A model is given as a factory: called once per task, it returns
 ``chat(system, user, temperature, max_tokens) -> (content, model, usage)``.
 """
 
-import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,20 +27,9 @@ _FIELDS = "severity:string,reason:string,action:string"
 # --- prompts ----------------------------------------------------------------------
 
 
-def example_block() -> str:
-    """The worked examples as they stand at the head of every prompt."""
-    keys = ["severity", "reason", "action", "blast_radius", "confidence"]
-    return "\n\n".join(
-        V.TRIAGE_EXAMPLE_FORMAT.format(
-            no=no, log=log, verdict=json.dumps(dict(zip(keys, verdict)), ensure_ascii=False, indent=2)
-        )
-        for no, (log, *verdict) in enumerate(V.TRIAGE_EXAMPLES, 1)
-    )
-
-
 def prompt_frame() -> tuple[str, str]:
     """What stands before and after the log text of a prompt; the same for all."""
-    return example_block() + V.TRIAGE_QUESTION_HEAD, V.TRIAGE_QUESTION_TAIL
+    return V.TRIAGE_EXAMPLE_BLOCK + V.TRIAGE_QUESTION_HEAD, V.TRIAGE_QUESTION_TAIL
 
 
 def prompt_log(max_chars: int = V.TRIAGE_LOG_LIMIT) -> Column:
@@ -71,13 +60,17 @@ def chat_over(
     max_tokens: int,
     frame: tuple[str, str] = ("", ""),
     parts: int | None = None,
+    at_once: int = 1,
+    tries: int = 1,
+    wait_seconds: float = 1.0,
 ) -> DataFrame:
     """Call a model once per row of (id..., user_text) and add its answer.
 
     ``frame`` is put round ``user_text`` inside the task, so that a constant part
     of the prompt does not travel with every row. Rows without ``user_text`` pass
     without a call. A failed call gives a null content and the error's text.
-    ``parts`` sets how many tasks call at a time.
+    ``parts`` sets how many tasks call at a time, ``at_once`` how many calls each of them has under way. A call that fails
+    is tried again, ``tries`` times in all, after a wait that doubles.
     """
     keys = [f for f in rows.schema.fields if f.name != "user_text"]
     names = [k.name for k in keys]
@@ -87,22 +80,31 @@ def chat_over(
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chat = None
-        for batch in batches:
-            if chat is None:
-                chat = chat_factory()
-            answers = []
-            for text in batch["user_text"]:
-                if text is None:
-                    answers.append((None, "", {}, None, 0.0))
-                    continue
-                began = time.perf_counter()
+
+        def answer(text):
+            if text is None:
+                return None, "", {}, None, 0.0
+            began = time.perf_counter()
+            for left in reversed(range(tries)):
                 try:
                     content, model, usage = chat(system, head + text + tail, temperature, max_tokens)
                     usage = {k: int(v) for k, v in (usage or {}).items() if v is not None}
-                    answer = (content, model, usage, None)
+                    told = (content, model, usage, None)
+                    break
                 except Exception as error:  # one bad call must not end the job
-                    answer = (None, "", {}, str(error))
-                answers.append((*answer, (time.perf_counter() - began) * 1000))
+                    told = (None, "", {}, str(error))
+                    if left:
+                        time.sleep(wait_seconds * 2 ** (tries - 1 - left))
+            return (*told, (time.perf_counter() - began) * 1000)
+
+        for batch in batches:
+            if chat is None:
+                chat = chat_factory()
+            if at_once > 1:
+                with ThreadPoolExecutor(at_once) as calls:
+                    answers = list(calls.map(answer, batch["user_text"]))
+            else:
+                answers = [answer(text) for text in batch["user_text"]]
             told = pd.DataFrame(
                 answers, columns=["content", "model", "usage", "error", "elapsed_ms"], index=batch.index
             )
@@ -190,12 +192,13 @@ def classify(
     responses: DataFrame | None = None,
     fallback: str = V.FALLBACK_SEVERITY,
     parts: int | None = None,
+    answer_store: str | None = None,
 ) -> DataFrame:
     """Groups with their rule columns to triage results.
 
     Rows with a severity are settled by rule; only the others reach the model, or
     meet stored ``responses(fingerprint, content)``, unique by fingerprint. With
-    neither, they take the fallback.
+    neither, they take the fallback. ``answer_store`` names a folder that keeps the model's answers over runs.
     """
     if "kind" not in ruled.columns:
         ruled = ruled.withColumn("kind", F.lit("GROUP"))
@@ -209,12 +212,14 @@ def classify(
         # the results, and only keys and texts of misses travel to it.
         kept = written(kept.withColumn("ask_id", F.monotonically_increasing_id()), "ruled")
         asked = kept.filter(~by_rule).select("ask_id", prompt_log().alias("user_text"))
-        told = written(
-            chat_over(
-                asked, chat_factory, V.TRIAGE_SYSTEM, V.TRIAGE_TEMPERATURE, V.TRIAGE_MAX_TOKENS, prompt_frame(), parts
-            ),
-            "answers",
-        )
+        setting = (chat_factory, V.TRIAGE_SYSTEM, V.TRIAGE_TEMPERATURE, V.TRIAGE_MAX_TOKENS, prompt_frame())
+        if answer_store is None:
+            told = chat_over(asked, *setting, parts)
+        else:
+            from .answers import answered  # which itself calls the model by way of this module
+
+            told = answered(asked, answer_store, *setting, parts=parts)
+        told = written(told, "answers")
         settled = kept.filter(by_rule).withColumns(
             {"content": F.lit(None).cast("string"), "model": F.lit(""), "error": F.lit(None).cast("string"), "elapsed_ms": F.lit(0.0)}
         )

@@ -204,6 +204,20 @@ def parse_logs(logs: DataFrame) -> DataFrame:
     )
 
 
+def parse_headers(logs: DataFrame) -> DataFrame:
+    """``parse_logs`` for logs in no known language: they have a header at most."""
+    blank = F.lit("")
+    return logs.withColumn("header", log_header(F.col("raw_log"))).select(
+        *logs.columns,
+        F.col("header.severity").alias("severity"),
+        F.col("header.service_name").alias("service"),
+        F.lit("unknown").alias("language"),
+        blank.alias("error_type"),
+        blank.alias("error_message"),
+        F.array().cast(FRAMES).alias("frames"),
+    )
+
+
 def frame_table(parsed: DataFrame) -> DataFrame:
     """One row per frame: (log_id, pos, language, file_path, ...)."""
     # The inner form of explode would compute the frames twice, once for a filter.

@@ -29,9 +29,11 @@ _SERVICE = _case([(f"user_id % 5 = {i}", q(s)) for i, s in enumerate(SERVICES)])
 _LEVEL = _case([(f"event_type = {q(k)}", q(v)) for k, v in LEVELS.items()])
 _FIELDS = {
     "m": "(user_id % 7)::VARCHAR",
-    "d": "(event_id * 37 % (SELECT count(*) FROM documents))::VARCHAR",
-    "n": "(1 + (event_id // 24) % 60)::VARCHAR",
-    "n2": "(3 + (event_id // 24) % 60)::VARCHAR",
+    "d": "(((event_id // 24) * 5 + event_id % 24) * 7919 % (SELECT count(*) FROM documents))::VARCHAR",
+    "d2": "(((event_id // 24) * 5 + 4) * 7919 % (SELECT count(*) FROM documents))::VARCHAR",
+    "n": "(1 + (event_id // 24) % (1 + (event_id // 24) * 17 % 120))::VARCHAR",
+    "n2": "(3 + (event_id // 24) % (1 + (event_id // 24) * 17 % 120))::VARCHAR",
+    "long": "CASE WHEN user_id % 7 = 0 THEN repeat(' and so on', 400) ELSE '' END",
     "user": "user_id::VARCHAR",
     "event": "event_id::VARCHAR",
     "ts": _TS,
@@ -319,6 +321,12 @@ _SCANNED = f"WITH {LOGS}, {_RULES}, scan AS (SELECT *, {_SCAN} AS rule_name FROM
 _AT = q(NOW.replace(" ", "T") + "Z")
 
 
+# Fifty logs after one another in one file.
+_INCIDENTS = f"""{LOGS.replace("logs AS (", "singles AS (", 1)}, logs AS (
+  SELECT log_id // 50 AS log_id, max(ts) AS ts, '' AS service_name, string_agg(raw_log, chr(10) ORDER BY log_id) || chr(10) AS raw_log
+  FROM singles GROUP BY 1)"""
+
+
 def _frames_of(language: str) -> str:
     return f"WITH {TRACES} SELECT * FROM frames WHERE language = {q(language)}"
 
@@ -465,6 +473,38 @@ ORACLE: dict[str, str] = {
     "stream_triage": f"""{_results(_WINDOW_GROUPS, "kind")} SELECT log_id, kind, severity, handler, source FROM results
         JOIN (VALUES ('P0_CRITICAL', 'audit'), ('P1_HIGH', 'audit'), ('P2_WARNING', 'audit'), ('P3_IGNORE', 'audit'),
         ('P3_IGNORE', 'ignored_archive')) t(severity, handler) USING (severity) WHERE kind <> 'FLUSH'""",
+    "block_snippets": f"WITH {SNIPPETS} SELECT log_id, pos, file_path, start_line, end_line, content, marked_content, commit_sha FROM snip",
+    "kept_answers": f"""{_PLAIN} SELECT fingerprint, severity, reason, source, 0::BIGINT AS asked_again FROM results""",
+    "snapshot_store": f"""WITH paths AS (SELECT unnest([{", ".join(f"{q(a)} || doc_id || {q(b)}" for a, b in CODE_PATHS)}]) AS file_path, doc_id, text
+        FROM documents), held AS (SELECT 'HEAD' AS ref, file_path, '' AS commit_sha, text FROM paths UNION ALL
+        SELECT 'v2', file_path, 'beef002', CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'v2' ELSE text END FROM paths),
+        first AS (SELECT text, min(ref) AS ref FROM held GROUP BY 1), added AS (SELECT ref, count(*) AS n FROM first GROUP BY 1)
+        SELECT h.ref, file_path, commit_sha, md5(h.text) AS digest, n AS texts_added FROM held h JOIN added USING (ref)""",
+    "numbered_lines": f"""WITH {LOGS}, lines AS (SELECT log_id AS id, unnest(string_split(raw_log, chr(10))) AS line,
+        generate_subscripts(string_split(raw_log, chr(10)), 1) AS pos FROM logs), numbered AS (
+        SELECT row_number() OVER (ORDER BY id, pos) - 1 AS log_id, rtrim(line) AS raw_log FROM lines)
+        SELECT * FROM numbered WHERE raw_log <> ''""",
+    "observed_stats": f"""{_PLAIN} SELECT 'severity ' || severity AS metric, n::DOUBLE AS value FROM (SELECT s.severity, coalesce(n, 0) AS n
+        FROM (SELECT severity FROM {_SEVERITIES}) s LEFT JOIN (SELECT severity, count(*) AS n FROM results GROUP BY 1) c USING (severity))
+        UNION ALL SELECT 'source ' || source, coalesce(n, 0) FROM (VALUES ('rule'), ('llm'), ('default')) t(source)
+        LEFT JOIN (SELECT source, count(*) AS n FROM results GROUP BY 1) USING (source)
+        UNION ALL SELECT unnest(['total', 'rule_hits', 'model_calls', 'mean_model_ms', 'rule_hit_rate']),
+        unnest([count(*), count(*) FILTER (source = 'rule'), count(*) FILTER (source = 'llm'),
+        coalesce(sum(length(raw_output)) FILTER (source = 'llm') / count(*) FILTER (source = 'llm'), 0),
+        count(*) FILTER (source = 'rule') / count(*)]::DOUBLE[]) FROM results""",
+    "indexed_rules": f"""{_SCANNED} SELECT log_id, rule_name, severity, reason, action FROM scan LEFT JOIN rules USING (rule_name)""",
+    "rule_set_stats": f"""{_SCANNED}, used AS (SELECT rule_name, count(*) AS n FROM scan GROUP BY 1)
+        SELECT count(*) AS total_rules, count(*) FILTER (severity = 'P0_CRITICAL') AS p0_rules,
+        count(*) FILTER (severity = 'P1_HIGH') AS p1_rules, count(*) FILTER (severity = 'P3_IGNORE') AS p3_rules,
+        count(n) AS rules_hit, coalesce(sum(n), 0)::BIGINT AS logs_hit FROM rules LEFT JOIN used USING (rule_name)""",
+    "sft_sample_half": f"WITH {SFT} SELECT * FROM sft ORDER BY conv_id, turn LIMIT (SELECT count(*) // 2 FROM sft)",
+    "sft_json_rows": f"WITH {SFT} SELECT prompt, query, response FROM sft",
+    "incident_files": f"""WITH {TRACES.replace(LOGS, _INCIDENTS)} SELECT i.log_id AS incident, language, error_type, error_message,
+        length(i.raw_log) AS chars FROM parsed JOIN logs i USING (log_id)""",
+    "snapshot_files": """WITH bundles AS (SELECT doc_id // 10 AS bundle, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text
+        FROM documents GROUP BY 1), held AS (SELECT 'HEAD' AS ref, 'c0ffee1' AS commit_sha, bundle, text FROM bundles
+        UNION ALL SELECT 'v1', '0a1b2c3', bundle, 'v1' || chr(10) || text FROM bundles WHERE bundle % 2 = 0)
+        SELECT ref, commit_sha, bundle, length(text) AS chars, md5(text) AS digest FROM held""",
     "stream_timer_dedup": f"WITH RECURSIVE {_TIMER_WINDOWS} SELECT {_WINDOW_COLUMNS} FROM timed",
     "stream_timer_triage": f"""{_results(_TIMER_GROUPS, "kind")} SELECT log_id, kind, severity, handler, source FROM results
         JOIN (VALUES ('P0_CRITICAL', 'audit'), ('P1_HIGH', 'audit'), ('P2_WARNING', 'audit'), ('P3_IGNORE', 'audit'),

@@ -7,7 +7,7 @@ from .. import fixed_values as V
 from ..operators.prompts import rca_prompts, rca_reports
 from ..operators.retrieval import cut_snippets, file_requests, snippets
 from ..operators.scoring import ChatFactory
-from ..operators.stacktrace import parse_logs
+from ..operators.stacktrace import log_language, parse_headers, parse_logs
 from ..session import written
 
 
@@ -36,7 +36,12 @@ def prompts_for(
     parsed = parsed.withColumn("ref", F.coalesce(own_ref, F.lit(default_ref)))
     requests = file_requests(parsed, max_files, default_ref)
     found = snippets(requests, cut_snippets(requests, code_files, context_lines, working_tree))
-    return rca_prompts(parsed.join(logs.select("log_id", "raw_log"), "log_id"), found, budget)
+    # Only logs in a known language can have frames; the others' prompts come from the scan, and their texts stay where they are.
+    known = log_language(F.col("raw_log")) != "unknown"
+    texts = logs.filter(known).select("log_id", "raw_log")
+    framed = rca_prompts(parsed.filter("language != 'unknown'").join(texts, "log_id"), found, budget)
+    others = parse_headers(logs.filter(~known)).withColumn("ref", F.coalesce(own_ref, F.lit(default_ref)))
+    return framed.unionByName(rca_prompts(others, None, budget))
 
 
 def analyse(

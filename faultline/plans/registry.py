@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprint import error_type, file_location, normalized, with_fingerprint
 from ..functions.severity import with_severity_attributes
-from ..operators import dedup, prompts, retrieval, routing, rules, scoring, stacktrace, stats, tuning, windows
+from ..operators import dedup, prompts, retrieval, routing, rule_index, rules, scoring, stacktrace, stats, tuning, windows
 from ..session import SETTINGS, fresh_path, shared_folder, spread, written
-from ..sources.code import code_lines
-from ..sources.logs import read_log_lines, read_log_stream
+from ..sources import snapshots
+from ..sources.code import code_lines, read_snapshot
+from ..sources.logs import read_incident_files, read_log_lines, read_log_stream, read_numbered_lines
+from ..sources.sft import read_sft_json
 from ..sources.views import code_view, log_view, read_table, sft_view
 from ..streaming import dedup as streams
 from ..streaming import late, timers
@@ -82,6 +84,30 @@ def log_lines(spark, sf_dir):
     return read_log_lines(spark, path, "app").select("service_name", "raw_log")
 
 
+@_query
+def numbered_lines(spark, sf_dir):
+    """Lines of several files under numbers that do not hang on how files are split."""
+    path = fresh_path(spark, "numbered")
+    logs = _logs(spark, sf_dir).select("log_id", "raw_log")
+    logs.repartitionByRange(FILES, "log_id").sortWithinPartitions("log_id").select("raw_log").write.text(path)
+    return read_numbered_lines(spark, path).select("log_id", "raw_log")
+
+
+@_query
+def incident_files(spark, sf_dir):
+    """Files of fifty logs each, read whole and taken apart."""
+    path = fresh_path(spark, "incidents")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("log_id", "raw_log"))), lambda r: r["raw_log"])
+    logs = _logs(spark, sf_dir).groupBy(F.floor(F.col("log_id") / 50).alias("incident")).agg(F.array_join(texts, "\n").alias("value"))
+    logs.write.partitionBy("incident").text(path)
+    parsed = stacktrace.parse_logs(read_incident_files(spark, path).withColumn("incident", _folder_number("incident")))
+    return parsed.select("incident", "language", "error_type", "error_message", F.length("raw_log").alias("chars"))
+
+
+def _folder_number(name):
+    return F.regexp_extract(F.col("_metadata.file_path"), f"/{name}=(\\d+)/", 1).cast("long")
+
+
 @_query
 def normalized_logs(spark, sf_dir):
     text = F.col("raw_log")
@@ -183,6 +209,23 @@ def rule_stats(spark, sf_dir):
     return rules.rule_stats(rules.rule_table(spark).join(hit, "name", "left_semi"))
 
 
+@_query
+def rule_set_stats(spark, sf_dir):
+    """Totals of the whole rule set, how many of its rules hit any log, and the logs they hit."""
+    table = rules.rule_table(spark)
+    name = F.coalesce("rule_name", F.lit("")).alias("name")
+    hit = rules.rule_scan(_logs(spark, sf_dir)).groupBy(name).agg(F.count(F.lit(1)).alias("n")).join(table, "name", "left_semi")
+    used = hit.agg(F.count(F.lit(1)).alias("rules_hit"), F.coalesce(F.sum("n"), F.lit(0)).alias("logs_hit"))
+    return rules.rule_stats(table).join(used)  # one row each
+
+
+@_query
+def indexed_rules(spark, sf_dir):
+    """The standard rules over every log, through the index of what their patterns require."""
+    ruled = rule_index.with_indexed_rule(_logs(spark, sf_dir), rules.rule_table(spark), "raw_log")
+    return ruled.select("log_id", "rule_name", "severity", "reason", "action")
+
+
 @_query
 def rule_usage(spark, sf_dir):
     """Rules per level, how many of them hit any log, and the logs they hit."""
@@ -229,6 +272,18 @@ def stored_responses(spark, sf_dir):
     return scoring.classify(ruled, responses=stored).select("fingerprint", "severity", "reason", "source")
 
 
+@_query
+def kept_answers(spark, sf_dir):
+    """Triage by answers that an earlier run has stored, and how many the later run had to ask for."""
+    store = fresh_path(spark, "answer-store")
+    ruled = rules.with_rule(_groups(spark, sf_dir))
+    written(scoring.classify(ruled, stub_model, answer_store=store), "first-run")
+    before = spark.read.parquet(store).count()
+    again = written(scoring.classify(ruled, stub_model, answer_store=store), "second-run")
+    asked = spark.read.parquet(store).count() - before
+    return again.select("fingerprint", "severity", "reason", "source", F.lit(asked).cast("long").alias("asked_again"))
+
+
 @_query
 def ungrouped_triage(spark, sf_dir):
     results = triage(_logs(spark, sf_dir), use_aggregation=False)
@@ -266,6 +321,22 @@ def run_totals(spark, sf_dir):
     return stats.run_totals(timed)
 
 
+@_query
+def observed_stats(spark, sf_dir):
+    """The statistics above, from metrics observed while results are written."""
+    timed = _results(spark, sf_dir).withColumn(
+        "elapsed_ms", F.when(F.col("source") == "llm", F.length("raw_output").cast("double")).otherwise(F.col("elapsed_ms"))
+    )
+    run = stats.write_with_stats(timed, fresh_path(spark, "results"))
+    totals = run.run_totals()
+    names = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in totals.columns])
+    severity = F.concat(F.lit("severity "), "severity").alias("metric")
+    source = F.concat(F.lit("source "), "source").alias("metric")
+    value = F.col("n").cast("double").alias("value")
+    counts = run.by_severity().select(severity, value).union(run.by_source().select(source, value))
+    return counts.union(totals.select(F.inline(names)))
+
+
 @_query
 def routed_alerts(spark, sf_dir):
     return routing.route(_results(spark, sf_dir)).select("fingerprint", "severity", "handler", "seq")
@@ -439,8 +510,13 @@ def retrieval_coverage(spark, sf_dir):
     return retrieval.retrieval_coverage(*_found(spark, sf_dir))
 
 
+def _stored_logs(spark, sf_dir):
+    """The logs as a table: the view spells every text out wherever it is used."""
+    return written(_logs(spark, sf_dir), "logs")
+
+
 def _prompts(spark, sf_dir, **options):
-    return prompts_for(_logs(spark, sf_dir), _code(spark, sf_dir), context_lines=CONTEXT, **options)
+    return prompts_for(_stored_logs(spark, sf_dir), _code(spark, sf_dir), context_lines=CONTEXT, **options)
 
 
 @_query
@@ -462,7 +538,7 @@ def _refs(spark, sf_dir):
 
 
 def _logs_with_refs(spark, sf_dir):
-    logs = _logs(spark, sf_dir)
+    logs = _stored_logs(spark, sf_dir)
     return logs.withColumn("ref", F.when(F.col("log_id") % 3 == 0, "HEAD").when(F.col("log_id") % 3 == 1, ""))
 
 
@@ -475,6 +551,36 @@ def snippets_by_ref(spark, sf_dir):
     return found.select("log_id", "pos", "ref", "file_path", "start_line", "end_line", "content", "commit_sha")
 
 
+@_query
+def block_snippets(spark, sf_dir):
+    """Snippets from lines stored in blocks of eight."""
+    store, lines = fresh_path(spark, "blocks"), 8
+    snapshots.store_refs(_code(spark, sf_dir), store)
+    snapshots.store_blocks(spark, store, lines)
+    requests = retrieval.file_requests(parsed_once(_stored_logs(spark, sf_dir)))
+    cut = retrieval.cut_stored_snippets(
+        requests, snapshots.file_lengths(spark, store), snapshots.stored_blocks(spark, store), CONTEXT, lines
+    )
+    return retrieval.snippets(requests, cut).select(
+        "log_id", "pos", "file_path", "start_line", "end_line", "content", "marked_content", "commit_sha"
+    )
+
+
+@_query
+def snapshot_store(spark, sf_dir):
+    """Two refs stored by content, the second with every third document changed, and how many texts each ref added."""
+    store = fresh_path(spark, "snapshots")
+    code = _code(spark, sf_dir)
+    doc = F.regexp_extract("file_path", r"(\d+)\.\w+$", 1).cast("long")
+    changed = code.withColumns(
+        {"ref": F.lit("v2"), "commit_sha": F.lit("beef002"), "text": F.when(doc % 3 == 0, F.concat("text", F.lit("\nv2"))).otherwise(F.col("text"))}
+    )
+    added = {"HEAD": snapshots.store_refs(code, store), "v2": snapshots.store_refs(changed, store)}
+    new = F.create_map(*[F.lit(v) for pair in added.items() for v in pair])
+    files = snapshots.stored_files(spark, store)
+    return files.select("ref", "file_path", "commit_sha", F.md5("text").alias("digest"), new[F.col("ref")].cast("long").alias("texts_added"))
+
+
 @_query
 def report_refs(spark, sf_dir):
     prompts_of_refs = prompts_for(
@@ -500,6 +606,23 @@ def report_texts(spark, sf_dir):
     return routing.report_texts(reports, F.col("log_id").cast("string"))
 
 
+@_query
+def snapshot_files(spark, sf_dir):
+    """Ten documents a file, checked out for two refs of which the older lacks every other file."""
+    held = []
+    documents = read_table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 10).alias("bundle"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda r: r["text"])
+    bundles = written(documents.agg(F.array_join(texts, "\n").alias("value")), "bundles")
+    old = bundles.filter("bundle % 2 = 0").withColumn("value", F.concat(F.lit("v1\n"), "value"))
+    for ref, commit, files in (("HEAD", "c0ffee1", bundles), ("v1", "0a1b2c3", old)):
+        root = fresh_path(spark, f"snapshot-{ref}")
+        files.write.partitionBy("bundle").text(root)
+        held.append(read_snapshot(spark, root, ref, commit, "*.txt"))
+    bundle = F.regexp_extract("file_path", r"^bundle=(\d+)/", 1).cast("long").alias("bundle")
+    files = held[0].unionByName(held[1])
+    return files.select("ref", "commit_sha", bundle, F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
 # --- tuning tables ----------------------------------------------------------------
 
 
@@ -530,6 +653,24 @@ def sft_sample(spark, sf_dir):
     return tuning.capped(_sft(spark, sf_dir), 100, "conv_id", "turn")
 
 
+@_query
+def sft_sample_half(spark, sf_dir):
+    rows = _sft(spark, sf_dir)
+    return tuning.capped(rows, rows.count() // 2, "conv_id", "turn")
+
+
+@_query
+def sft_json_rows(spark, sf_dir):
+    """Datasets of JSON arrays, twenty conversations each, read back and renamed."""
+    path = fresh_path(spark, "datasets")
+    records = F.sort_array(F.collect_list(F.struct("conv_id", "turn", "instruction", "input", "output")))
+    kept = F.transform(records, lambda r: F.struct(*[r[c].alias(c) for c in ("instruction", "input", "output")]))
+    rows = sft_view(read_table(spark, sf_dir, "conversations"))
+    rows = rows.groupBy(F.floor(F.col("conv_id") / 20).alias("part")).agg(F.to_json(kept).alias("value"))
+    rows.write.partitionBy("part").text(path)
+    return tuning.sft_rows(read_sft_json(spark, path)).select("prompt", "query", "response")
+
+
 @_query
 def sft_split(spark, sf_dir):
     return tuning.with_split(_sft(spark, sf_dir), 0.1, "conv_id", "turn").select("conv_id", "turn", "split")

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +8,10 @@ from pyspark.sql import functions as F
 from faultline.operators import tuning
 from faultline.session import drop_scratch, shared_folder, written
 from faultline.sources.code import read_snapshot
-from faultline.sources.logs import logs_from_messages, read_incident_files, read_log_lines
+from faultline.operators.stacktrace import frame_table, parse_logs
+from faultline.sources.logs import logs_from_messages, read_incident_files, read_log_lines, read_numbered_lines
 from faultline.sources.sft import read_sft_json
+from faultline.sources.views import log_view
 
 
 def test_log_lines(spark, tmp_path):
@@ -85,3 +88,47 @@ def test_shared_folder_is_the_session_setting(spark):
 
     with pytest.raises(ValueError):
         shared_folder(Elsewhere)
+
+
+@pytest.mark.parametrize("size", ["64", "1000", "100000"])
+def test_line_numbers_do_not_hang_on_splits(spark, tmp_path, size):
+    rng = random.Random(4)
+    files = {}
+    for name in ("b.log", "a.log", "c.log", "empty.log"):
+        lines = ["" if rng.random() < 0.2 else f"{name} {i} " + "x" * rng.randrange(30) for i in range(rng.randrange(150, 300))]
+        files[name] = [] if name.startswith("empty") else lines
+        (tmp_path / name).write_text("".join(line + "\n" for line in files[name]))
+    (tmp_path / "d.log").write_text("last line has no end")
+    files["d.log"] = ["last line has no end"]
+    want, at = [], 0
+    for name in sorted(files):
+        want += [(at + i, name, i + 1, line.rstrip()) for i, line in enumerate(files[name]) if line.strip()]
+        at += len(files[name])
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        lines = read_numbered_lines(spark, str(tmp_path), "svc")
+        got = sorted((r.log_id, r.file_path.rsplit("/", 1)[1], r.line_no, r.raw_log) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want
+    assert {r.service_name for r in lines.collect()} == {"svc"}
+
+
+def test_logs_name_every_document(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    logs = log_view(spark.read.parquet(f"{sf_dir}/events.parquet"), documents.count())
+    frames = frame_table(parse_logs(logs))
+    named = frames.select(F.regexp_extract("file_path", r"(?:Doc|mod|/h)(\d+)\.", 1).alias("doc")).filter("doc <> ''").distinct()
+    ids = {r.doc_id for r in documents.select("doc_id").collect()}
+    assert {int(r.doc) for r in named.collect()} == ids
+    assert frames.agg(F.max("line_number")).first()[0] > 60
+
+
+def test_views_meet_every_noise_pattern_and_length(spark, sf_dir):
+    logs = log_view(spark.read.parquet(f"{sf_dir}/events.parquet").limit(500)).cache()
+    for pattern in (r"\b[0-9a-f]{32}\b", r"'[^']*\d{4,}[^']*'", r"\d\d:\d\d:\d\d\.\d+\+08:00"):
+        assert logs.filter(F.col("raw_log").rlike(pattern)).count() > 0
+    assert logs.filter(F.length("raw_log") > 3000).count() > 0
