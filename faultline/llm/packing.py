@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -36,6 +37,11 @@ TIERS = (256, 512, 1024, 2048, 4096)
 POOL_TOKENS = 1 << 20
 STEP_TOKENS = 8 * 4096
 CACHED_WORDS = 1_000_000
+JOINED = 500
+WORD_END = "</w>"
+
+_PLAIN = re.compile("[a-z]+")
+_MARKED = re.compile("([a-z]+)([.,;:!?]+)")
 
 FIELDS = {
     "doc_id": pa.int64(),
@@ -61,6 +67,9 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.end_id, self.most = end_id, most
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -91,16 +100,43 @@ class WordTokens:
         if fresh:
             folded = [self._folded(w) for w in fresh]
             new = [w for w in dict.fromkeys(folded) if w not in self.known]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
-            self.known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            # A mark never joins the letters before it, so such a word is its letters' ids, then its mark's.
+            cut = {w: m.groups() for w in new if (m := _MARKED.fullmatch(w))}
+            units = dict.fromkeys([u for w in new for u in cut.get(w, (w,))])
+            self._add([u for u in units if u not in self.known])
+            if cut:
+                pairs = np.array([[self.known[u] for u in parts] for parts in cut.values()], np.int64).ravel()
+                starts, sizes = self.ends[pairs], self.ends[pairs + 1] - self.ends[pairs]
+                reach = np.concatenate([[0], np.cumsum(sizes)])
+                flat = self.ids[np.arange(reach[-1]) + np.repeat(starts - reach[:-1], sizes)]
+                self._append(list(cut), flat, sizes.reshape(-1, 2).sum(axis=1))
             self.known.update([(w, self.known[f]) for w, f in zip(fresh, folded, strict=True)])
-            self.ids = np.concatenate([self.ids, flat])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         known = self.known
         return np.fromiter((known[w] for w in words), np.int64, len(words))
 
+    def _append(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.ends) - 1
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def _add(self, words: list[str]) -> None:
+        """Ask the tokenizer: plain words joined by blanks, many in a call, and told apart by the tokens that end a word."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        lines = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        found = self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)
+        others = [w for w in words if not _PLAIN.fullmatch(w)]
+        for line, e in zip(lines, found, strict=True):
+            ids = np.array(e.ids, np.int32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(line) and ends[-1] == len(ids):
+                self._append(line, ids, np.diff(ends, prepend=0))
+            else:  # a tokenizer that does not mark words' ends
+                others += line
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, alone), np.int64, len(alone))
+        self._append(others, np.fromiter((i for ids in alone for i in ids), np.int32, int(sizes.sum())), sizes)
+
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Each text's ids with the end mark."""
         words, ends = word_lists(column)
