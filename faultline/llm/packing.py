@@ -23,6 +23,7 @@ import os
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,10 @@ CACHED_WORDS = 1_000_000
 JOINED = 500
 WORD_END = "</w>"
 
-_PLAIN = re.compile("[a-z]+")
-_MARKED = re.compile("([a-z]+)([.,;:!?]+)")
+_LATIN = re.compile("[\\0-\u00ff]*")  # of these characters none composes with another
+_LETTERS = "[a-z\u00df-\u00f6\u00f8-\u00ff]+"
+_PLAIN = re.compile(_LETTERS)
+_MARKED = re.compile(f"({_LETTERS})([.,;:!?]+)")
 
 FIELDS = {
     "doc_id": pa.int64(),
@@ -66,7 +69,8 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.end_id, self.most = end_id, most
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -79,40 +83,50 @@ class WordTokens:
 
     def _folded(self, word: str) -> str:
         """The word in lower case, if that changes no id: the tokenizer composes characters and finds added tokens before it lower-cases."""
-        if not word.isascii():
+        if not word.isascii() and not _LATIN.fullmatch(word):
             return word
         low = word.lower()
-        return word if any(t in low for t in self.added) else low
+        return word if self.special.search(low) else low
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+
+    def _gathered(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at some places of the tables, one after another, and where each word's end."""
+        starts, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
+        reach = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(reach[-1], dtype=np.int32)
+        at += np.repeat((starts - reach[:-1]).astype(np.int32), sizes)  # a batch's ids and the tables are far below 2**31
+        return self.ids[at], reach
 
     def _learn(self, words: list[str]) -> np.ndarray:
         """Places of words in the tables, after adding those that are missing."""
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + 2 * len(fresh) > self.most:
+        place = self._places(words)
+        missing = np.flatnonzero(place < 0)
+        if not len(missing):
+            return place
+        if len(self.known) + 2 * len(missing) > self.most:
             # Keep what this batch uses, which holds the common words.
-            kept = [w for w in words if w in self.known]
-            place = np.fromiter((self.known[w] for w in kept), np.int64, len(kept))
-            ids, ends = self.ids, self.ends
+            held = np.flatnonzero(place >= 0)
+            ids, ends = self._gathered(place[held])
             self._forget()
-            starts, sizes = ends[place], ends[place + 1] - ends[place]
-            reach = np.concatenate([[0], np.cumsum(sizes)])
-            self.ids = ids[np.arange(reach[-1]) + np.repeat(starts - reach[:-1], sizes)]
-            self.ends, self.known = reach, dict(zip(kept, range(len(kept)), strict=True))
-        if fresh:
-            folded = [self._folded(w) for w in fresh]
-            new = [w for w in dict.fromkeys(folded) if w not in self.known]
-            # A mark never joins the letters before it, so such a word is its letters' ids, then its mark's.
-            cut = {w: m.groups() for w in new if (m := _MARKED.fullmatch(w))}
-            units = dict.fromkeys([u for w in new for u in cut.get(w, (w,))])
-            self._add([u for u in units if u not in self.known])
-            if cut:
-                pairs = np.array([[self.known[u] for u in parts] for parts in cut.values()], np.int64).ravel()
-                starts, sizes = self.ends[pairs], self.ends[pairs + 1] - self.ends[pairs]
-                reach = np.concatenate([[0], np.cumsum(sizes)])
-                flat = self.ids[np.arange(reach[-1]) + np.repeat(starts - reach[:-1], sizes)]
-                self._append(list(cut), flat, sizes.reshape(-1, 2).sum(axis=1))
-            self.known.update([(w, self.known[f]) for w, f in zip(fresh, folded, strict=True)])
-        known = self.known
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+            self.ids, self.ends = ids, ends
+            self.known = dict(zip([words[i] for i in held.tolist()], range(len(held)), strict=True))
+            place[held] = np.arange(len(held))
+        fresh = [words[i] for i in missing.tolist()]
+        folded = list(map(self._folded, fresh))
+        new = [w for w in dict.fromkeys(folded) if w not in self.known]
+        # A mark never joins the letters before it, so such a word is its letters' ids, then its mark's.
+        cut = {w: m.groups() for w, m in zip(new, map(_MARKED.fullmatch, new), strict=True) if m}
+        units = dict.fromkeys([w for w in new if w not in cut])
+        units.update(dict.fromkeys([u for parts in cut.values() for u in parts]))
+        self._add([u for u in units if u not in self.known])
+        if cut:
+            flat, reach = self._gathered(self._places([u for parts in cut.values() for u in parts]))
+            self._append(list(cut), flat, np.diff(reach[::2]))
+        self.known.update(zip(fresh, map(self.known.__getitem__, folded), strict=True))
+        place[missing] = self._places(fresh)
+        return place
 
     def _append(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.ends) - 1
@@ -122,10 +136,11 @@ class WordTokens:
 
     def _add(self, words: list[str]) -> None:
         """Ask the tokenizer: plain words joined by blanks, many in a call, and told apart by the tokens that end a word."""
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        plain, others = [], []
+        for w, fits in zip(words, map(_PLAIN.fullmatch, words), strict=True):
+            (plain if fits else others).append(w)
         lines = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         found = self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)
-        others = [w for w in words if not _PLAIN.fullmatch(w)]
         for line, e in zip(lines, found, strict=True):
             ids = np.array(e.ids, np.int32)
             ends = np.flatnonzero(self.closes[ids]) + 1
@@ -142,10 +157,7 @@ class WordTokens:
         words, ends = word_lists(column)
         place = self._learn(words.dictionary.to_pylist())
         if len(words):
-            own = place[words.indices.to_numpy(zero_copy_only=False)]
-            starts, sizes = self.ends[own], self.ends[own + 1] - self.ends[own]
-            reach = np.concatenate([[0], np.cumsum(sizes)])
-            flat = self.ids[np.arange(reach[-1]) + np.repeat(starts - reach[:-1], sizes)]
+            flat, reach = self._gathered(place[words.indices.to_numpy(zero_copy_only=False)])
         else:
             reach, flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
         end = np.array([self.end_id], np.int32)
