@@ -68,4 +68,5 @@ def stored_logs(spark: SparkSession, root: str, late: bool | None = None) -> Dat
 
 def late_counts(spark: SparkSession, root: str) -> DataFrame:
     """batch_id, watermark and newest (microseconds), on_time, late: a row for each batch."""
-    return spark.read.schema(_COUNTS).parquet(f"{root}/watermarks")
+    names = [part.split()[0] for part in _COUNTS.split(", ")]
+    return spark.read.schema(_COUNTS).parquet(f"{root}/watermarks").select(*names)
