@@ -1,22 +1,27 @@
-"""Toxicity by class-conditional Kneser-Ney models of expressions.
-
-Method. A toxic and an ordinary model spell words from their start: each byte is predicted from the bytes of the
-word before it (``DEPTH`` at most, the word's end included), since the vocabulary of abuse varies endings. In each class
-counts are discounted, and what that frees is spread by backoff counts that both classes share: in how many different
-words each continuation occurs. So an expression that a class has rarely or never seen is judged by shared counts, and
-says nothing by itself. A word's log-likelihood ratio is the sum over its bytes. A text is described by ratios normalised
-by length: their mean, the means of what exceeds each of ``EXCESS``, the highest mean over ``WINDOW`` neighbouring words
-and the mean of the ``TOP`` highest, so that a passage in a long text is not thinned out. A logistic curve, fitted on
-labelled rows whose words were not counted (about ``CALIBRATION`` of the larger class at most), turns them into 0 to 1.
-
-Scale. Counts (documents that hold a word) cover all labelled rows and add up in each task before any shuffle. The
-ratios of word beginnings go to 2**SLOT_BITS slots, whatever the corpus holds, so what is sent to every worker has a
-proven bound (16 MB); beginnings that meet in a slot leave it to the commonest. Scoring shuffles no text.
-
-Defined results. Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. Null and empty texts
+"""Toxicity by class-conditional Kneser-Ney models of spellings, told by length-normalised likelihoods.
+
+Method. A toxic and an ordinary model predict every byte of every word, and its end, from the ``ORDER`` - 1 bytes before it (the
+word's start included): a context that slides along the word. A class discounts its counts by ``DISCOUNT``; what that frees is spread
+by backoff counts that both classes share, Kneser-Ney's: in how many different longer strings a shorter one occurs. Contexts shorten
+byte by byte from their far end, down to the byte alone. So an expression that a class has rarely or never seen is
+judged by shared counts, and says little by itself. A word's log-likelihood ratio is the sum over its bytes. A text is judged by two
+ratios normalised by its length in words: the mean of its words' ratios, and the mean of what exceeds ``EXCESS``, which plain prose
+cannot outweigh. A logistic curve turns the two into 0 to 1. It is fitted on labelled rows (some ``CALIBRATION`` of the larger class,
+all where there are fewer; a documented bound on what fits the curve, counts have none), each scored by counts of the folds that it
+is not in.
+
+Counts. A word counts once for each document that holds it. Counts are those of all labelled rows but fold 0, all four folds. Backoff
+counts carry no class and are those of all four folds for every model.
+
+Scale. No text is shuffled. Words add up in each task before they meet. Strings and ratios are tables joined by key; a context's group
+has at most 256 next bytes. The commonest words, ``WORDS_HELD`` at most whatever the corpus holds, go with their ratios to every worker
+(under 8 MB), so that no hot word is shuffled; every other word of a document meets its ratio in a join. Which words are held
+changes no result. Words are told apart by 64-bit hashes; strings by their bytes.
+
+Defined results. Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased, of any length. Null and empty texts
 have no words and get the score of ratio 0. A row may have several labels: the highest counts; null ones do not. Without
 labels of both kinds every score is 1 if all are toxic, else 0. Null identifiers have no label. Repeated rows are scored
-alike. No rows give no rows; other columns are not looked at.
+alike, and each counts. No rows give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,26 +30,30 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
-from .common import batches, column, texts
-from .rolling import PrefixHash, mixed, row_slices, text_bytes
+from ..session import written, written_side
+from .common import batches, column
+from .rolling import PrefixHash, row_slices, text_bytes
 
-DEPTH = 10
-SLOT_BITS = 22
+ORDER = 12
+SHORTER = tuple(range(ORDER - 1, 0, -1))
 DISCOUNT = 0.75
-WINDOW, TOP = 16, 3
-EXCESS = (1.0, 2.5)
-CALIBRATION = 20_000
-FLUSH = 2_000_000
-MEASURES = ["mean", *[f"above_{i}" for i in range(len(EXCESS))], "window", "top"]
+EXCESS = 2.5
+CALIBRATION = 5_000
+WORDS_HELD = 1 << 18
+FLUSH = 1_000_000
+FOLDS = (1, 2, 3, 4)
+# Model 0 counts all folds, model f all but fold f.
+MODELS = (0, *FOLDS)
+CLASSES = ("toxic", "ordinary")
+COUNTS = [f"{c}_{f}" for f in FOLDS for c in CLASSES]
+MEASURES = ["mean", "excess"]
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INSIDE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
-_END = 32
 
 
 class Words:
@@ -58,60 +67,52 @@ class Words:
         self.starts = np.flatnonzero(inside & (~before | opens[:-1]))
         self.ends = np.flatnonzero(inside & (~after | opens[1:])) + 1
         self.data = _LOWER[data]
-        self.prefix = PrefixHash(self.data)
-        self.hashes = self.prefix.raw(self.starts, self.ends)
+        hashes = PrefixHash(self.data).raw(self.starts, self.ends)
+        self.hashes, self.first, self.which = np.unique(hashes, return_index=True, return_inverse=True)
         self.offsets = np.searchsorted(self.starts, offsets)
 
-    def beginnings(self, which: np.ndarray) -> np.ndarray:
-        """The first ``DEPTH`` bytes of some words, with an end mark where they are shorter, as fixed-width strings."""
-        start, size = self.starts[which], self.ends[which] - self.starts[which]
-        at = np.arange(DEPTH)
-        out = self.data[np.minimum(start[:, None] + at, max(len(self.data) - 1, 0))]
-        out[at >= size[:, None]] = 0
-        out[at == size[:, None]] = _END
-        return np.ascontiguousarray(out).view(f"S{DEPTH}").ravel()
+    def spellings(self) -> pa.Array:
+        """The bytes of each different word."""
+        start, size = self.starts[self.first], self.ends[self.first] - self.starts[self.first]
+        ends = np.cumsum(size)
+        at = np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        return pa.Array.from_buffers(
+            pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.data[at]))]
+        )
 
-    def ratios(self, table: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio of every word."""
-        _, first, back = np.unique(self.hashes, return_index=True, return_inverse=True)
-        start, end = self.starts[first], self.ends[first]
-        size, total = end - start, np.zeros(len(first))
-        for n in range(1, DEPTH + 1):
-            held = np.flatnonzero(size >= n)
-            total[held] += table[slot(self.prefix.raw(start[held], start[held] + n))]
-            held = np.flatnonzero(size == n - 1)
-            total[held] += table[slot(self.prefix.raw(start[held], end[held], _END))]
-        return total[back]
+    def in_texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, word and number of times of each different pair, by text."""
+        text = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+        pairs, times = np.unique(text * max(len(self.hashes), 1) + self.which, return_counts=True)
+        return *np.divmod(pairs, max(len(self.hashes), 1)), times
 
 
-def slot(hashes: np.ndarray) -> np.ndarray:
-    return (mixed(hashes) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _sliced(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Words]]:
+    for a, b in row_slices(np.diff(offsets)):
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
 def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of each class each word is, by task."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """In how many texts, of any class and of each, every word is, by task."""
+    held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
 
     def summed() -> pa.RecordBatch:
-        hashes, beginnings, label = (np.concatenate(x) for x in zip(*held, strict=True))
+        hashes, counts = (np.concatenate([h[i] for h in held]) for i in (0, 2))
         found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(found.view(np.int64)),
-                pa.array(beginnings[first].tolist(), pa.binary()),
-                *[pa.array(np.bincount(back[label == y], minlength=len(found))) for y in (1, 0)],
-            ],
-            ["word", "beginning", "toxic", "ordinary"],
-        )
+        spelled = pa.concat_arrays([h[1] for h in held]).take(pa.array(first)).cast(pa.binary())
+        sums = [pa.array(np.bincount(back, weights=c, minlength=len(found)).astype(np.int64)) for c in counts.T]
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), spelled, *sums], ["word", "spelling", "texts", *COUNTS])
 
     for batch in batches(source):
         data, offsets = text_bytes(batch.column(0))
-        label = batch.column(1).to_numpy(zero_copy_only=False)
-        for a, b in row_slices(np.diff(offsets)):
-            words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            text = np.repeat(np.arange(b - a), np.diff(words.offsets))
-            once = np.unique(mixed(words.hashes + mixed(text.astype(np.uint64))), return_index=True)[1]
-            held.append((words.hashes[once], words.beginnings(once), label[a:b][text[once]]))
+        kind = batch.column(1).to_numpy(zero_copy_only=False)
+        for a, b, words in _sliced(data, offsets):
+            text, word, _ = words.in_texts()
+            n, kinds = len(words.hashes), len(COUNTS) + 1
+            counts = np.bincount(word * kinds + kind[a:b][text] + 1, minlength=n * kinds).reshape(n, kinds)
+            counts[:, 0] = counts.sum(axis=1)
+            held.append((words.hashes, words.spellings(), counts))
         if sum(len(x[0]) for x in held) >= FLUSH:
             yield summed()
             held.clear()
@@ -119,117 +120,147 @@ def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield summed()
 
 
-def _slots(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(source):
-        data, offsets = text_bytes(batch.column(0))
-        hashes = PrefixHash(data).raw(offsets[:-1], offsets[1:])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(slot(hashes)), batch.column(1), batch.column(2)], ["slot", "ratio", "weight"]
-        )
+def _last(string: Column, size: Column) -> Column:
+    return F.substring(string, F.octet_length(string) - size + 1, size)
 
 
-def spelling_ratios(counted: DataFrame) -> DataFrame:
-    """node, ratio, weight: log-likelihood ratio of the last byte of each word beginning, after those before it.
+def _grams(spelling: Column) -> Column:
+    """Each byte of a word and its end, after the bytes before it: ``ORDER`` bytes, fewer near the word's start."""
+    marked = F.concat(F.lit(b" "), spelling, F.lit(b" "))
+    return F.transform(
+        F.sequence(F.lit(2), F.octet_length(marked)),
+        lambda end: F.substring(marked, F.greatest(end - (ORDER - 1), F.lit(1)), F.least(end, F.lit(ORDER))),
+    )
+
+
+def _context(gram: Column) -> Column:
+    return F.substring(gram, F.lit(1), F.octet_length(gram) - 1)
 
-    ``counted``: text, label (1 toxic).
+
+def shared_chances(grams: DataFrame) -> DataFrame:
+    """gram, chance: of the last byte of each shorter string, after those before it, by Kneser-Ney counts without class."""
+    size = F.octet_length("gram")
+    longer, kinds, above = None, {}, ORDER
+    for n in SHORTER:
+        # Strings that shorten to n bytes: those of the level above, and words' first bytes that are no longer than that level.
+        own = grams.filter((size > n) & (size <= above)).select("gram")
+        from_above = own if longer is None else longer.select("gram").unionByName(own)
+        longer = written(
+            from_above.groupBy(_last(F.col("gram"), F.lit(n)).alias("gram")).agg(F.count(F.lit(1)).alias("kinds")), f"strings-{n}"
+        )
+        kinds[n], above = longer, n
+    chances, lower, below = None, None, 0
+    for n in reversed(SHORTER):
+        after = Window.partitionBy(_context(F.col("gram")))
+        level = kinds[n].select("gram", "kinds", F.sum("kinds").over(after).alias("all"), F.count(F.lit(1)).over(after).alias("nexts"))
+        if lower is None:
+            level = level.withColumn("less", F.lit(1 / 256))
+        else:
+            shorter = lower.select(F.col("gram").alias("tail"), F.col("chance").alias("less"))
+            level = level.withColumn("tail", _last(F.col("gram"), F.lit(below))).join(shorter, "tail")
+        own = (F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("nexts") * F.col("less")) / F.col("all")
+        lower, below = written(level.select("gram", own.alias("chance")), f"chances-{n}"), n
+        chances = lower if chances is None else chances.unionByName(lower)
+    return chances
+
+
+def spelling_model(words: DataFrame) -> DataFrame:
+    """context, known, other: the log-likelihood ratio of each next byte seen after a context, and that of any other, by model.
+
+    ``words``: spelling and ``COUNTS``. ``known`` maps a byte to its ratios, one for each of ``MODELS``.
     """
-    words = (
-        counted.mapInArrow(_count_words, "word long, beginning binary, toxic long, ordinary long")
-        .groupBy("word", "beginning")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = words.filter(sum(F.col(c) for c in COUNTS) > 0)
+    grams = written(
+        counted.select(F.explode(_grams(F.col("spelling"))).alias("gram"), *COUNTS)
+        .groupBy("gram")
+        .agg(*[F.sum(c).alias(c) for c in COUNTS]),
+        "strings",
     )
-    size = F.explode(F.sequence(F.lit(0), F.octet_length("beginning")))
-    nodes = written(
-        words.select("*", size.alias("size"))
-        .groupBy(F.substring("beginning", 1, F.col("size")).alias("node"))
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count(F.lit(1)).alias("types")),
-        "spellings",
+    size = F.octet_length("gram")
+    tail = F.lit(SHORTER[-1])
+    for n in reversed(SHORTER[:-1]):
+        tail = F.when(size > n, n).otherwise(tail)
+    shared = shared_chances(grams).select(F.col("gram").alias("tail"), "chance")
+    last = F.conv(F.hex(_last(F.col("gram"), F.lit(1))), 16, 10).cast("int")
+    rows = grams.withColumn("tail", _last(F.col("gram"), tail)).join(shared, "tail")
+    rows = rows.select(_context(F.col("gram")).alias("context"), last.alias("next"), "chance", *COUNTS)
+    after = Window.partitionBy("context")
+
+    def likelihoods(model: int) -> dict[str, tuple[Column, Column]]:
+        """Of a byte seen by any model, and the share that is left to others, by class."""
+        out = {}
+        for c in CLASSES:
+            n = sum(F.col(f"{c}_{f}") for f in FOLDS if f != model)
+            whole = F.sum(n).over(after)
+            left = F.when(whole > 0, DISCOUNT * F.count_if(n > 0).over(after) / whole).otherwise(1.0)
+            own = F.when(whole > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / whole).otherwise(0.0)
+            out[c] = (own + left * F.col("chance"), left)
+        return out
+
+    found = {m: likelihoods(m) for m in MODELS}
+    ratios = [F.array(*[F.log(found[m]["toxic"][i] / found[m]["ordinary"][i]) for m in MODELS]) for i in (0, 1)]
+    return written(
+        rows.select("context", "next", ratios[0].alias("ratios"), ratios[1].alias("other"))
+        .groupBy("context")
+        .agg(F.map_from_entries(F.collect_list(F.struct("next", "ratios"))).alias("known"), F.any_value("other").alias("other")),
+        "spelling-model",
     )
-    children = nodes.filter(F.octet_length("node") > 0).withColumn(
-        "parent", F.substring("node", 1, F.octet_length("node") - 1)
-    )
-    kinds = children.groupBy("parent").agg(
-        *[F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in ("toxic", "ordinary")]
-    )
-    parents = nodes.select(
-        F.col("node").alias("parent"), *[F.col(c).alias(f"all_{c}") for c in ("toxic", "ordinary", "types")]
-    ).join(kinds, "parent")
-    shared = F.col("types") / F.col("all_types")
-    chance = {
-        c: F.when(
-            F.col(f"all_{c}") > 0,
-            (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds_{c}") * shared) / F.col(f"all_{c}"),
-        ).otherwise(shared)
-        for c in ("toxic", "ordinary")
-    }
-    return children.join(parents, "parent").select(
-        "node", F.log(chance["toxic"] / chance["ordinary"]).alias("ratio"),
-        (F.col("toxic") + F.col("ordinary")).alias("weight"),
-    )
 
 
-def ratio_table(ratios: DataFrame) -> np.ndarray:
-    """The ratios by slot: 2**SLOT_BITS numbers, however many rows there are."""
-    rows = (
-        ratios.mapInArrow(_slots, "slot long, ratio double, weight long")
-        .groupBy("slot")
-        .agg(F.max(F.struct("weight", "ratio")).alias("best"))
-        .select(F.col("slot").cast("int").alias("slot"), F.col("best.ratio").cast("float").alias("ratio"))
-        .toArrow()
-    )
-    table = np.zeros(1 << SLOT_BITS, np.float32)
-    table[rows["slot"].to_numpy()] = rows["ratio"].to_numpy()
-    return table
-
-
-def measures(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """``MEASURES`` of each text, and its number of words."""
-    words = Words(data, offsets)
-    first, last = words.offsets[:-1], words.offsets[1:]
-    n = last - first
-    size = np.maximum(n, 1)
-    ratio = words.ratios(table) if len(words.starts) else np.zeros(0)
-
-    def mean(values: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        return (sums[last] - sums[first]) / size
-
-    text = np.repeat(np.arange(len(n)), n)
-    # Windows from each word on, cut short where its text ends.
-    sums = np.concatenate([[0.0], np.cumsum(ratio)])
-    at = np.arange(len(ratio))
-    windows = (sums[np.minimum(at + WINDOW, last[text])] - sums[at]) / np.minimum(n[text], WINDOW)
-    best = np.full(len(n), -np.inf)
-    full = n > 0
-    if full.any():
-        best[full] = np.maximum.reduceat(windows, first[full])
-    # The highest ratios; those up to 0 count as 0.
-    high = np.flatnonzero(ratio > 0)
-    high = high[np.lexsort((-ratio[high], text[high]))]
-    held = np.bincount(text[high], minlength=len(n))
-    rank = np.arange(len(high)) - np.repeat(np.cumsum(held) - held, held)
-    top = np.bincount(text[high], weights=np.where(rank < TOP, ratio[high], 0), minlength=len(n))
-    return [
-        mean(ratio),
-        *[mean(np.maximum(ratio - level, 0)) for level in EXCESS],
-        np.where(full, best, 0.0),
-        top / np.minimum(size, TOP),
-        n.astype(np.int64),
-    ]
-
-
-def _measured(table) -> Callable:
+def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
+    """word, model, ratio: the log-likelihood ratio of each word by one of ``MODELS``. Those never met in a model have ratio 0 and no row.
+
+    ``words``: word, model, spelling.
+    """
+    grams = words.select("word", "model", F.explode(_grams(F.col("spelling"))).alias("gram"))
+    last = F.conv(F.hex(_last(F.col("gram"), F.lit(1))), 16, 10).cast("int")
+    asked = grams.select("word", "model", _context(F.col("gram")).alias("context"), last.alias("next"))
+    given = F.coalesce(F.try_element_at("known", "next"), "other")
+    met = asked.join(model, "context").select("word", "model", F.element_at(given, F.col("model") + 1).alias("ratio"))
+    return met.groupBy("word", "model").agg(F.sum("ratio").alias("ratio"))
+
+
+def commonest(words: DataFrame, most: int) -> DataFrame:
+    """The words in most texts, ``most`` of them at most: as many whole levels of commonness as fit."""
+    level = F.floor(F.log2("texts") * 16)
+    sizes = words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    least, held = None, 0
+    for row in sizes:
+        held += row["count"]
+        if held > most:
+            break
+        least = row["level"]
+    return words.filter(F.lit(False) if least is None else level >= least)
+
+
+def _judged(common) -> Callable:
+    """For each text: its words, the sums over those whose ratio is held, and the others with their numbers."""
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, ratio = common.value
         for batch in batches(source):
-            data, offsets = text_bytes(batch.column(1))
-            parts = [
-                measures(table.value, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for a, b in row_slices(np.diff(offsets))
-            ]
-            found = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
-            rows = [] if batch.num_columns == 2 else [batch.column(2)]
-            names = ["doc_id", *MEASURES, "n_words", *["row"][: len(rows)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *rows], names)
+            data, offsets = text_bytes(batch.column(0))
+            whole = batch.column(2).to_numpy(zero_copy_only=False) > 0
+            for a, b, words in _sliced(data, offsets):
+                text, word, times = words.in_texts()
+                at = np.searchsorted(hashes, words.hashes)
+                at[at == len(hashes)] = 0
+                known = hashes[at] == words.hashes if len(hashes) else np.zeros(len(words.hashes), bool)
+                ratios = np.where(known, ratio[at], 0.0) if len(hashes) else np.zeros(len(words.hashes))
+                # Rows that fit the curve ask other models, whose ratios are not held.
+                open_ = ~known[word] | whole[a:b][text]
+                value = np.where(open_, 0.0, ratios[word])
+                sums = [np.bincount(text, weights=v * times, minlength=b - a) for v in (value, np.maximum(value - EXCESS, 0))]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(text[open_], minlength=b - a))]).astype(np.int32)
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
+                    for x in (words.hashes[word[open_]].view(np.int64), times[open_].astype(np.int64))
+                ]
+                kept = [batch.column(i).slice(a, b - a) for i in range(1, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(np.diff(words.offsets).astype(np.int64)), *[pa.array(s) for s in sums], *lists],
+                    [*batch.schema.names[1:], "n_words", *MEASURES, "words", "times"],
+                )
 
     return run
 
@@ -253,6 +284,71 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
+def _learnable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """doc_id, fold, label of labelled rows outside fold 0, and the model that rows which fit the curve are scored by, else null."""
+    given = (
+        labels.select(column(id_col).cast("long").alias("doc_id"), column(label_col).cast("int").alias("label"))
+        .filter(F.col("label").isNotNull() & (fold(F.col("doc_id")) > 0))
+        .groupBy("doc_id")
+        .agg(F.max((F.col("label") == 1).cast("int")).alias("label"))
+    )
+    given = written(given.withColumn("fold", fold(F.col("doc_id")).cast("int")), "labelled")
+    most = max([r["count"] for r in given.groupBy("label").count().collect()], default=1)
+    # One share for both labels, so that the sample keeps their proportion.
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
+    return written_side(given.withColumn("fits", F.when(chance < CALIBRATION / most, F.col("fold"))), "learnable")
+
+
+def measures(docs: DataFrame, given: DataFrame) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text and any others) without text, with model 0, n_words and ``MEASURES``; and rows that fit the curve with theirs."""
+    others = [c for c in docs.columns if c != "text"]
+    texts = docs.join(given, "doc_id", "left")
+    kind = F.coalesce((F.col("fold") - 1) * 2 + (1 - F.col("label")), F.lit(-1)).cast("long")
+    words = written(
+        texts.select("text", kind.alias("kind"))
+        .mapInArrow(_count_words, "word long, spelling binary, texts long, " + ", ".join(f"{c} long" for c in COUNTS))
+        .groupBy("word", "spelling")
+        .agg(*[F.sum(c).alias(c) for c in ("texts", *COUNTS)]),
+        "words",
+    )
+    model = spelling_model(words)
+    ratios = written(word_ratios(words.withColumn("model", F.lit(0)), model), "word-ratios")
+    held = commonest(words, WORDS_HELD).join(ratios, "word", "left")
+    table = held.select("word", F.coalesce("ratio", F.lit(0.0)).alias("ratio")).toArrow()
+    hashes, ratio = table["word"].to_numpy().view(np.uint64), table["ratio"].to_numpy()
+    order = np.argsort(hashes)
+    common = docs.sparkSession.sparkContext.broadcast((hashes[order], ratio[order]))
+    asked = F.explode(F.when(F.col("fits").isNotNull(), F.array(F.lit(0), "fits")).otherwise(F.array(F.lit(0))))
+    rows = texts.select("text", asked.alias("model"), *[column(c) for c in others]).select(
+        "text", "doc_id", F.col("model").cast("int").alias("model"), *[column(c) for c in others if c != "doc_id"]
+    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    schema += ", n_words long, mean double, excess double, words array<long>, times array<long>"
+    found = written(rows.mapInArrow(_judged(common), schema).withColumn("place", F.monotonically_increasing_id()), "judged")
+    pairs = found.select("place", "model", F.explode(F.arrays_zip("words", "times")).alias("at"))
+    pairs = pairs.select("place", "model", F.col("at.words").alias("word"), F.col("at.times").alias("times"))
+    # Words of rows that fit the curve, by the model that leaves their fold out.
+    fitting = pairs.filter("model > 0").select("word", "model").distinct().join(words.select("word", "spelling"), "word")
+    ratios = ratios.unionByName(word_ratios(fitting, model))
+    sums = (
+        pairs.join(ratios, ["word", "model"])
+        .groupBy("place")
+        .agg(
+            F.sum(F.col("ratio") * F.col("times")).alias("more_mean"),
+            F.sum(F.greatest(F.col("ratio") - EXCESS, F.lit(0.0)) * F.col("times")).alias("more_excess"),
+        )
+    )
+    size = F.greatest("n_words", F.lit(1))
+    return (
+        found.drop("words", "times")
+        .join(sums, "place", "left")
+        .select(
+            *[column(c) for c in others], "model", "n_words",
+            *[((F.col(m) + F.coalesce(f"more_{m}", F.lit(0.0))) / size).alias(m) for m in MEASURES],
+        )
+    )
+
+
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -264,38 +360,23 @@ def toxicity(
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, ``MEASURES``, n_words: one row per row of ``docs``; and row, a copy of ``row_col``.
 
-    Labels of fold 0 are never read. Words are counted on folds 1 to 3, the curve is fitted on fold 4.
+    Labels of fold 0 are never read. Words are counted on folds 1 to 4; the curve is fitted on rows scored without their own fold.
     """
-    all_docs = texts(docs, id_col, text_col)
-    judged = all_docs if row_col is None else docs.select(
-        column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), column(row_col).alias("row")
-    )
-    given = (
-        labels.select(column(label_id_col).cast("long").alias("doc_id"), column(label_col).cast("int").alias("label"))
-        .filter(F.col("label").isNotNull() & (fold(F.col("doc_id")) > 0))
-        .groupBy("doc_id")
-        .agg(F.max((F.col("label") == 1).cast("int")).alias("label"))
-    )
-    counted = all_docs.join(given.filter(fold(F.col("doc_id")) < 4), "doc_id").select("text", "label")
-    table = docs.sparkSession.sparkContext.broadcast(ratio_table(spelling_ratios(counted)))
-    schema = "doc_id long, " + ", ".join(f"{m} double" for m in MEASURES) + ", n_words long"
-    if row_col is not None:
-        schema += ", row " + judged.schema["row"].dataType.simpleString()
-    found = written(judged.mapInArrow(_measured(table), schema), "measures")
-    fitting = found.join(given.filter(fold(F.col("doc_id")) == 4), "doc_id")
-    sizes = {r.label: r["count"] for r in fitting.groupBy("label").count().collect()}
-    if len(sizes) == 2:
-        chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-        # One share for both labels, so that the sample keeps their proportion.
-        rows = fitting.filter(chance < CALIBRATION / max(sizes.values())).select(*MEASURES, "label").toArrow()
-        weights = _logistic(np.column_stack([rows[m].to_numpy() for m in MEASURES]), rows["label"].to_numpy().astype(float))
-        line = F.lit(float(weights[-1]))
-        for m, w in zip(MEASURES, weights, strict=False):
+    extra = [] if row_col is None else [column(row_col).alias("row")]
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), *extra)
+    given = _learnable(labels, label_id_col, label_col)
+    found = written(measures(texts, given), "measures")
+    fitting = found.filter("model > 0").join(given.select("doc_id", "label"), "doc_id").select(*MEASURES, "label").toArrow()
+    y = fitting["label"].to_numpy().astype(float)
+    if len(np.unique(y)) == 2:
+        *weights, start = _logistic(np.column_stack([fitting[m].to_numpy() for m in MEASURES]), y)
+        line = F.lit(float(start))
+        for m, w in zip(MEASURES, weights, strict=True):
             line = line + F.col(m) * float(w)
         score = 1 / (1 + F.exp(-line))
     else:
-        score = F.lit(float(sizes.get(1, 0) > 0))
-    return found.select(
+        score = F.lit(float(len(y) > 0 and y[0] == 1))
+    return found.filter("model = 0").select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
         score.alias("score"),
