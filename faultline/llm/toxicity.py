@@ -41,7 +41,7 @@ ORDER = 12
 SHORTER = tuple(range(ORDER - 1, 0, -1))
 DISCOUNT = 0.75
 EXCESS = 2.5
-CALIBRATION = 5_000
+CALIBRATION = 2_000
 WORDS_HELD = 1 << 18
 FLUSH = 1_000_000
 FOLDS = (1, 2, 3, 4)
@@ -137,8 +137,8 @@ def _context(gram: Column) -> Column:
     return F.substring(gram, F.lit(1), F.octet_length(gram) - 1)
 
 
-def shared_chances(grams: DataFrame) -> DataFrame:
-    """gram, chance: of the last byte of each shorter string, after those before it, by Kneser-Ney counts without class."""
+def shared_chances(grams: DataFrame) -> dict[int, DataFrame]:
+    """tail, chance, by length: of the last byte of each shorter string, after those before it, by Kneser-Ney counts without class."""
     size = F.octet_length("gram")
     longer, kinds, above = None, {}, ORDER
     for n in SHORTER:
@@ -149,18 +149,15 @@ def shared_chances(grams: DataFrame) -> DataFrame:
             from_above.groupBy(_last(F.col("gram"), F.lit(n)).alias("gram")).agg(F.count(F.lit(1)).alias("kinds")), f"strings-{n}"
         )
         kinds[n], above = longer, n
-    chances, lower, below = None, None, 0
+    chances, below = {}, 0
     for n in reversed(SHORTER):
         after = Window.partitionBy(_context(F.col("gram")))
         level = kinds[n].select("gram", "kinds", F.sum("kinds").over(after).alias("all"), F.count(F.lit(1)).over(after).alias("nexts"))
-        if lower is None:
-            level = level.withColumn("less", F.lit(1 / 256))
-        else:
-            shorter = lower.select(F.col("gram").alias("tail"), F.col("chance").alias("less"))
-            level = level.withColumn("tail", _last(F.col("gram"), F.lit(below))).join(shorter, "tail")
-        own = (F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("nexts") * F.col("less")) / F.col("all")
-        lower, below = written(level.select("gram", own.alias("chance")), f"chances-{n}"), n
-        chances = lower if chances is None else chances.unionByName(lower)
+        if below:
+            level = level.withColumn("tail", _last(F.col("gram"), F.lit(below))).join(chances[below], "tail")
+        less = F.col("chance") if below else F.lit(1 / 256)
+        own = (F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("nexts") * less) / F.col("all")
+        chances[n], below = written_side(level.select(F.col("gram").alias("tail"), own.alias("chance")), f"chances-{n}"), n
     return chances
 
 
@@ -176,13 +173,12 @@ def spelling_model(words: DataFrame) -> DataFrame:
         .agg(*[F.sum(c).alias(c) for c in COUNTS]),
         "strings",
     )
-    size = F.octet_length("gram")
-    tail = F.lit(SHORTER[-1])
-    for n in reversed(SHORTER[:-1]):
-        tail = F.when(size > n, n).otherwise(tail)
-    shared = shared_chances(grams).select(F.col("gram").alias("tail"), "chance")
+    size, rows, above = F.octet_length("gram"), None, ORDER
     last = F.conv(F.hex(_last(F.col("gram"), F.lit(1))), 16, 10).cast("int")
-    rows = grams.withColumn("tail", _last(F.col("gram"), tail)).join(shared, "tail")
+    shared = shared_chances(grams)
+    for n in SHORTER:
+        level = grams.filter((size > n) & (size <= above)).withColumn("tail", _last(F.col("gram"), F.lit(n))).join(shared[n], "tail")
+        rows, above = level if rows is None else rows.unionByName(level), n
     rows = rows.select(_context(F.col("gram")).alias("context"), last.alias("next"), "chance", *COUNTS)
     after = Window.partitionBy("context")
 
