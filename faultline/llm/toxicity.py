@@ -180,21 +180,22 @@ def spelling_model(words: DataFrame) -> DataFrame:
         level = grams.filter((size > n) & (size <= above)).withColumn("tail", _last(F.col("gram"), F.lit(n))).join(shared[n], "tail")
         rows, above = level if rows is None else rows.unionByName(level), n
     rows = rows.select(_context(F.col("gram")).alias("context"), last.alias("next"), "chance", *COUNTS)
-    after = Window.partitionBy("context")
-
-    def likelihoods(model: int) -> dict[str, tuple[Column, Column]]:
-        """Of a byte seen by any model, and the share that is left to others, by class."""
-        out = {}
-        for c in CLASSES:
-            n = sum(F.col(f"{c}_{f}") for f in FOLDS if f != model)
-            whole = F.sum(n).over(after)
-            left = F.when(whole > 0, DISCOUNT * F.count_if(n > 0).over(after) / whole).otherwise(1.0)
-            own = F.when(whole > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / whole).otherwise(0.0)
-            out[c] = (own + left * F.col("chance"), left)
-        return out
-
-    found = {m: likelihoods(m) for m in MODELS}
-    ratios = [F.array(*[F.log(found[m]["toxic"][i] / found[m]["ordinary"][i]) for m in MODELS]) for i in (0, 1)]
+    after, asked = Window.partitionBy("context"), [(m, c) for m in MODELS for c in CLASSES]
+    rows = rows.select("context", "next", "chance", *[sum(F.col(f"{c}_{f}") for f in FOLDS if f != m).alias(f"n_{c}_{m}") for m, c in asked])
+    rows = rows.select(
+        "*",
+        *[F.sum(f"n_{c}_{m}").over(after).alias(f"all_{c}_{m}") for m, c in asked],
+        *[F.count_if(F.col(f"n_{c}_{m}") > 0).over(after).alias(f"nexts_{c}_{m}") for m, c in asked],
+    )
+
+    def likelihood(c: str, m: int, seen: bool) -> Column:
+        """Of a byte that some class holds after the context; of any other, the factor that its shared chance gets."""
+        n, whole = F.col(f"n_{c}_{m}"), F.col(f"all_{c}_{m}")
+        left = F.when(whole > 0, DISCOUNT * F.col(f"nexts_{c}_{m}") / whole).otherwise(1.0)
+        own = F.when(whole > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / whole).otherwise(0.0)
+        return own + left * F.col("chance") if seen else left
+
+    ratios = [F.array(*[F.log(likelihood("toxic", m, seen) / likelihood("ordinary", m, seen)) for m in MODELS]) for seen in (True, False)]
     return written(
         rows.select("context", "next", ratios[0].alias("ratios"), ratios[1].alias("other"))
         .groupBy("context")
