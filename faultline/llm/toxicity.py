@@ -44,6 +44,8 @@ EXCESS = 2.5
 CALIBRATION = 2_000
 WORDS_HELD = 1 << 18
 FLUSH = 1_000_000
+# Files of a level of shorter strings that is broadcast; all levels may be so at once.
+SIDE_BYTES = 1 << 20
 FOLDS = (1, 2, 3, 4)
 # Model 0 counts all folds, model f all but fold f.
 MODELS = (0, *FOLDS)
@@ -157,7 +159,7 @@ def shared_chances(grams: DataFrame) -> dict[int, DataFrame]:
             level = level.withColumn("tail", _last(F.col("gram"), F.lit(below))).join(chances[below], "tail")
         less = F.col("chance") if below else F.lit(1 / 256)
         own = (F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("nexts") * less) / F.col("all")
-        chances[n], below = written_side(level.select(F.col("gram").alias("tail"), own.alias("chance")), f"chances-{n}"), n
+        chances[n], below = written_side(level.select(F.col("gram").alias("tail"), own.alias("chance")), f"chances-{n}", SIDE_BYTES), n
     return chances
 
 
