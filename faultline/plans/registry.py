@@ -26,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 WINDOW, STORM = 259_200, 3
 CONTEXT, BUDGET = 3, 420
 NOW = "2024-01-29 00:00:00"
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type"]
 
 QUERIES: dict[str, Query] = {}
 
@@ -48,8 +49,7 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["event_id", "ts", "user_id", "event_type"]
-    events = spread(read_table(spark, sf_dir, "events").select(*columns))
+    events = spread(read_table(spark, sf_dir, "events").select(*EVENT_COLUMNS))
     return log_view(events, read_table(spark, sf_dir, "documents").count())
 
 
@@ -700,9 +700,14 @@ def _stream(spark, sf_dir):
         part = events if low is None else events.filter(F.col("micros") >= low)
         part = part if high is None else part.filter(F.col("micros") < high)
         part.drop("micros").repartition(FILES).write.mode("append").parquet(path)
+    return _log_stream(spark, sf_dir, path)
+
+
+def _log_stream(spark, sf_dir, path):
+    """The logs of event files, a part of them a micro-batch; a part has few files, so every core gets a share of its narrow rows."""
     schema = read_table(spark, sf_dir, "events").schema
-    stream = read_log_stream(spark, path, schema=schema, maxFilesPerTrigger=FILES)
-    return log_view(stream, read_table(spark, sf_dir, "documents").count())
+    stream = read_log_stream(spark, path, schema=schema, maxFilesPerTrigger=FILES).select(*EVENT_COLUMNS)
+    return log_view(stream.repartition(spark.sparkContext.defaultParallelism), read_table(spark, sf_dir, "documents").count())
 
 
 def _run(writer) -> None:
@@ -776,8 +781,7 @@ def _late_stream(spark, sf_dir):
     events = events.withColumn("part", F.least(part, F.lit(PARTS - 1)))
     for no in range(PARTS):
         events.filter(F.col("part") == no).drop("micros", "part").repartition(FILES).write.mode("append").parquet(path)
-    stream = read_log_stream(spark, path, schema=read_table(spark, sf_dir, "events").schema, maxFilesPerTrigger=FILES)
-    return log_view(stream, read_table(spark, sf_dir, "documents").count())
+    return _log_stream(spark, sf_dir, path)
 
 
 @_query

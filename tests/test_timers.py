@@ -95,6 +95,23 @@ def test_a_storm_of_one_fingerprint_comes_as_packs(spark):
     assert len(packs) <= 4 * -(-50_000 // 10_000) and sum(len(p.times) for p in packs) == 8 * 50_000
 
 
+def test_states_hold_shares_of_the_fingerprints(spark, tmp_path):
+    folder, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    shape = F.concat(*[F.char(97 + F.pmod(F.floor(F.col("id") / 26**p), F.lit(26))) for p in range(3)])
+    for no in range(2):  # every fingerprint in both parts
+        logs = spark.range(3000).select(
+            (F.col("id") + no * 3000).alias("log_id"), F.timestamp_seconds(F.lit(10 + no)).alias("ts"), F.lit("svc").alias("service_name"),
+            F.concat(F.lit("X"), shape, F.lit("Error: z")).alias("raw_log"),
+        )
+        logs.coalesce(1).write.parquet(f"{folder}/part{no}")
+        told = dedup(spark, folder, root, 30, 50)
+    still = timers.open_windows(spark, f"{root}/cp")
+    assert told.count() == still.count() == 3000
+    assert still.filter("count = 2 and first_seen < last_seen and log_id < 3000").count() == 3000
+    # A call to Python for each share, not for each fingerprint.
+    assert spark.read.format("statestore").load(f"{root}/cp").count() <= timers.BUCKETS
+
+
 def test_triage_by_timers(spark, tmp_path):
     folder, root = f"{tmp_path}/in", f"{tmp_path}/out"
     logs = write(spark, folder, 0, [(i, i * 3, i * i % 5) for i in range(60)])
