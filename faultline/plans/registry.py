@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fingerprint import error_type, file_location, normalized, with_fingerprint
 from ..functions.severity import with_severity_attributes
 from ..operators import dedup, prompts, retrieval, routing, rule_index, rules, scoring, stacktrace, stats, tuning, windows
-from ..session import SETTINGS, fresh_path, shared_folder, spread, written
+from ..session import SETTINGS, fresh_path, shared_folder, spread, write_texts, written
 from ..sources import snapshots
 from ..sources.code import code_lines, read_snapshot
 from ..sources.logs import read_incident_files, read_log_lines, read_log_stream, read_numbered_lines
@@ -99,8 +99,9 @@ def incident_files(spark, sf_dir):
     path = fresh_path(spark, "incidents")
     texts = F.transform(F.sort_array(F.collect_list(F.struct("log_id", "raw_log"))), lambda r: r["raw_log"])
     logs = _logs(spark, sf_dir).groupBy(F.floor(F.col("log_id") / 50).alias("incident")).agg(F.array_join(texts, "\n").alias("value"))
-    logs.write.partitionBy("incident").text(path)
-    parsed = stacktrace.parse_logs(read_incident_files(spark, path).withColumn("incident", _folder_number("incident")))
+    write_texts(logs, path, "incident")
+    files = read_incident_files(spark, path, recursiveFileLookup=True)
+    parsed = stacktrace.parse_logs(files.withColumn("incident", _folder_number("incident")))
     return parsed.select("incident", "language", "error_type", "error_message", F.length("raw_log").alias("chars"))
 
 
@@ -616,7 +617,7 @@ def snapshot_files(spark, sf_dir):
     old = bundles.filter("bundle % 2 = 0").withColumn("value", F.concat(F.lit("v1\n"), "value"))
     for ref, commit, files in (("HEAD", "c0ffee1", bundles), ("v1", "0a1b2c3", old)):
         root = fresh_path(spark, f"snapshot-{ref}")
-        files.write.partitionBy("bundle").text(root)
+        write_texts(files, root, "bundle")
         held.append(read_snapshot(spark, root, ref, commit, "*.txt"))
     bundle = F.regexp_extract("file_path", r"^bundle=(\d+)/", 1).cast("long").alias("bundle")
     files = held[0].unionByName(held[1])

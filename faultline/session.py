@@ -83,6 +83,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_texts(rows: DataFrame, path: str, by: str) -> None:
+    """``value`` of each row as text files in a folder for each value of ``by``.
+
+    Each task moves its own files to their place when it is done; else the driver would move all of them, one by one. A task that
+    runs again writes the same names again.
+    """
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(by).text(path)
+
+
 def written_side(df: DataFrame, label: str, most: int = BROADCAST_BYTES) -> DataFrame:
     """Write a join side once and mark it for broadcast only if its files are small.
 

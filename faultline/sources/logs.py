@@ -72,9 +72,12 @@ def read_numbered_lines(spark: SparkSession, path: str, service_name: str = "")
     )
 
 
-def read_incident_files(spark: SparkSession, path: str, service_name: str = "") -> DataFrame:
-    """One record per file, stack trace lines kept together."""
-    return spark.read.text(path, wholetext=True).select(
+def read_incident_files(spark: SparkSession, path: str, service_name: str = "", **options) -> DataFrame:
+    """One record per file, stack trace lines kept together.
+
+    With ``recursiveFileLookup`` among the reader's ``options``, no columns are made of the names of a great many folders.
+    """
+    return spark.read.options(**options).text(path, wholetext=True).select(
         F.monotonically_increasing_id().alias("log_id"),
         _file_time().alias("ts"),
         F.lit(service_name).alias("service_name"),
