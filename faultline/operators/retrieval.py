@@ -64,25 +64,11 @@ def cut_snippets(
     sets of failing lines. ``working_tree(file_path, text)`` serves files that a ref lacks.
     """
     centers = requests.select(*_PLACE).distinct().groupBy("ref", "file_path").agg(F.collect_list("center").alias("centers"))
-    asked = written_side(centers, "requests")
     files = code_files.select("ref", "file_path", "text", "commit_sha")
     if working_tree is None:
-        found = asked.join(files, ["ref", "file_path"])
+        found = written_side(centers, "requests").join(files, ["ref", "file_path"]).withColumn("copies", F.lit(1))
     else:
-        refs = code_files.groupBy("ref").agg(F.max("commit_sha").alias("ref_sha"))
-        other = working_tree.select("file_path", F.col("text").alias("other_text"))
-        found = (
-            asked.join(files, ["ref", "file_path"], "left")
-            .join(other, "file_path", "left")
-            .join(refs, "ref", "left")
-            .withColumns(
-                {
-                    "text": F.coalesce("text", "other_text"),
-                    "commit_sha": F.coalesce("commit_sha", "ref_sha", F.lit("")),
-                }
-            )
-            .filter(F.col("text").isNotNull())
-        )
+        found = _found_or_in_tree(centers, files, working_tree.select("file_path", "text"))
     lines = F.col("lines")
 
     def window(center):
@@ -93,8 +79,8 @@ def cut_snippets(
         return F.struct(center.alias("center"), start.alias("start_line"), end.alias("end_line"), held.alias("window"))
 
     return (
-        found.select("ref", "file_path", "commit_sha", "centers", split_lines(F.col("text")).alias("lines"))
-        .select("ref", "file_path", "commit_sha", F.inline(F.transform("centers", window)))
+        found.select("ref", "file_path", "commit_sha", "centers", "copies", split_lines(F.col("text")).alias("lines"))
+        .select("ref", "file_path", "commit_sha", F.inline(F.flatten(F.array_repeat(F.transform("centers", window), F.col("copies")))))
         .withColumn(
             "content",
             F.array_join(F.transform("window", lambda line, at: _numbered(line, F.col("start_line") + at)), "\n"),
@@ -102,6 +88,25 @@ def cut_snippets(
     )
 
 
+def _found_or_in_tree(centers: DataFrame, files: DataFrame, tree: DataFrame) -> DataFrame:
+    """Files asked for with their texts, those that a ref lacks from ``tree``; ``copies``: how many of the tree's rows a row stands for.
+
+    What is lacking is found by names alone. So a text is shuffled once at most, and the tree's meet only the requests that need them.
+    """
+    place = ["ref", "file_path"]
+    refs = files.groupBy("ref").agg(F.max("commit_sha").alias("ref_sha"))
+    in_tree = tree.groupBy("file_path").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    asked = centers.join(in_tree, "file_path", "left").join(F.broadcast(refs), "ref", "left")  # a row for each ref
+    asked = asked.withColumn("copies", F.coalesce("n", F.lit(1))).drop("n")
+    asked = written_side(asked, "requests")
+    sha = F.coalesce("commit_sha", "ref_sha", F.lit("")).alias("commit_sha")
+    columns = [*place, "centers", "text", sha, "copies"]
+    named = files.select(*place, "commit_sha", F.col("text").isNotNull().alias("held"))
+    lacking = asked.join(named, place, "left").filter(~F.coalesce("held", F.lit(False))).withColumn("copies", F.lit(1))
+    from_tree = written_side(lacking, "lacking").join(tree.filter(F.col("text").isNotNull()), "file_path")
+    return asked.join(files.filter(F.col("text").isNotNull()), place).select(*columns).unionByName(from_tree.select(*columns))
+
+
 def cut_stored_snippets(
     requests: DataFrame,
     files: DataFrame,
