@@ -1,11 +1,18 @@
 """Text expressions shared by the operators."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import BLANK_CHARS, LINE_BREAK, spark_pattern
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, in which a costly ``value`` is named often and computed once: it is the one element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANK_CHARS))
 

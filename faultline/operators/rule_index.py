@@ -29,7 +29,8 @@ _INDEX = "priority int, literal string, pattern string, exclusion string"
 
 def folded(text: Column) -> Column:
     """Text in which letters that a pattern takes for alike, whatever their case, are written alike."""
-    return F.translate(F.lower(F.upper(text)), "ς̇", "σ")
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(F.lower(F.upper(text)), "ς̇", "σ"))
 
 
 def required_strings(pattern: str) -> list[str]:

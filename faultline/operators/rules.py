@@ -1,5 +1,8 @@
 """Ordered severity rules: the first rule that hits, and is not excluded, wins."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +30,22 @@ def rules_from_table(table: DataFrame) -> list[tuple]:
     return [tuple(row) for row in table.select(*names).orderBy("priority").collect()]
 
 
-def rule_position(text: Column, rules: list[tuple]) -> Column:
+def rule_position(text: Column, rules: list[tuple], plain: Column | None = None) -> Column:
     """Position in ``rules`` of the first hit, null for none; later rules are not tried.
 
-    Rules stand in chunks, so that neither depth nor size of an expression grows with the rule set.
+    Rules stand in chunks, so that neither depth nor size of an expression grows with the rule set. ``plain`` is the folded text:
+    where it is given, a pattern runs only on texts that hold one of the strings that its every hit holds.
     """
+    from .rule_index import required_strings  # which itself takes this function
+
     chunks = [F.lit(None).cast("int")]
     for start in range(0, len(rules), CHUNK):
         position = F
         for at, (_, _, _, pattern, exclusion, _, _) in enumerate(rules[start : start + CHUNK], start):
             hit = hits(text, pattern, ignore_case=True)
+            needed = [] if plain is None else [plain.contains(s) for s in required_strings(pattern)]
+            if needed:
+                hit = reduce(or_, needed) & hit
             if exclusion:
                 hit = hit & ~hits(text, exclusion, ignore_case=True)
             position = position.when(hit, F.lit(at))
@@ -51,13 +60,17 @@ def with_rule(
     if isinstance(rules, DataFrame):
         rules = rules_from_table(rules)
     rules = standard_rules() if rules is None else rules
+    from .rule_index import folded  # which itself takes functions of this module
+
+    # A column of its own, so that a text is folded once for all rules.
+    rows = rows.withColumn("rule_text", folded(F.col(text)))
 
     def value(position: int) -> Column:
         values = F.array(*[F.lit(r[position]) for r in rules]) if rules else F.array().cast("array<string>")
         return F.get(values, F.col("rule_position"))
 
     return (
-        rows.withColumn("rule_position", rule_position(F.col(text), rules))
+        rows.withColumn("rule_position", rule_position(F.col(text), rules, F.col("rule_text")))
         .withColumns(
             {
                 "rule_name": value(1),
@@ -67,7 +80,7 @@ def with_rule(
             }
         )
         .withColumn("reason", F.when(F.col("rule_name").isNotNull(), F.col("reason")))
-        .drop("rule_position")
+        .drop("rule_position", "rule_text")
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.patterns import spark_pattern
 from ..functions.severity import is_valid
-from ..functions.text import strip
+from ..functions.text import once, strip
 from ..session import written
 from .dedup import frequency_per_minute, group_context
 
@@ -121,7 +121,8 @@ def verdict_text(content: Column) -> Column:
     """Part of an answer that should be JSON: fenced, else a bare object, else all of it."""
     fenced = F.regexp_extract(content, spark_pattern(V.FENCED_JSON, dot_all=True), 1)
     bare = F.regexp_extract(content, spark_pattern(V.BARE_JSON, dot_all=True), 0)
-    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(bare, F.lit("")), strip(content))
+    found = [once(part, lambda text: F.nullif(text, F.lit(""))) for part in (fenced, bare)]
+    return F.coalesce(*found, strip(content))
 
 
 def strict_verdict(text: Column) -> Column:
@@ -130,24 +131,32 @@ def strict_verdict(text: Column) -> Column:
     A JSON reader stops after the first value. Put into an array before an end mark, a text with
     anything behind its object shows as an array of another length, or as none.
     """
-    read = F.from_json(
-        F.concat(F.lit("["), text, F.lit(',{"end":1}]')), f"array<struct<{_FIELDS},end:int>>", {"allowSingleQuotes": "false"}
-    )
-    whole = text.startswith("{") & (F.size(read) == 2) & (F.get(read, F.lit(1))["end"] == 1)
-    return F.when(whole, F.get(read, F.lit(0)))
+
+    def read(text: Column) -> Column:
+        array = F.concat(F.lit("["), text, F.lit(',{"end":1}]'))
+        told = F.from_json(array, f"array<struct<{_FIELDS},end:int>>", {"allowSingleQuotes": "false"})
+        return F.when(text.startswith("{"), once(told, first_of_two))
+
+    def first_of_two(told: Column) -> Column:
+        return F.when((F.size(told) == 2) & (F.get(told, F.lit(1))["end"] == 1), F.get(told, F.lit(0)))
+
+    return once(text, read)
 
 
 def parsed_verdict(content: Column) -> Column:
     """(severity, reason, action), or null where the answer is no valid verdict."""
-    verdict = strict_verdict(verdict_text(content))
-    return F.when(
-        is_valid(verdict["severity"]),
-        F.struct(
-            verdict["severity"].alias("severity"),
-            F.coalesce(verdict["reason"], F.lit("")).alias("reason"),
-            F.coalesce(verdict["action"], F.lit("")).alias("action"),
-        ),
-    )
+
+    def checked(verdict: Column) -> Column:
+        return F.when(
+            is_valid(verdict["severity"]),
+            F.struct(
+                verdict["severity"].alias("severity"),
+                F.coalesce(verdict["reason"], F.lit("")).alias("reason"),
+                F.coalesce(verdict["action"], F.lit("")).alias("action"),
+            ),
+        )
+
+    return once(strict_verdict(verdict_text(content)), checked)
 
 
 def with_verdict(scored: DataFrame, fallback: str = V.FALLBACK_SEVERITY) -> DataFrame:
