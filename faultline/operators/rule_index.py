@@ -30,7 +30,8 @@ _INDEX = "priority int, literal string, pattern string, exclusion string"
 def folded(text: Column) -> Column:
     """Text in which letters that a pattern takes for alike, whatever their case, are written alike."""
     plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, F.lower(text)).otherwise(F.translate(F.lower(F.upper(text)), "ς̇", "σ"))
+    # Spelled out, since Spark takes the lower case of the upper case for the lower case alone.
+    return F.when(plain, F.lower(text)).otherwise(F.translate(F.lower(text), "\u03c2\u017f\u0131\u0307", "\u03c3si"))
 
 
 def required_strings(pattern: str) -> list[str]:
