@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written, written_side
+from ..session import drop_scratch, scratch_tables, written, written_side
 from .common import batches, column
 from .rolling import PrefixHash, row_slices, text_bytes
 
@@ -364,7 +364,10 @@ def toxicity(
     extra = [] if row_col is None else [column(row_col).alias("row")]
     texts = docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), *extra)
     given = _learnable(labels, label_id_col, label_col)
+    begun = scratch_tables()
     found = written(measures(texts, given), "measures")
+    # The tables of words, strings and ratios; that of the measures is the last one.
+    drop_scratch(docs.sparkSession, begun, -1)
     fitting = found.filter("model > 0").join(given.select("doc_id", "label"), "doc_id").select(*MEASURES, "label").toArrow()
     y = fitting["label"].to_numpy().astype(float)
     if len(np.unique(y)) == 2:

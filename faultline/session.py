@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 # Size of the files of a side that is broadcast; in memory it is a few times that.
 BROADCAST_BYTES = 16 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -65,13 +69,31 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables this process has written; for use once its results are stored."""
-    while _scratch:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+def scratch_tables() -> int:
+    """How many scratch tables there are so far."""
+    return len(_scratch)
+
+
+def drop_scratch(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the scratch tables this process has written, or those from ``first`` to before ``last``; for use once its results are stored."""
+    dropped = _scratch[first:last]
+    del _scratch[first:last]
+    for name in dropped:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside leave no shuffle files: what they made is in their table."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
@@ -79,7 +101,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     outlive lost executors.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -99,7 +122,8 @@ def written_side(df: DataFrame, label: str, most: int = BROADCAST_BYTES) -> Data
     starts spares the wide other side a shuffle that would turn out needless.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     side = df.sparkSession.read.schema(df.schema).parquet(path)
     return F.broadcast(side) if _size(df.sparkSession, path) <= most else side
 
