@@ -13,8 +13,13 @@ is not in.
 Counts. A word counts once for each document that holds it. Counts are those of all labelled rows but fold 0, all four folds. Backoff
 counts carry no class and are those of all four folds for every model.
 
-Scale. No text is shuffled. Words add up in each task before they meet. Strings and ratios are tables joined by key; a context's group
-has at most 256 next bytes. The commonest words, ``WORDS_HELD`` at most whatever the corpus holds, go with their ratios to every worker
+Scale. No text is shuffled. Words add up in each task before they meet. Strings meet in groups by the last ``SHORT`` bytes of their
+context, where all strings after each context, and all that contexts of more bytes shorten to, are at hand, so that counts, chances and
+ratios of a group are columns of one task. Words that start alike share most strings: a part of some ``WORDS_A_PART`` words sends each of
+its strings once, as packed bytes, and gets ratios back, so that what is moved and kept follows different strings and not words times
+bytes. A group grows with the different strings after its three bytes (the largest has 1.3 % of all). Chances of strings of ``SHORT``
+bytes at most, of which there are 2^24 whatever the corpus holds, go to every worker. Shuffle files go as soon as what they
+made is written. The commonest words, ``WORDS_HELD`` at most whatever the corpus holds, go with their ratios to every worker
 (under 8 MB), so that no hot word is shuffled; every other word of a document meets its ratio in a join. Which words are held
 changes no result. Words are told apart by 64-bit hashes; strings by their bytes.
 
@@ -30,21 +35,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written, written_side
+from ..session import release, written, written_side
 from .common import batches, column
-from .rolling import PrefixHash, row_slices, text_bytes
+from .rolling import PrefixHash, mixed, row_slices, text_bytes
 
 ORDER = 12
-SHORTER = tuple(range(ORDER - 1, 0, -1))
+# Contexts that share this many last bytes meet in one group; chances of strings no longer than this go to every worker.
+SHORT = 3
+WORDS_A_PART = 40_000
 DISCOUNT = 0.75
 EXCESS = 2.5
 CALIBRATION = 2_000
 WORDS_HELD = 1 << 18
 FLUSH = 1_000_000
-# Files of a level of shorter strings that is broadcast; all levels may be so at once.
+# Files of a level of short strings that is broadcast; all levels may be so at once.
 SIDE_BYTES = 1 << 20
 FOLDS = (1, 2, 3, 4)
 # Model 0 counts all folds, model f all but fold f.
@@ -126,12 +134,12 @@ def _last(string: Column, size: Column) -> Column:
     return F.substring(string, F.octet_length(string) - size + 1, size)
 
 
-def _grams(spelling: Column) -> Column:
-    """Each byte of a word and its end, after the bytes before it: ``ORDER`` bytes, fewer near the word's start."""
+def _grams(spelling: Column, order: int) -> Column:
+    """Each byte of a word and its end, after the bytes before it: ``order`` bytes, fewer near the word's start."""
     marked = F.concat(F.lit(b" "), spelling, F.lit(b" "))
     return F.transform(
         F.sequence(F.lit(2), F.octet_length(marked)),
-        lambda end: F.substring(marked, F.greatest(end - (ORDER - 1), F.lit(1)), F.least(end, F.lit(ORDER))),
+        lambda end: F.substring(marked, F.greatest(end - (order - 1), F.lit(1)), F.least(end, F.lit(order))),
     )
 
 
@@ -139,84 +147,235 @@ def _context(gram: Column) -> Column:
     return F.substring(gram, F.lit(1), F.octet_length(gram) - 1)
 
 
-def shared_chances(grams: DataFrame) -> dict[int, DataFrame]:
-    """tail, chance, by length: of the last byte of each shorter string, after those before it, by Kneser-Ney counts without class."""
+def short_chances(grams: DataFrame) -> DataFrame:
+    """tail, chance of strings of ``SHORT`` bytes at most: of the last byte after those before it, by Kneser-Ney counts without class.
+
+    ``grams``: the different strings of ``SHORT`` + 1 bytes, or fewer from a word's start.
+    """
     size = F.octet_length("gram")
-    longer, kinds, above = None, {}, ORDER
-    for n in SHORTER:
-        # Strings that shorten to n bytes: those of the level above, and words' first bytes that are no longer than that level.
-        own = grams.filter((size > n) & (size <= above)).select("gram")
+    longer, kinds = None, {}
+    for n in range(SHORT, 0, -1):
+        # Strings that shorten to n bytes: those of the level above, and words' first bytes that are as long.
+        own = grams.filter(size == n + 1).select("gram")
         from_above = own if longer is None else longer.select("gram").unionByName(own)
         longer = written(
             from_above.groupBy(_last(F.col("gram"), F.lit(n)).alias("gram")).agg(F.count(F.lit(1)).alias("kinds")), f"strings-{n}"
         )
-        kinds[n], above = longer, n
-    chances, below = {}, 0
-    for n in reversed(SHORTER):
+        kinds[n] = longer
+    below, found = None, None
+    for n in range(1, SHORT + 1):
         after = Window.partitionBy(_context(F.col("gram")))
         level = kinds[n].select("gram", "kinds", F.sum("kinds").over(after).alias("all"), F.count(F.lit(1)).over(after).alias("nexts"))
-        if below:
-            level = level.withColumn("tail", _last(F.col("gram"), F.lit(below))).join(chances[below], "tail")
-        less = F.col("chance") if below else F.lit(1 / 256)
+        if below is not None:
+            level = level.withColumn("tail", _last(F.col("gram"), F.lit(n - 1))).join(below, "tail")
+        less = F.lit(1 / 256) if below is None else F.col("chance")
         own = (F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("nexts") * less) / F.col("all")
-        chances[n], below = written_side(level.select(F.col("gram").alias("tail"), own.alias("chance")), f"chances-{n}", SIDE_BYTES), n
-    return chances
+        below = written_side(level.select(F.col("gram").alias("tail"), own.alias("chance")), f"chances-{n}", SIDE_BYTES)
+        found = below if found is None else found.unionByName(below)
+    return found
+
+
+def _strings(spellings: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings that end at each byte of each word and at its end, and the words' numbers.
+
+    A string is ``ORDER`` bytes here: its context from the nearest byte to the farthest, zeros where the word starts before, and the last byte.
+    """
+    data, offsets = text_bytes(spellings)
+    size = np.diff(offsets)
+    first = offsets[:-1] + 2 * np.arange(len(size))
+    marked = np.full(len(data) + 2 * len(size), 32, np.uint8)
+    word = np.repeat(np.arange(len(size)), size + 1)
+    marked[np.arange(len(data)) + 2 * np.repeat(np.arange(len(size)), size) + 1] = data
+    end = np.arange(len(word)) + word + 1
+    codes = np.zeros((len(word), ORDER), np.uint8)
+    for j in range(ORDER - 1):
+        at = end - 1 - j
+        codes[:, j] = np.where(at >= first[word], marked[np.maximum(at, 0)], 0)
+    codes[:, -1] = marked[end]
+    return codes, word
+
+
+def _ends(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where strings meet: a number below ``buckets`` by the last ``SHORT`` bytes of the context."""
+    end = codes[:, :SHORT].astype(np.uint64) @ (np.uint64(256) ** np.arange(SHORT, dtype=np.uint64))
+    return (mixed(end) % np.uint64(buckets)).astype(np.int64)
+
+
+def _distinct(codes: np.ndarray, buckets: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different strings by place and bytes, their places, and each string's number among them."""
+    place = _ends(codes, buckets)
+    near, far = codes[:, :8].copy().view(">u8").ravel(), codes[:, 8:].copy().view(">u4").ravel()
+    order = np.lexsort((far, near, place))
+    by = [x[order] for x in (place, near, far)]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in by], axis=0)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return codes[order[new]], by[0][new], which
+
+
+def _summed(values: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` with the same number added up."""
+    out = np.zeros((n, values.shape[1]), np.int64)
+    np.add.at(out, which, values)
+    return out
+
+
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Rows of ``values`` as one binary value for each run of them."""
+    ends = np.append(starts, len(values)) * (values.itemsize * (values.size // max(len(values), 1)))
+    raw = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _packs(table: pa.Table, buckets: int) -> pa.Table:
+    """Different strings of a group of words, with counts if the words have any: one row for each place."""
+    codes, word = _strings(table["spelling"])
+    found, place, which = _distinct(codes, buckets)
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    out = {"place": pa.array(place[starts])}
+    for c in ("model", "part"):
+        if c in table.column_names:
+            out[c] = pa.array(np.full(len(starts), table[c][0].as_py(), np.int32))
+    out["strings"] = _packed(found, starts)
+    if COUNTS[0] in table.column_names:
+        counts = np.column_stack([table[c].to_numpy() for c in COUNTS])
+        out["counts"] = _packed(_summed(counts[word], which, len(found)), starts)
+    return pa.table(out)
+
+
+def _with_chances(table: pa.Table, short: tuple[np.ndarray, np.ndarray], buckets: int) -> pa.Table:
+    """All counted strings of a place, their counts, and the shared chance of each one's last byte after the context less its farthest byte."""
+    packed = _unpacked(table["strings"], "u1", ORDER)
+    codes, _, which = _distinct(packed)
+    counts = _summed(_unpacked(table["counts"], "<i8", len(COUNTS)), which, len(codes))
+    near, last = codes[:, :-1], codes[:, -1].astype(np.int64)
+    size = (near != 0).sum(axis=1)
+    # Numbers of contexts cut to each length; cut ones are neighbours, since nearest bytes come first.
+    node = np.zeros(near.shape, np.int64)
+    node[1:] = np.cumsum(np.logical_or.accumulate(near[1:] != near[:-1], axis=1), axis=0)
+    ends = [np.where(size > j + 1, near[:, j], 0).astype(np.int64) for j in range(SHORT - 1)]
+    chance = short[1][np.searchsorted(short[0], sum(x << (8 * (j + 1)) for j, x in enumerate(ends)) + last)]
+    for n in range(SHORT + 1, ORDER):
+        rows = np.flatnonzero(size >= n)
+        # One row for each string of n + 1 bytes; those of n bytes are counted by how many of them end so.
+        longer = rows[np.unique(node[rows, n - 1] * 256 + last[rows], return_index=True)[1]]
+        string, one, kinds = np.unique(node[longer, n - 2] * 256 + last[longer], return_index=True, return_counts=True)
+        _, context = np.unique(string // 256, return_inverse=True)
+        whole, nexts = np.bincount(context, kinds)[context], np.bincount(context)[context]
+        own = (np.maximum(kinds - DISCOUNT, 0) + DISCOUNT * nexts * chance[longer[one]]) / whole
+        chance[rows] = own[np.searchsorted(string, node[rows, n - 2] * 256 + last[rows])]
+    start = np.zeros(1, np.int64)
+    return pa.table(
+        {
+            "place": table["place"][:1], "buckets": pa.array([buckets], pa.int32()),
+            "strings": _packed(codes, start), "counts": _packed(counts, start), "chances": _packed(chance, start),
+        }
+    )
 
 
 def spelling_model(words: DataFrame) -> DataFrame:
-    """context, known, other: the log-likelihood ratio of each next byte seen after a context, and that of any other, by model.
+    """place, buckets, strings, counts, chances: a row for each place, with the counted strings that meet there.
 
-    ``words``: spelling and ``COUNTS``. ``known`` maps a byte to its ratios, one for each of ``MODELS``.
+    ``words``: spelling and ``COUNTS``. Contexts with the same last bytes meet, so a place holds all strings after each of its contexts.
     """
+    buckets = 1 + words.count() // WORDS_A_PART
     counted = words.filter(sum(F.col(c) for c in COUNTS) > 0)
-    grams = written(
-        counted.select(F.explode(_grams(F.col("spelling"))).alias("gram"), *COUNTS)
-        .groupBy("gram")
-        .agg(*[F.sum(c).alias(c) for c in COUNTS]),
-        "strings",
+    grams = counted.select(F.explode(_grams(F.col("spelling"), SHORT + 1)).alias("gram")).distinct()
+    found = short_chances(written(grams, "short-strings")).toArrow()
+    tails, chances = found["tail"].to_pylist(), found["chance"].to_numpy()
+    # The last byte is lowest, then the context from its nearest byte.
+    keys = np.array([int.from_bytes(t[-2::-1], "little") << 8 | t[-1] for t in tails], np.int64)
+    order = np.argsort(keys)
+    short = words.sparkSession.sparkContext.broadcast((keys[order], chances[order]))
+    packs = (
+        counted.select(_part(buckets), "spelling", *COUNTS)
+        .groupBy("part")
+        .applyInArrow(lambda t: _packs(t.drop_columns("part"), buckets), "place long, strings binary, counts binary")
     )
-    size, rows, above = F.octet_length("gram"), None, ORDER
-    last = F.conv(F.hex(_last(F.col("gram"), F.lit(1))), 16, 10).cast("int")
-    shared = shared_chances(grams)
-    for n in SHORTER:
-        level = grams.filter((size > n) & (size <= above)).withColumn("tail", _last(F.col("gram"), F.lit(n))).join(shared[n], "tail")
-        rows, above = level if rows is None else rows.unionByName(level), n
-    rows = rows.select(_context(F.col("gram")).alias("context"), last.alias("next"), "chance", *COUNTS)
-    after, asked = Window.partitionBy("context"), [(m, c) for m in MODELS for c in CLASSES]
-    rows = rows.select("context", "next", "chance", *[sum(F.col(f"{c}_{f}") for f in FOLDS if f != m).alias(f"n_{c}_{m}") for m, c in asked])
-    rows = rows.select(
-        "*",
-        *[F.sum(f"n_{c}_{m}").over(after).alias(f"all_{c}_{m}") for m, c in asked],
-        *[F.count_if(F.col(f"n_{c}_{m}") > 0).over(after).alias(f"nexts_{c}_{m}") for m, c in asked],
-    )
-
-    def likelihood(c: str, m: int, seen: bool) -> Column:
-        """Of a byte that some class holds after the context; of any other, the factor that its shared chance gets."""
-        n, whole = F.col(f"n_{c}_{m}"), F.col(f"all_{c}_{m}")
-        left = F.when(whole > 0, DISCOUNT * F.col(f"nexts_{c}_{m}") / whole).otherwise(1.0)
-        own = F.when(whole > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / whole).otherwise(0.0)
-        return own + left * F.col("chance") if seen else left
-
-    ratios = [F.array(*[F.log(likelihood("toxic", m, seen) / likelihood("ordinary", m, seen)) for m in MODELS]) for seen in (True, False)]
     return written(
-        rows.select("context", "next", ratios[0].alias("ratios"), ratios[1].alias("other"))
-        .groupBy("context")
-        .agg(F.map_from_entries(F.collect_list(F.struct("next", "ratios"))).alias("known"), F.any_value("other").alias("other")),
+        packs.groupBy("place").applyInArrow(
+            lambda t: _with_chances(t, short.value, buckets), "place long, buckets int, strings binary, counts binary, chances binary"
+        ),
         "spelling-model",
     )
 
 
+def _part(buckets: int) -> Column:
+    """Words that start alike are counted and asked together, so that their strings are named once."""
+    return F.pmod(F.xxhash64(F.substring("spelling", 1, 4)), F.lit(buckets)).cast("int").alias("part")
+
+
+def _ratios(counts: np.ndarray, chance: np.ndarray, context: np.ndarray, model: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratios by a model: of each counted string's last byte, and after each context of a byte that no class holds there."""
+    seen, unseen = [], []
+    for i in range(len(CLASSES)):
+        n = sum(counts[:, k * len(CLASSES) + i] for k, f in enumerate(FOLDS) if f != model)
+        whole, nexts = np.bincount(context, n), np.bincount(context, n > 0)
+        left = np.where(whole > 0, DISCOUNT * nexts / np.maximum(whole, 1), 1.0)
+        seen.append(np.maximum(n - DISCOUNT, 0) / np.maximum(whole, 1)[context] + left[context] * chance)
+        unseen.append(left)
+    return np.log(seen[0] / seen[1]), np.log(unseen[0] / unseen[1])
+
+
+def _answered(held: pa.Table, asked: pa.Table) -> pa.Table:
+    """The ratios of the strings of each pack that asks a place."""
+    names = ["model", "part", "place"]
+    codes = _unpacked(held["strings"], "u1", ORDER)
+    counts, chance = _unpacked(held["counts"], "<i8", len(COUNTS)), _unpacked(held["chances"], "<f8", 1)[:, 0]
+    string, context = _text(codes), _text(codes[:, :-1])
+    contexts, number = np.unique(context, return_inverse=True)
+    out = []
+    for m in asked["model"].unique().to_pylist() if len(codes) else []:
+        known, other = _ratios(counts, chance, number, m)
+        packs = asked.filter(pc.equal(asked["model"], m))
+        sought = _unpacked(packs["strings"], "u1", ORDER)
+        at = np.minimum(np.searchsorted(string, _text(sought)), len(string) - 1)
+        after = np.minimum(np.searchsorted(contexts, _text(sought[:, :-1])), len(contexts) - 1)
+        met = np.where(contexts[after] == _text(sought[:, :-1]), other[after], 0.0)
+        ratio = np.where(string[at] == _text(sought), known[at], met)
+        sizes = pc.binary_length(packs["strings"]).to_numpy() // ORDER
+        out.append(packs.select(names).append_column("ratios", _packed(ratio, np.cumsum(sizes) - sizes)))
+    # Places without counted strings have no ratios: all are 0.
+    return pa.concat_tables(out) if out else asked.select(names).append_column("ratios", asked["strings"]).slice(0, 0)
+
+
+def _text(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(codes).view(f"S{codes.shape[1]}").ravel()
+
+
+def _added(words: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+    """The sum of each word's ratios."""
+    codes, word = _strings(words["spelling"])
+    found, place, which = _distinct(codes, buckets)
+    ratio = np.zeros(len(found))
+    answers = answers.sort_by("place")
+    told = np.isin(place, answers["place"].to_numpy())
+    ratio[told] = _unpacked(answers["ratios"], "<f8", 1)[:, 0]
+    sums = np.bincount(word, ratio[which], minlength=words.num_rows)
+    return words.select(["word", "model"]).append_column("ratio", pa.array(sums))
+
+
 def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
-    """word, model, ratio: the log-likelihood ratio of each word by one of ``MODELS``. Those never met in a model have ratio 0 and no row.
+    """word, model, ratio: the log-likelihood ratio of each word by one of ``MODELS``; 0, or no row, for those never met in a model.
 
-    ``words``: word, model, spelling.
+    ``words``: word, model, spelling. Strings of words that start alike go to their places once, and their ratios come back.
     """
-    grams = words.select("word", "model", F.explode(_grams(F.col("spelling"))).alias("gram"))
-    last = F.conv(F.hex(_last(F.col("gram"), F.lit(1))), 16, 10).cast("int")
-    asked = grams.select("word", "model", _context(F.col("gram")).alias("context"), last.alias("next"))
-    given = F.coalesce(F.try_element_at("known", "next"), "other")
-    met = asked.join(model, "context").select("word", "model", F.element_at(given, F.col("model") + 1).alias("ratio"))
-    return met.groupBy("word", "model").agg(F.sum("ratio").alias("ratio"))
+    schema = "word long, model int, ratio double"
+    first = model.select("buckets").first()
+    if first is None:
+        return words.sparkSession.createDataFrame([], schema)
+    buckets = first["buckets"]
+    asked = words.select(_part(buckets), F.col("model").cast("int").alias("model"), "word", "spelling").groupBy("part", "model")
+    packs = asked.applyInArrow(lambda t: _packs(t, buckets), "place long, model int, part int, strings binary")
+    answers = (
+        model.groupBy("place").cogroup(packs.groupBy("place")).applyInArrow(_answered, "model int, part int, place long, ratios binary")
+    )
+    return asked.cogroup(answers.groupBy("part", "model")).applyInArrow(lambda t, r: _added(t, r, buckets), schema)
 
 
 def commonest(words: DataFrame, most: int) -> DataFrame:
@@ -310,8 +469,11 @@ def measures(docs: DataFrame, given: DataFrame) -> DataFrame:
         .agg(*[F.sum(c).alias(c) for c in ("texts", *COUNTS)]),
         "words",
     )
+    release(docs.sparkSession)
     model = spelling_model(words)
+    release(docs.sparkSession)
     ratios = written(word_ratios(words.withColumn("model", F.lit(0)), model), "word-ratios")
+    release(docs.sparkSession)
     held = commonest(words, WORDS_HELD).join(ratios, "word", "left")
     table = held.select("word", F.coalesce("ratio", F.lit(0.0)).alias("ratio")).toArrow()
     hashes, ratio = table["word"].to_numpy().view(np.uint64), table["ratio"].to_numpy()
@@ -328,7 +490,9 @@ def measures(docs: DataFrame, given: DataFrame) -> DataFrame:
     pairs = pairs.select("place", "model", F.col("at.words").alias("word"), F.col("at.times").alias("times"))
     # Words of rows that fit the curve, by the model that leaves their fold out.
     fitting = pairs.filter("model > 0").select("word", "model").distinct().join(words.select("word", "spelling"), "word")
-    ratios = ratios.unionByName(word_ratios(fitting, model))
+    fitting = written(fitting, "fitting-words")
+    ratios = ratios.unionByName(written(word_ratios(fitting, model), "fitting-ratios"))
+    release(docs.sparkSession)
     sums = (
         pairs.join(ratios, ["word", "model"])
         .groupBy("place")

@@ -72,6 +72,11 @@ def drop_scratch(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM collect what is unused, so that Spark's cleaner drops the shuffle files of jobs whose tables are written."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 

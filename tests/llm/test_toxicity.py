@@ -1,14 +1,17 @@
 """Chances and ratios of spellings against a plain recursion over strings."""
 
 import math
+import time
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("faultline.llm")
 
 from faultline.llm import toxicity  # noqa: E402
 from faultline.llm.common import apply_settings  # noqa: E402
+from faultline.session import release, written  # noqa: E402
 
 TEXTS = [
     ("Calm words, calm days.", 1, 0),
@@ -110,3 +113,46 @@ def test_words_held_by_workers_change_nothing(spark, monkeypatch, held):
     assert len(rows) == 122
     again = sorted((str(r.doc_id), r.n_words, round(r.score, 9), round(r.mean, 9)) for r in toxicity.toxicity(docs, labels).collect())
     assert rows == again
+
+
+def test_parts_and_places_change_no_ratio(spark, monkeypatch):
+    apply_settings(spark)
+    monkeypatch.setattr(toxicity, "WORDS_A_PART", 3)
+    spelled = sorted(set().union(*[_words(text) for text, _, _ in TEXTS]) | {b"unseen", b"awfulest", "我们们".encode()})
+    rows = []
+    for i, word in enumerate(spelled):
+        counts = [sum(word in _words(t) and (f, y) == (g, c) for t, f, y in TEXTS) for g in toxicity.FOLDS for c in (1, 0)]
+        rows.append((i, bytearray(word), 1, *counts))
+    schema = "word long, spelling binary, texts long, " + ", ".join(f"{c} long" for c in toxicity.COUNTS)
+    words = spark.createDataFrame(rows, schema).cache()
+    model, plain = toxicity.spelling_model(words), Plain()
+    assert model.count() > 3 and model.select("place").distinct().count() == model.count()
+    asked = words.crossJoin(spark.createDataFrame([(m,) for m in toxicity.MODELS], "model int"))
+    got = {(r.word, r.model): r.ratio for r in toxicity.word_ratios(asked, model).collect()}
+    assert len(got) == len(spelled) * len(toxicity.MODELS)
+    for (i, m), ratio in got.items():
+        assert ratio == pytest.approx(plain.ratio(spelled[i], m), abs=1e-9), (spelled[i], m)
+
+
+def test_words_that_start_alike_send_their_strings_once():
+    spelled = [b"internationalise" + bytes([97 + i % 26, 97 + i // 26]) for i in range(200)]
+    packs = toxicity._packs(pa.table({"part": [0] * 200, "model": [0] * 200, "spelling": pa.array(spelled, pa.binary())}), 5)
+    sent = sum(len(x) for x in packs["strings"].to_pylist()) // toxicity.ORDER
+    assert sent == len(set().union(*[_strings(w) for w in spelled])) < 500 < sum(len(w) + 1 for w in spelled)
+
+
+def test_shuffle_files_go_when_their_table_is_written(spark):
+    def files() -> set[str]:
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    counted = written(spark.range(5_000).selectExpr("id % 7 AS k").groupBy("k").count(), "counted")
+    made = files() - before
+    assert made
+    for _ in range(40):
+        release(spark)
+        if not made & files():
+            break
+        time.sleep(0.25)
+    assert not made & files() and counted.count() == 7
