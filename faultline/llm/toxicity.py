@@ -52,6 +52,7 @@ EXCESS = 2.5
 CALIBRATION = 2_000
 WORDS_HELD = 1 << 18
 FLUSH = 1_000_000
+BATCH_ROWS = 1 << 16
 # Files of a level of short strings that is broadcast; all levels may be so at once.
 SIDE_BYTES = 1 << 20
 FOLDS = (1, 2, 3, 4)
@@ -107,12 +108,15 @@ def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts, of any class and of each, every word is, by task."""
     held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
 
-    def summed() -> pa.RecordBatch:
-        hashes, counts = (np.concatenate([h[i] for h in held]) for i in (0, 2))
-        found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    def summed() -> Iterator[pa.RecordBatch]:
+        found, first, back = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
         spelled = pa.concat_arrays([h[1] for h in held]).take(pa.array(first)).cast(pa.binary())
-        sums = [pa.array(np.bincount(back, weights=c, minlength=len(found)).astype(np.int64)) for c in counts.T]
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), spelled, *sums], ["word", "spelling", "texts", *COUNTS])
+        columns = (np.concatenate([h[2][:, i] for h in held]) for i in range(len(COUNTS) + 1))
+        sums = [pa.array(np.bincount(back, weights=c, minlength=len(found)).astype(np.int64)) for c in columns]
+        whole = pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), spelled, *sums], ["word", "spelling", "texts", *COUNTS])
+        # A batch is held by the worker and by Spark at once.
+        for at in range(0, len(found), BATCH_ROWS):
+            yield whole.slice(at, BATCH_ROWS)
 
     for batch in batches(source):
         data, offsets = text_bytes(batch.column(0))
@@ -122,12 +126,12 @@ def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, kinds = len(words.hashes), len(COUNTS) + 1
             counts = np.bincount(word * kinds + kind[a:b][text] + 1, minlength=n * kinds).reshape(n, kinds)
             counts[:, 0] = counts.sum(axis=1)
-            held.append((words.hashes, words.spellings(), counts))
+            held.append((words.hashes, words.spellings(), counts.astype(np.int32)))
         if sum(len(x[0]) for x in held) >= FLUSH:
-            yield summed()
+            yield from summed()
             held.clear()
     if held:
-        yield summed()
+        yield from summed()
 
 
 def _last(string: Column, size: Column) -> Column:

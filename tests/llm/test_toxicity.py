@@ -156,3 +156,13 @@ def test_shuffle_files_go_when_their_table_is_written(spark):
             break
         time.sleep(0.25)
     assert not made & files() and counted.count() == 7
+
+
+def test_counted_words_leave_a_task_in_small_batches():
+    text = " ".join(f"w{i}" for i in range(150_000))
+    rows = pa.RecordBatch.from_arrays([pa.array([text, "w7 w7"]), pa.array([0, 3])], ["text", "kind"])
+    batches = list(toxicity._count_words(iter([rows])))
+    assert max(b.num_rows for b in batches) <= 1 << 16 and sum(b.num_rows for b in batches) == 150_000
+    held = {r["spelling"]: r for b in batches for r in b.to_pylist()}
+    assert held[b"w7"]["texts"] == 2 and [held[b"w7"][c] for c in toxicity.COUNTS] == [1, 0, 0, 1, 0, 0, 0, 0]
+    assert held[b"w8"]["texts"] == 1 and sum(r["texts"] for r in held.values()) == 150_001
