@@ -46,7 +46,9 @@ from .rolling import PrefixHash, mixed, row_slices, text_bytes
 ORDER = 12
 # Contexts that share this many last bytes meet in one group; chances of strings no longer than this go to every worker.
 SHORT = 3
-WORDS_A_PART = 40_000
+WORDS_A_PART = 10_000
+# Fewer places than parts, so that packs stay long.
+PARTS_A_PLACE = 4
 DISCOUNT = 0.75
 EXCESS = 2.5
 CALIBRATION = 2_000
@@ -287,7 +289,7 @@ def spelling_model(words: DataFrame) -> DataFrame:
 
     ``words``: spelling and ``COUNTS``. Contexts with the same last bytes meet, so a place holds all strings after each of its contexts.
     """
-    buckets = 1 + words.count() // WORDS_A_PART
+    buckets = 1 + words.count() // (WORDS_A_PART * PARTS_A_PLACE)
     counted = words.filter(sum(F.col(c) for c in COUNTS) > 0)
     grams = counted.select(F.explode(_grams(F.col("spelling"), SHORT + 1)).alias("gram")).distinct()
     found = short_chances(written(grams, "short-strings")).toArrow()
@@ -311,7 +313,7 @@ def spelling_model(words: DataFrame) -> DataFrame:
 
 def _part(buckets: int) -> Column:
     """Words that start alike are counted and asked together, so that their strings are named once."""
-    return F.pmod(F.xxhash64(F.substring("spelling", 1, 4)), F.lit(buckets)).cast("int").alias("part")
+    return F.pmod(F.xxhash64(F.substring("spelling", 1, 4)), F.lit(buckets * PARTS_A_PLACE)).cast("int").alias("part")
 
 
 def _ratios(counts: np.ndarray, chance: np.ndarray, context: np.ndarray, model: int) -> tuple[np.ndarray, np.ndarray]:

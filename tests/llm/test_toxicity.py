@@ -117,7 +117,7 @@ def test_words_held_by_workers_change_nothing(spark, monkeypatch, held):
 
 def test_parts_and_places_change_no_ratio(spark, monkeypatch):
     apply_settings(spark)
-    monkeypatch.setattr(toxicity, "WORDS_A_PART", 3)
+    monkeypatch.setattr(toxicity, "WORDS_A_PART", 1)
     spelled = sorted(set().union(*[_words(text) for text, _, _ in TEXTS]) | {b"unseen", b"awfulest", "我们们".encode()})
     rows = []
     for i, word in enumerate(spelled):
