@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,5 +67,28 @@ def worker_memory() -> dict:
     return vars(sys.modules.setdefault(name, types.ModuleType(name))).setdefault("held", {})
 
 
+def give_back() -> None:
+    """Hand what is free in this process to the system; else the allocators of Arrow and of the C library keep most of a task's peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable, keeps: bool = False) -> Callable:
+    """A task's function that leaves its worker small, since workers stay for the tasks and operators that follow.
+
+    Only with ``keeps`` does the worker's memory outlast the task; any other task drops what an earlier operator kept.
+    """
+
+    def whole(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            worker_memory().clear()
+        yield from run(source)
+        give_back()
+
+    return whole
+
+
 def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch for batch in source if batch.num_rows)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import batches, column, keyed, texts
+from .common import batches, column, keyed, texts, tidy
 from .components import components
 from .rolling import PrefixHash, mixed, row_slices, text_bytes
 
@@ -203,7 +203,7 @@ def _able(labelled: DataFrame, held: DataFrame, sizes: DataFrame, shingle: int,
     of = labelled.select("rep", "component").distinct()
     rows = (
         held.withColumnRenamed("doc_id", "rep").join(of, "rep", "left_semi")
-        .select("rep", "text").mapInArrow(_shingle_rows(shingle), "rep long, shingle long").join(of, "rep")
+        .select("rep", "text").mapInArrow(tidy(_shingle_rows(shingle)), "rep long, shingle long").join(of, "rep")
     )
     rows = written(rows, "shingles")
     for _ in range(SIEVES):
@@ -277,7 +277,7 @@ def _pairs_left(rows: DataFrame, percent: int) -> DataFrame:
         }
     )
     meeting = filled.select(*_LEFT).repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
-    return meeting.mapInArrow(_met(percent), "a long, b long")
+    return meeting.mapInArrow(tidy(_met(percent)), "a long, b long")
 
 
 def _met(percent: int) -> Callable:
@@ -346,7 +346,7 @@ def near_groups(
     whole = texts(docs, id_col, text_col)
     rows = written(
         whole.mapInArrow(
-            _sketched(shingle),
+            tidy(_sketched(shingle)),
             "doc_id long, n_shingles long, set_a long, set_b long, sketch array<tinyint>, bands array<long>",
         ),
         "sketches",
@@ -398,7 +398,7 @@ def near_groups(
             pairs.join(held.toDF("b", "text_b"), "b")
             .join(held.toDF("a", "text_a"), "a")
             .select("a", "b", "text_a", "text_b")
-            .mapInArrow(_verified(shingle, percent), "a long, b long, distance double, linked boolean")
+            .mapInArrow(tidy(_verified(shingle, percent)), "a long, b long, distance double, linked boolean")
         )
 
     judged = written(verified(first), "verified")

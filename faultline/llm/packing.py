@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, texts, worker_memory
+from .common import batches, texts, tidy, worker_memory
 from .token_counts import word_lists
 
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -325,7 +325,7 @@ def pack(
     if any(t & (t - 1) or t < 1 for t in tiers):
         raise ValueError("tiers are powers of two")
     return texts(docs, id_col, text_col).mapInArrow(
-        _packed(tokenizer_path, end_id, tuple(tiers), pool_tokens), SCHEMA
+        tidy(_packed(tokenizer_path, end_id, tuple(tiers), pool_tokens), keeps=True), SCHEMA
     )
 
 

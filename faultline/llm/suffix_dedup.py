@@ -14,6 +14,7 @@ strings all but the first are repeats. Sorting phrases, not bytes, makes the arr
 
 Scale. Two shuffles of fixed-width rows (one per segment, about a 30th of the bytes), one of the texts of open segments, two of
 whole texts to bring results home; all streamed in sorted order. Only the different segments of one anchor are held together.
+Shuffle files go as soon as what they made is written.
 
 Defined results. A null text is empty. Texts shorter than ``LENGTH`` bytes lose nothing. A null identifier comes after all
 others. Rows with equal identifier and text are one document: repeats of a row are not repeats of its text, and all its rows
@@ -31,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import written
-from .common import batches, column, texts
+from ..session import shuffles_dropped, written
+from .common import batches, column, texts, tidy
 from .rolling import PrefixHash, mixed, row_slices, text_bytes
 from .suffix_sort import shared_prefixes, suffix_array
 
@@ -307,10 +308,10 @@ def _removed(docs: DataFrame, carried: list[str], as_text: bool, length: int, an
     named = texts(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("mark"), "text"
     )
-    rows = named.mapInArrow(_segment_rows(length, anchor), "key long, segment long, " + PLACE)
-    judged = written(
-        rows.repartition("key").sortWithinPartitions("key", "segment").mapInArrow(_judge, "key long, " + PLACE), "judged"
-    )
+    rows = named.mapInArrow(tidy(_segment_rows(length, anchor)), "key long, segment long, " + PLACE)
+    meeting = rows.repartition("key").sortWithinPartitions("key", "segment")
+    with shuffles_dropped(docs.sparkSession):
+        judged = written(meeting.mapInArrow(tidy(_judge), "key long, " + PLACE), "judged")
     opened = (
         judged.filter("place >= 0")
         .groupBy("id", "mark")
@@ -319,10 +320,11 @@ def _removed(docs: DataFrame, carried: list[str], as_text: bool, length: int, an
     pieces = (
         named.join(opened, ["id", "mark"])
         .select("id", "mark", "text", "open")
-        .mapInArrow(_cut_out(length), "key long, " + PLACE + ", bytes binary")
+        .mapInArrow(tidy(_cut_out(length)), "key long, " + PLACE + ", bytes binary")
     )
-    compared = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(length), PLACE)
-    repeats = written(judged.filter("place < 0").select("id", "mark", "place").unionByName(compared), "repeats")
+    compared = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_compare(length)), PLACE)
+    with shuffles_dropped(docs.sparkSession):
+        repeats = written(judged.filter("place < 0").select("id", "mark", "place").unionByName(compared), "repeats")
     by_text = repeats.groupBy("id", "mark").agg(F.collect_list("place").alias("places"))
     whole = docs.select(
         F.struct(*[column(c) for c in carried]).alias("carried"),
@@ -339,7 +341,7 @@ def _removed(docs: DataFrame, carried: list[str], as_text: bool, length: int, an
             T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
         ]
     )
-    return joined.mapInArrow(_without(length, as_text), schema)
+    return joined.mapInArrow(tidy(_without(length, as_text)), schema)
 
 
 def without_repeats(

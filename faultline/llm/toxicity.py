@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import release, written, written_side
-from .common import batches, column
+from .common import batches, column, tidy
 from .rolling import PrefixHash, mixed, row_slices, text_bytes
 
 ORDER = 12
@@ -470,7 +470,7 @@ def measures(docs: DataFrame, given: DataFrame) -> DataFrame:
     kind = F.coalesce((F.col("fold") - 1) * 2 + (1 - F.col("label")), F.lit(-1)).cast("long")
     words = written(
         texts.select("text", kind.alias("kind"))
-        .mapInArrow(_count_words, "word long, spelling binary, texts long, " + ", ".join(f"{c} long" for c in COUNTS))
+        .mapInArrow(tidy(_count_words), "word long, spelling binary, texts long, " + ", ".join(f"{c} long" for c in COUNTS))
         .groupBy("word", "spelling")
         .agg(*[F.sum(c).alias(c) for c in ("texts", *COUNTS)]),
         "words",
@@ -491,7 +491,7 @@ def measures(docs: DataFrame, given: DataFrame) -> DataFrame:
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     schema += ", n_words long, mean double, excess double, words array<long>, times array<long>"
-    found = written(rows.mapInArrow(_judged(common), schema).withColumn("place", F.monotonically_increasing_id()), "judged")
+    found = written(rows.mapInArrow(tidy(_judged(common)), schema).withColumn("place", F.monotonically_increasing_id()), "judged")
     pairs = found.select("place", "model", F.explode(F.arrays_zip("words", "times")).alias("at"))
     pairs = pairs.select("place", "model", F.col("at.words").alias("word"), F.col("at.times").alias("times"))
     # Words of rows that fit the curve, by the model that leaves their fold out.

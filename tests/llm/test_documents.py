@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import os
 import re
 import string
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from faultline.llm import byte_bpe, exact_dedup, near_dedup, packing, suffix_dedup, token_counts  # noqa: E402
+from faultline.llm import byte_bpe, common, exact_dedup, near_dedup, packing, suffix_dedup, token_counts  # noqa: E402
 from faultline.llm.common import apply_settings  # noqa: E402
 from faultline.llm.suffix_sort import shared_prefixes, suffix_array  # noqa: E402
 
@@ -320,6 +322,43 @@ def test_texts_are_cut_and_other_columns_stay(spark, docs, none):
     assert [r.text for r in suffix_dedup.with_kept_text(odd).orderBy("doc_id").collect()] == ["ĩ" + tail, "x "]
 
 
+def test_shuffles_of_written_repeats_leave_no_files(spark):
+    def files() -> set[str]:
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(i, PASSAGE + f" {i % 7} " + PASSAGE[i:]) for i in range(300)], "doc_id long, text string")
+    before = files()
+    got = suffix_dedup.without_repeats(docs.repartition(4, "doc_id"))
+    for _ in range(40):
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before
+    assert got.count() == got.filter("n_removed > 0").count() == 300
+
+
+def test_tasks_give_back_memory_and_drop_what_others_kept():
+    def resident() -> float:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    def run(source):
+        for batch in source:
+            rows = [bytes(100_000) for _ in range(2_000)]
+            pins.append(bytes(100_000))  # keeps the C library from handing back what lies below it
+            yield batch
+            rows.clear()
+
+    pins, rows = [], pa.RecordBatch.from_arrays([pa.array([1])], ["a"])
+    held = common.worker_memory()
+    held["words"] = 1
+    assert list(common.tidy(run, keeps=True)(iter([rows]))) == [rows] and held == {"words": 1}
+    before = resident()
+    assert list(common.tidy(run)(iter([rows, rows]))) == [rows, rows] and not held
+    assert resident() < before + 50
+
+
 # --- near copies -----------------------------------------------------------------------
 
 
