@@ -100,7 +100,7 @@ def incident_files(spark, sf_dir):
     texts = F.transform(F.sort_array(F.collect_list(F.struct("log_id", "raw_log"))), lambda r: r["raw_log"])
     logs = _logs(spark, sf_dir).groupBy(F.floor(F.col("log_id") / 50).alias("incident")).agg(F.array_join(texts, "\n").alias("value"))
     write_texts(logs, path, "incident")
-    files = read_incident_files(spark, path, recursiveFileLookup=True)
+    files = read_incident_files(spark, path, plain=True, recursiveFileLookup=True)
     parsed = stacktrace.parse_logs(files.withColumn("incident", _folder_number("incident")))
     return parsed.select("incident", "language", "error_type", "error_message", F.length("raw_log").alias("chars"))
 

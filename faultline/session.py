@@ -1,16 +1,29 @@
 """Session settings and the shared folder for cut lineage."""
 
+import itertools
+import operator
+import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Size of the files of a side that is broadcast; in memory it is a few times that.
 BROADCAST_BYTES = 16 << 20
 
+# Tasks for each core that list the folders of a read.
+LISTING_TASKS = 16
+
+# Folder of rows without a value, and what names of folders do not hold as it is; as Spark's own writer has them.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+NOT_IN_NAMES = r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]"""
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -91,6 +104,19 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def listed_in_few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Readers made inside list their folders in some tasks for each core; else there is one for each folder, up to 10,000 of them, and
+    the driver takes longer to hand them out than they run."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, LISTING_TASKS * spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
@@ -103,12 +129,51 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def write_texts(rows: DataFrame, path: str, by: str) -> None:
-    """``value`` of each row as text files in a folder for each value of ``by``.
+    """``value`` of each row as text files in a folder for each value of ``by``; ``path`` must not be there yet.
 
-    Each task moves its own files to their place when it is done; else the driver would move all of them, one by one. A task that
-    runs again writes the same names again.
+    On a local file system (or one mounted everywhere) tasks write the files themselves, since Hadoop starts a process of the system
+    for each file and folder that it makes there, which takes longer than all the rest. On other file systems Spark writes them, and
+    each task moves its own files to their place when it is done; else the driver would move all of them, one by one. Either way a
+    task that runs again writes the same names again.
     """
-    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(by).text(path)
+    folder = _local_folder(rows.sparkSession, path)
+    if folder is None:
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(by).text(path)
+        return
+    os.makedirs(folder)
+    named = F.coalesce(F.nullif(F.col(f"`{by}`").cast("string"), F.lit("")), F.lit(NO_VALUE)).alias("name")
+    named = rows.select(named, F.col("value").cast("binary").alias("value")).sortWithinPartitions("name")
+    named.mapInArrow(_text_files(folder, by), "files long").write.format("noop").mode("overwrite").save()
+
+
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """``path`` as the system names it; None if it is not on a local file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toUri()
+    return folder.getPath() if folder.getScheme() == "file" else None
+
+
+def _text_files(folder: str, by: str) -> Callable:
+    """Writes rows (name, value), sorted by name, as one file for each name; how many there were."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, files = f"part-{TaskContext.get().partitionId():05d}.txt", 0
+        rows = ((name.as_py(), value) for batch in source for name, value in zip(*batch.columns, strict=True))
+        for name, group in itertools.groupby(rows, operator.itemgetter(0)):
+            place = f"{folder}/{by}={re.sub(NOT_IN_NAMES, lambda c: f'%{ord(c[0]):02X}', name)}"
+            os.makedirs(place, exist_ok=True)
+            # Readers pass by names that begin with a dot; the file gets its own name when it is whole.
+            part = f"{place}/.{file}.{uuid.uuid4().hex}"
+            with open(part, "wb") as out:
+                for _, value in group:
+                    if value.is_valid:
+                        out.write(value.as_buffer())
+                    out.write(b"\n")
+            os.replace(part, f"{place}/{file}")
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": [files]})
+
+    return run
 
 
 def written_side(df: DataFrame, label: str, most: int = BROADCAST_BYTES) -> DataFrame:

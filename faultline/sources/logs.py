@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import rstrip
-from ..session import written, written_side
+from ..session import listed_in_few_tasks, written, written_side
 
 LOG_SCHEMA = "log_id long, ts timestamp, service_name string, raw_log string"
 
@@ -72,16 +72,21 @@ def read_numbered_lines(spark: SparkSession, path: str, service_name: str = "")
     )
 
 
-def read_incident_files(spark: SparkSession, path: str, service_name: str = "", **options) -> DataFrame:
+def read_incident_files(spark: SparkSession, path: str, service_name: str = "", plain: bool = False, **options) -> DataFrame:
     """One record per file, stack trace lines kept together.
 
-    With ``recursiveFileLookup`` among the reader's ``options``, no columns are made of the names of a great many folders.
+    With ``recursiveFileLookup`` among the reader's ``options``, no columns are made of the names of a great many folders. With
+    ``plain`` files are read as they are, whatever their names end with; else a codec is looked for anew for each file, which takes
+    longer than to read a small one.
     """
-    return spark.read.options(**options).text(path, wholetext=True).select(
+    with listed_in_few_tasks(spark):
+        reader = spark.read.options(**options)
+        files = reader.format("binaryFile").load(path) if plain else reader.text(path, wholetext=True)
+    return files.select(
         F.monotonically_increasing_id().alias("log_id"),
         _file_time().alias("ts"),
         F.lit(service_name).alias("service_name"),
-        F.make_valid_utf8("value").alias("raw_log"),
+        F.make_valid_utf8(F.col("content").cast("string") if plain else F.col("value")).alias("raw_log"),
     )
 
 

@@ -1,6 +1,8 @@
 """Costly steps that must not be done over: patterns, JSON, text shuffles, files moved."""
 
 import glob
+import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -49,3 +51,55 @@ def test_text_files_by_folder(spark, tmp_path):
     assert sorted(glob.glob(f"{tmp_path}/files/part=*"))[0].endswith("part=7")
     read = read_incident_files(spark, f"{tmp_path}/files", recursiveFileLookup=True)
     assert sorted(r.raw_log for r in read.collect()) == ["one\ntwo\n", "three\n"]
+
+
+def test_text_files_are_those_of_sparks_writer_and_nothing_else(spark, tmp_path):
+    names = [None, "", "a b", "x/y=z:%{[]}^'\"#*?\\\t\x7f", "ü", "a b"]
+    rows = spark.createDataFrame([(n, f"{at}\r\n\u00e9") for at, n in enumerate(names)] + [("none", None)], "`p q` string, value string")
+    rows.coalesce(1).write.partitionBy("p q").text(f"{tmp_path}/want")
+    session.write_texts(rows.coalesce(1), f"{tmp_path}/got", "p q")
+
+    def held(top):
+        found = {}
+        for folder, _, files in os.walk(f"{tmp_path}/{top}"):
+            for file in files:
+                with open(f"{folder}/{file}", "rb") as f:
+                    found.setdefault(os.path.relpath(folder, f"{tmp_path}/{top}"), []).append((file, sorted(f.read().splitlines(True))))
+        return found
+
+    want, got = held("want"), held("got")
+    texts = {folder: [text for file, text in files if file.startswith("part-") and file.endswith(".txt")] for folder, files in want.items()}
+    assert {folder: [text for _, text in files] for folder, files in got.items()} == {f: t for f, t in texts.items() if f != "."}
+    # Sums of the files' bytes lie beside those that Hadoop writes, with a process of the system for each file that it makes.
+    assert [file for files in got.values() for file, _ in files] == ["part-00000.txt"] * len(got)
+    read = {r.raw_log for r in read_incident_files(spark, f"{tmp_path}/got", plain=True, recursiveFileLookup=True).collect()}
+    assert read == {r.raw_log for r in read_incident_files(spark, f"{tmp_path}/want", recursiveFileLookup=True).collect()}
+
+
+def test_text_files_of_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 600, 1, 3).select((F.col("id") % 200).alias("part"), F.concat_ws("\n", "id", F.lit("x")).alias("value"))
+    session.write_texts(rows, f"{tmp_path}/files", "part")
+    read = read_incident_files(spark, f"{tmp_path}/files", plain=True, recursiveFileLookup=True)
+    assert sorted(r.raw_log for r in read.collect()) == sorted(f"{i}\nx\n" for i in range(600))
+    session.write_texts(rows.filter("false"), f"{tmp_path}/none", "part")
+    assert read_incident_files(spark, f"{tmp_path}/none", recursiveFileLookup=True).count() == 0
+
+
+def test_folders_are_listed_in_few_tasks(spark, tmp_path):
+    most = session.LISTING_TASKS * spark.sparkContext.defaultParallelism
+    for at in range(most + 50):
+        (tmp_path / f"part={at}").mkdir()
+        (tmp_path / f"part={at}" / "a.txt").write_text("x")
+    group = f"listing-{uuid.uuid4().hex}"
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        read = read_incident_files(spark, str(tmp_path), recursiveFileLookup=True)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    seen = spark.sparkContext.statusTracker()
+    stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= most
+    assert spark.conf.get(setting) == before and read.count() == most + 50
