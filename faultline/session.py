@@ -1,5 +1,6 @@
 """Session settings and the shared folder for cut lineage."""
 
+import errno
 import itertools
 import operator
 import os
@@ -20,6 +21,9 @@ BROADCAST_BYTES = 16 << 20
 # Tasks for each core that list the folders of a read.
 LISTING_TASKS = 16
 
+# Tasks for each core at least, and bytes for a task, where many small files are read.
+READING_TASKS, READING_BYTES = 8, 8 << 20
+
 # Folder of rows without a value, and what names of folders do not hold as it is; as Spark's own writer has them.
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 NOT_IN_NAMES = r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]"""
@@ -117,6 +121,13 @@ def listed_in_few_tasks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def small_files_together(files: DataFrame) -> DataFrame:
+    """Files as read, in no more tasks than their bytes or the cores ask for; readers count each file as 4 MB, so small ones come by the
+    thirty, and starting a task takes longer than reading them."""
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return files.coalesce(max(READING_TASKS * files.sparkSession.sparkContext.defaultParallelism, size // READING_BYTES))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
@@ -154,24 +165,37 @@ def _local_folder(spark: SparkSession, path: str) -> str | None:
 
 
 def _text_files(folder: str, by: str) -> Callable:
-    """Writes rows (name, value), sorted by name, as one file for each name; how many there were."""
+    """Writes rows (name, value), sorted by name, as one file for each name; how many there were.
+
+    The files come to their place when the task is done. Until then they are in a folder of the task, which readers pass by for its
+    dot; tasks that make folders in the same one wait for one another.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, files = f"part-{TaskContext.get().partitionId():05d}.txt", 0
+        at = TaskContext.get().partitionId()
+        file, own = f"part-{at:05d}.txt", f"{folder}/.task-{at}-{uuid.uuid4().hex}"
+        os.mkdir(own)
         rows = ((name.as_py(), value) for batch in source for name, value in zip(*batch.columns, strict=True))
+        places = []
         for name, group in itertools.groupby(rows, operator.itemgetter(0)):
-            place = f"{folder}/{by}={re.sub(NOT_IN_NAMES, lambda c: f'%{ord(c[0]):02X}', name)}"
-            os.makedirs(place, exist_ok=True)
-            # Readers pass by names that begin with a dot; the file gets its own name when it is whole.
-            part = f"{place}/.{file}.{uuid.uuid4().hex}"
-            with open(part, "wb") as out:
+            places.append(f"{by}={re.sub(NOT_IN_NAMES, lambda c: f'%{ord(c[0]):02X}', name)}")
+            os.mkdir(f"{own}/{places[-1]}")
+            with open(f"{own}/{places[-1]}/{file}", "wb") as out:
                 for _, value in group:
                     if value.is_valid:
                         out.write(value.as_buffer())
                     out.write(b"\n")
-            os.replace(part, f"{place}/{file}")
-            files += 1
-        yield pa.RecordBatch.from_pydict({"files": [files]})
+        for place in places:
+            try:
+                os.rename(f"{own}/{place}", f"{folder}/{place}")
+            except OSError as e:
+                if e.errno not in (errno.EEXIST, errno.ENOTEMPTY):
+                    raise
+                # Another task has files there, or this one when it ran before.
+                os.replace(f"{own}/{place}/{file}", f"{folder}/{place}/{file}")
+                os.rmdir(f"{own}/{place}")
+        os.rmdir(own)
+        yield pa.RecordBatch.from_pydict({"files": [len(places)]})
 
     return run
 

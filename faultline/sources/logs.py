@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import rstrip
-from ..session import listed_in_few_tasks, written, written_side
+from ..session import listed_in_few_tasks, small_files_together, written, written_side
 
 LOG_SCHEMA = "log_id long, ts timestamp, service_name string, raw_log string"
 
@@ -82,7 +82,7 @@ def read_incident_files(spark: SparkSession, path: str, service_name: str = "",
     with listed_in_few_tasks(spark):
         reader = spark.read.options(**options)
         files = reader.format("binaryFile").load(path) if plain else reader.text(path, wholetext=True)
-    return files.select(
+    return small_files_together(files).select(
         F.monotonically_increasing_id().alias("log_id"),
         _file_time().alias("ts"),
         F.lit(service_name).alias("service_name"),

@@ -4,6 +4,7 @@ import glob
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultline import session
@@ -103,3 +104,40 @@ def test_folders_are_listed_in_few_tasks(spark, tmp_path):
     stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds]
     assert stages and max(s.numTasks for s in stages) <= most
     assert spark.conf.get(setting) == before and read.count() == most + 50
+
+
+def test_small_files_are_read_in_few_tasks(spark, tmp_path):
+    most = session.READING_TASKS * spark.sparkContext.defaultParallelism
+    held = spark.conf.get("spark.sql.files.openCostInBytes")
+    for at in range(most + 20):
+        (tmp_path / f"part={at}").mkdir()
+        (tmp_path / f"part={at}" / "a.txt").write_text(f"{at}")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # one file for each task, as with thousands of files at 4 MB each
+    try:
+        for plain in (False, True):
+            read = read_incident_files(spark, str(tmp_path), plain=plain, recursiveFileLookup=True)
+            assert read.rdd.getNumPartitions() <= most
+            rows = read.select("log_id", "raw_log", F.regexp_extract("_metadata.file_path", "/part=(\\d+)/", 1).alias("part")).collect()
+            assert sorted(int(r.raw_log) for r in rows) == list(range(most + 20)) and all(r.raw_log == r.part for r in rows)
+            assert len({r.log_id for r in rows}) == most + 20
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", held)
+
+
+def test_text_files_written_again_by_a_task(spark, tmp_path, monkeypatch):
+    class First:
+        @staticmethod
+        def get():
+            return First
+
+        @staticmethod
+        def partitionId():
+            return 3
+
+    monkeypatch.setattr(session, "TaskContext", First)
+    batch = pa.RecordBatch.from_pydict({"name": ["7", "8"], "value": [b"one", b"two"]})
+    for _ in range(2):
+        assert [b.to_pydict() for b in session._text_files(str(tmp_path), "part")(iter([batch]))] == [{"files": [2]}]
+        held = sorted((f, (tmp_path / f / "part-00003.txt").read_bytes()) for f in os.listdir(tmp_path))
+        assert held == [("part=7", b"one\n"), ("part=8", b"two\n")]
+        assert os.listdir(tmp_path / "part=7") == ["part-00003.txt"]
